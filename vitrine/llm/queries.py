@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import orctokens, packing
+from . import exactdedup, mixing, orctokens, packing
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -17,6 +17,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), 1)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash", "source")
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     orctokens.write_tokens(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), 2)
@@ -25,6 +33,8 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op8_orc_tokens": op8_orc_tokens,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exactdedup.ORACLE}
