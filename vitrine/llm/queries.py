@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, licenses, mixing, orctokens, packing
+from . import exactdedup, licenses, mixing, orctokens, packing, simhash
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), 1)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
