@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, licenses, mixing, orctokens, packing, simhash
+from . import exactdedup, licenses, mixing, orctokens, packing, quality, simhash
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -39,6 +39,10 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orctokens.token_digests(spark, path)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_simhash": op3_simhash,
@@ -46,5 +50,6 @@ QUERIES: dict[str, Query] = {
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_orc_tokens": op8_orc_tokens,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": exactdedup.ORACLE}
