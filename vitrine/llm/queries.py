@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, licenses, mixing, orctokens, packing, quality, simhash
+from . import compaction, exactdedup, licenses, mixing, orctokens, packing, quality, simhash
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -43,6 +43,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_simhash": op3_simhash,
@@ -51,5 +55,6 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_quality": op9_quality,
+    "op10_compaction": op10_compaction,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": exactdedup.ORACLE}
