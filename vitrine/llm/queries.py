@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, exactdedup, licenses, mixing, orctokens, packing, quality, simhash
+from . import compaction, exactdedup, fingerprints, licenses, mixing, orctokens, packing, quality, simhash, urlfilter
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -17,10 +17,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), 1)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_winnowing": op2_winnowing,
     "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
@@ -57,4 +67,4 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_compaction": op10_compaction,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": exactdedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op5_exact_dedup": exactdedup.ORACLE}
