@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -69,3 +69,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """The text; a null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Stands for a null document id in comparisons: null comes first.
+NO_ID = -(2**63)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, xxhash64 of text) is in kept (id_key, text_hash), one row for each of them."""
+    keyed = docs.withColumns({"_id_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_hash": F.xxhash64(text_of())})
+    found = keyed.join(kept.select(F.col("id_key").alias("_id_key"), F.col("text_hash").alias("_text_hash")), ["_id_key", "_text_hash"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id_key", "_text_hash").orderBy("_text_hash"))
+    return found.withColumn("_first", first).filter("_first = 1").select(*docs.columns)

@@ -19,30 +19,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, ship
+from ._shared import NO_ID, keep_rows, materialize, ship
 
 SHARD_KEYS = 20_000
 LEAST_SHARDS = 64
-#: Stands for a null document id in comparisons: null comes first.
-NO_ID = -(2**63)
 _PILOTS = np.arange(256, dtype=np.uint64)
 _GROUPS = "digest binary, points long, id_key long, row long, n long"
 _INDEX = "shard long, pilots binary, digests binary, points binary, ids binary, rows binary, counts binary"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (unique), doc_id, id_key, points (code points of the original text), digest (SHA-256 without white space)."""
+    """row (unique), doc_id, id_key, text_hash, points (code points of the original text), digest (SHA-256 without white space)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [hashlib.sha256(t.translate(None, b" \t\n\v\f\r")).digest() for t in batch["text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["points"], pa.array(found, pa.binary())], names=["doc_id", "points", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["doc_id", "text_hash", "points", "digest"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.char_length(text).cast("long").alias("points"))
-    found = source.mapInArrow(run, "doc_id long, points long, digest binary")
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "points", "digest")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.char_length(text).cast("long").alias("points"), text.alias("text"))
+    found = source.mapInArrow(run, "doc_id long, text_hash long, points long, digest binary")
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash", "points", "digest")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -151,7 +149,7 @@ def merge(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, is_history: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256, of texts that are equal but for white space.
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, text_hash, of texts that are equal but for white space.
 
     is_history: which rows, by a condition on doc_id, are there already; the lower half of the id range if not given. It
     decides the order of work only, never the result. Null texts count as empty, and all empty texts are one group. A
@@ -172,9 +170,16 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, *, id_col: st
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) without copies: of each group the row that exact_dedup keeps."""
+    kept = exact_dedup(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")
+    return keep_rows(docs, kept)
+
+
 #: The result in DuckDB's SQL.
 ORACLE = r"""
 WITH t AS (

@@ -51,61 +51,76 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], total_share: floa
     return levelled.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    total_share: float = 1.5,
-    cap: float = 2.0,
-    seed: int = 7,
-) -> DataFrame:
-    """Per row: doc_id, text_hash, size, source, source_size, target, taken (words, repeats counted).
+def _ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows with their source's columns of plan and rank: random odds over inclusion odds; null where nothing is drawn."""
+    u = rank_uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
+    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("p") / (1 - F.col("p")))
+    found = rows.withColumn("_u", u).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return found.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds)).drop("_u")
 
-    Null texts have size 0 and are never taken; null ids and null sources are values of their own; rows with one id in
-    one source share a rank, and where the cut falls on them they divide its words. An empty table gives no rows. Other
-    columns of docs are ignored, whatever their names. Reruns give the same rows: ranks depend on ids alone.
+
+def sampling_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """Per source (s): source_size, target, copies (whole ones for certain), p, edge (rank where the cut falls), part.
+
+    rows: doc_id, source, size. part is the share of the words that documents at the edge give.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), word_count(text).alias("size")),
-        "sizes",
-    )
     plan = source_targets(rows, weights, total_share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = materialize(
         plan.withColumn("copies", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size"))),
         "targets",
     ).withColumnRenamed("source", "s")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    u = rank_uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.withColumn("u", u).join(plan, same).withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
     bins = max(LEAST_BINS, math.isqrt(rows.count()))
     # ranks lie between 0 and infinity; x / (1 + x) spreads them over 0 to 1 in the same order
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins))
-
-    drawn = ranked.filter(F.col("rank").isNotNull())
-    sums = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = sums.withColumn("until", F.sum("words").over(running)).filter((F.col("until") >= F.col("rest")) & (F.col("until") - F.col("words") < F.col("rest")))
-    cut = cut.select(F.col("source").alias("cs"), F.col("bin").alias("cut_bin"), (F.col("rest") - F.col("until") + F.col("words")).alias("in_bin"))
-    inside = drawn.join(cut, F.col("source").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cut_bin")))
-    ties = inside.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("in_bin").alias("in_bin"))
-    until = F.sum("words").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    drawn = _ranked(rows, plan, seed).filter(F.col("rank").isNotNull()).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins))
+    sums = drawn.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    until = F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = sums.withColumn("until", until).filter((F.col("until") >= F.col("rest")) & (F.col("until") - F.col("words") < F.col("rest")))
+    cut = cut.select(F.col("s").alias("cs"), F.col("bin").alias("cut_bin"), (F.col("rest") - F.col("until") + F.col("words")).alias("in_bin"))
+    inside = drawn.join(cut, F.col("s").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cut_bin")))
+    ties = inside.groupBy("s", "rank").agg(F.sum("size").alias("words"), F.first("in_bin").alias("in_bin"))
+    until = F.sum("words").over(Window.partitionBy("s").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = ties.withColumn("until", until).filter((F.col("until") >= F.col("in_bin")) & (F.col("until") - F.col("words") < F.col("in_bin")))
-    edge = materialize(
-        edge.select(F.col("source").alias("es"), F.col("rank").alias("edge"), ((F.col("in_bin") - F.col("until") + F.col("words")) / F.col("words")).alias("part")), "edges"
-    )
+    edge = edge.select(F.col("s").alias("es"), F.col("rank").alias("edge"), ((F.col("in_bin") - F.col("until") + F.col("words")) / F.col("words")).alias("part"))
+    return materialize(plan.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").drop("es", "rest"), "plan")
+
+
+def with_taken(rows: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """rows (doc_id, source, size and others) with the source's columns of plan and taken, the words that the mix takes."""
     extra = F.when(F.col("rank") < F.col("edge"), F.col("size")).when(F.col("rank") == F.col("edge"), F.round(F.col("size") * F.col("part"))).otherwise(0)
-    return ranked.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").select(
-        "doc_id",
-        "text_hash",
-        "size",
-        "source",
-        "source_size",
-        "target",
-        (F.col("copies") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"),
-    )
+    return _ranked(rows, plan, seed).withColumn("taken", (F.col("copies") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long"))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+    """Per row: doc_id, size, source, source_size, target, taken (words, repeats counted). plan: as for sampling_plan.
+
+    Null texts have size 0 and are never taken; null ids and null sources are values of their own; rows with one id in
+    one source share a rank, and where the cut falls on them they divide its words. An empty table gives no rows. Other
+    columns of docs are ignored, whatever their names. Reruns give the same rows: ranks depend on ids alone.
+    """
+    rows = materialize(_sizes(docs, id_col, text_col, source_col), "sizes")
+    found = with_taken(rows, sampling_plan(rows, **plan), plan.get("seed", 7))
+    return found.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken; the last copy may end early, at a word.
+
+    docs: doc_id, text, source, n_chars and any others; the columns stay, and n_chars follows the text.
+    """
+    rows = materialize(_sizes(docs, "doc_id", "text", "source"), "sizes")
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars")]
+    kept = F.struct(*(F.col(f"`{c}`") for c in names)).alias("other") if names else F.lit(None).alias("other")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", word_count(F.coalesce("text", F.lit(""))).alias("size"), kept)
+    found = with_taken(sized, sampling_plan(rows, **plan), plan.get("seed", 7)).filter("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    pieces = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    words = F.split(F.regexp_replace("text", f"^[{SPACES}]+", ""), f"[{SPACES}]+")
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " "))
+    copies = found.withColumn("words", F.explode(pieces)).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return copies.select(*(F.col(f"other.`{c}`") if c in names else F.col(c) for c in docs.columns))

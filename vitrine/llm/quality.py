@@ -14,11 +14,11 @@ word's hash, so there is no Python call per word. Models are BUCKETS numbers eac
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, ship
@@ -116,57 +116,74 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + PRIOR) / (expected + PRIOR))
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, n_ngrams, log_weight) per row of (doc_id, text_hash, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(ratios)
+def log_weight(spark: SparkSession, ratios: np.ndarray) -> Callable[[Column], Column]:
+    """The log weight of a text: a function of its column. ratios are BUCKETS numbers and so of a fixed size."""
+    model = spark.sparkContext.broadcast(ratios)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ratio = NgramHasher(), model.value
-        for batch in batches:
-            own = batch["text"].cast(pa.binary()).to_pylist()
-            weights, counts = np.zeros(len(own)), np.zeros(len(own), dtype=np.int64)
-            for part in _portions(own):
-                bucket, owner = hasher(own[part])
-                n = part.stop - part.start
-                weights[part] = np.bincount(owner, ratio[bucket], minlength=n)
-                counts[part] = np.bincount(owner, minlength=n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(counts), pa.array(weights)], names=["doc_id", "text_hash", "n_ngrams", "log_weight"])
+    @F.arrow_udf("double")
+    def weigh(text: pa.Array) -> pa.Array:
+        hasher, ratio, own = NgramHasher(), model.value, text.cast(pa.binary()).to_pylist()
+        weights = np.zeros(len(own))
+        for part in _portions(own):
+            bucket, owner = hasher(own[part])
+            weights[part] = np.bincount(owner, ratio[bucket], minlength=part.stop - part.start)
+        return pa.array(weights)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_ngrams long, log_weight double")
+    return weigh
 
 
-def _gumbel(seed: int):
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+def _gumbel(doc_id: Column, text_hash: Column, seed: int) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, text_hash, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """Per row: doc_id, text_hash, n_ngrams, log_weight, sample_key, kept.
-
-    labels: doc_id, quality, toxic; good is quality 1 and toxic 0, and rows with nulls are no labels. Null and empty
-    texts have no n-grams and weight 0, so they stay unless the cut is above that. Rows with one id and text have one
-    key, and ties at the k-th place all stay. Without labelled good documents, or none held out, all rows stay. An empty
-    table gives no rows. Other columns of docs are ignored, whatever their names. Reruns agree.
-    """
-    ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+def _fit(source: DataFrame, labels: DataFrame, seed: int) -> tuple[Callable[[Column], Column], DataFrame]:
+    """The weight of texts, and the labelled good documents (doc_id, held: held out from the fit)."""
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    order = F.xxhash64("doc_id", F.lit(seed))
-    sample = good.orderBy(order, "doc_id").limit(TARGET_SAMPLE)
+    sample = good.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGET_SAMPLE)
     sample = materialize(sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(HOLD_OUT)) == 0), "target")
     # the sample has a fixed bound, so it may be broadcast
     fitted = source.join(F.broadcast(sample.filter("not held")), "doc_id", "left_semi")
     target = _dense(ngram_counts(fitted.select("text")))
     raw = _dense(ngram_counts(source.select("text")))
-    ratios = log_ratios(target, raw) if target.sum() else np.zeros(BUCKETS)
-    scored = log_weights(source, ratios).withColumn("sample_key", F.col("log_weight") + TEMPERATURE * _gumbel(seed))
-    scored = materialize(scored, "weights")
+    return log_weight(source.sparkSession, log_ratios(target, raw) if target.sum() else np.zeros(BUCKETS)), sample
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, Column, Column]:
+    """(doc_id, text_hash, log_weight) as a table, and for docs the log weight and whether a row stays."""
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    weigh, sample = _fit(source, labels, seed)
+    key = lambda weight, id_, hash_: weight + TEMPERATURE * _gumbel(id_, hash_, seed)
+    scored = source.select("doc_id", "text_hash", weigh("text").alias("log_weight"))
+    scored = materialize(scored.withColumn("sample_key", key(F.col("log_weight"), F.col("doc_id"), F.col("text_hash"))), "weights")
     known = materialize(scored.join(F.broadcast(sample), "doc_id"), "known")
     held = known.filter("held").join(known.filter("not held").select("text_hash").distinct(), "text_hash", "left_anti").dropDuplicates(["text_hash"])
     cut = held.agg(F.percentile_approx("log_weight", 1 - KEEP_GOOD, 10_000)).first()[0]
     least = _kth_largest(scored, scored.filter(F.col("log_weight") >= F.lit(cut)).count()) if cut is not None else None
-    return scored.withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= F.lit(least))
+    weight = weigh(text)
+    stays = F.lit(True) if least is None else key(weight, F.col(id_col).cast("long"), F.xxhash64(text)) >= F.lit(least)
+    return scored.withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= F.lit(least)), weight, stays
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """Per row: doc_id, text_hash, log_weight, sample_key, kept.
+
+    labels: doc_id, quality, toxic; good is quality 1 and toxic 0, and rows with nulls are no labels. Null and empty
+    texts have no n-grams and weight 0, so they stay unless the cut is above that. Rows with one id and text have one
+    key, and ties at the k-th place all stay. Without labelled good documents, or none held out, all rows stay. An empty
+    table gives no rows. Other columns of docs are ignored, whatever their names. Reruns agree.
+    """
+    return _scored(docs, labels, id_col, text_col, seed)[0]
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that classify keeps.
+
+    Weights are computed a second time where the rows are, which costs less than joining texts to the first ones.
+    """
+    return docs.filter(_scored(docs, labels, "doc_id", "text", seed)[2])
 
 
 def _kth_largest(rows: DataFrame, k: int) -> float | None:

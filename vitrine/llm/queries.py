@@ -30,7 +30,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash", "source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

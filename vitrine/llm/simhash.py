@@ -19,13 +19,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, ship
+from ._shared import NO_ID, keep_rows, materialize, ship
 from .components import components
 
 TILE = 512
 #: Blocks of so many fingerprints are compared neighbour by neighbour over a whole batch.
 SMALL = 8
 SEED = 42
+#: Near-duplicates on word shingles: words, bits, radius (a Jaccard similarity of 0.8 is expected to differ in 39 bits, with a
+#: standard deviation of 6), and bands of minima (a similarity of 0.8 shares none of them once in 40,000 pairs).
+NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_BANDS = 5, 256, 50, (20, 4)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, size=(2, 1024), dtype=np.uint64) | np.uint64(1)
 
@@ -260,3 +263,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     found = materialize(classes(nodes, radius), "classes")
     named = found.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(found.join(named, "root").drop("root"), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) with one row of each group of near-duplicates, of the least id.
+
+    Texts are linked at a Jaccard similarity of about 0.8 or more over runs of five words. Null ids come first; texts
+    without words are one group. An empty table stays empty.
+    """
+    prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
+    blocks = prints.select(F.explode("blocks").alias("block"), "fp", "ones").distinct()
+    found = classes(prints, NEAR_RADIUS, blocks)
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")).alias("least")
+    own = prints.groupBy("fp").agg(least)
+    kept = own.join(found, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return keep_rows(docs, materialize(kept, "kept"))
