@@ -105,8 +105,8 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 
 def _dense(counts: DataFrame) -> np.ndarray:
     """At most BUCKETS numbers."""
-    out, rows = np.zeros(BUCKETS), counts.toPandas()
-    out[rows["bucket"]] = rows["n"]
+    out, rows = np.zeros(BUCKETS), counts.toArrow()
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
