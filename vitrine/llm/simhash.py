@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import NO_ID, keep_rows, materialize, ship
+from ._shared import NO_ID, keep_rows, materialize, ship, text_of
 from .components import components
 
 TILE = 512
@@ -27,8 +27,10 @@ TILE = 512
 SMALL = 8
 SEED = 42
 #: Near-duplicates on word shingles: words, bits, radius (a Jaccard similarity of 0.8 is expected to differ in 39 bits, with a
-#: standard deviation of 6), and bands of minima (a similarity of 0.8 shares none of them once in 40,000 pairs).
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_BANDS = 5, 256, 50, (20, 4)
+#: standard deviation of 6), and bands of minima (a similarity of 0.8 shares none of them once in 40,000 pairs). Links are
+#: then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts.
+NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_BANDS = 5, 256, 56, (20, 4)
+SIMILARITY, TEXT_TILE = (4, 5), 128
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, size=(2, 1024), dtype=np.uint64) | np.uint64(1)
 
@@ -184,6 +186,23 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
     return out
 
 
+def _by_tile(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole tiles of rows that come in order of keys, and the first row of each tile."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+        names = np.stack([held[k].to_numpy() for k in keys], axis=1)
+        edges = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        if len(edges):  # the last tile may go on in the next batch
+            yield held.slice(0, edges[-1]), np.concatenate([[0], edges[:-1]])
+            held = held.slice(edges[-1]).combine_chunks()
+    if held is not None:
+        yield held, np.zeros(1, dtype=np.int64)
+
+
 def links(dealt: DataFrame, radius: int) -> DataFrame:
     """(a, b): fingerprints whose links join all pairs within the radius that meet in a tile."""
 
@@ -199,11 +218,10 @@ def links(dealt: DataFrame, radius: int) -> DataFrame:
         return _forest(len(group), p[x], q[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, held = 0, None
-
-        def flush(keys: np.ndarray, side: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            starts, sizes = np.concatenate([[0], edge]), np.diff(np.concatenate([[0], edge, [len(keys)]]))
+        for rows, starts in _by_tile(batches, ("block", "tile")):
+            flat = rows["fp"].to_pylist()
+            prints, side = np.frombuffer(b"".join(flat), ">u8").astype(np.uint64).reshape(len(flat), -1), rows["side"].to_numpy()
+            sizes = np.diff(np.concatenate([starts, [len(flat)]]))
             a, b = [], []
             small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & (side == 2)
             group = np.repeat(np.arange(len(sizes)), sizes)
@@ -220,23 +238,7 @@ def links(dealt: DataFrame, radius: int) -> DataFrame:
                     for x, y in compare(prints[s], side[s]):
                         a.append(s.start + x)
                         b.append(s.start + y)
-            raw = prints.astype(">u8")
-            return pa.RecordBatch.from_arrays([pa.array([raw[k].tobytes() for k in x], pa.binary()) for x in (a, b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch["fp"].to_pylist()
-            width = len(flat[0]) // 8
-            prints = np.frombuffer(b"".join(flat), ">u8").astype(np.uint64).reshape(-1, width)
-            now = (np.stack([batch["block"].to_numpy(), batch["tile"].to_numpy()], axis=1), batch["side"].to_numpy(), prints)
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            last = int(np.flatnonzero((held[0] != held[0][-1]).any(axis=1))[-1] + 1) if (held[0] != held[0][-1]).any() else 0
-            if last:  # the last tile may go on in the next batch
-                yield flush(*(x[:last] for x in held))
-                held = tuple(x[last:] for x in held)
-        if held is not None:
-            yield flush(*held)
+            yield pa.RecordBatch.from_arrays([pa.array([flat[k] for k in x], pa.binary()) for x in (a, b)], names=["a", "b"])
 
     ordered = dealt.select("block", "tile", F.col("side").cast("int").alias("side"), "fp").repartition("block", "tile").sortWithinPartitions("block", "tile")
     return ordered.mapInArrow(run, "a binary, b binary")
@@ -265,16 +267,69 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     return prints.join(found.join(named, "root").drop("root"), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def similar(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of rows, of columns) of sets of numbers whose Jaccard similarity is SIMILARITY or more; empty sets are alike."""
+    least, of = SIMILARITY
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = np.zeros((len(rows), len(columns)))
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for k in range(0, len(every), 8192):
+        part = slice(*np.searchsorted(at, (k, k + 8192)))
+        held = np.zeros((len(sets), min(8192, len(every) - k)), dtype=np.float32)
+        held[owner[part], at[part] - k] = 1
+        common += held[rows] @ held[columns].T
+    both = sizes[rows][:, None] + sizes[columns][None, :] - common
+    return np.nonzero(of * common >= least * both)
+
+
+def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fp, root): found (fp, root) split up into the components of links whose texts' shingles are similar enough.
+
+    own: fp and least (id_key, text_hash), the text that stands for each fingerprint. Components of more than TEXT_TILE
+    texts are dealt into tiles that meet pair by pair, each in its own task.
+    """
+    sizes = found.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TEXT_TILE).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = materialize(found.join(sizes, "root").join(own, "fp").select("fp", F.xxhash64("root").alias("block"), "parts", "least.*"), "members")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    placed = texts.join(members, ["id_key", "text_hash"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int"))
+    dealt = met.select("block", tile.alias("tile"), side.alias("side"), "fp", "text").repartition("block", "tile").sortWithinPartitions("block", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _by_tile(batches, ("block", "tile")):
+            prints, sides, a, b = rows["fp"].to_pylist(), rows["side"].to_numpy(), [], []
+            for start, stop in zip(starts, [*starts[1:], len(prints)], strict=True):
+                own_side = sides[start:stop]
+                left = np.flatnonzero(own_side != 1)
+                right = left if own_side[0] == 2 or own_side[-1] == 2 else np.flatnonzero(own_side == 1)
+                if len(left) * len(right) < 2 and right is left or not len(right):
+                    continue
+                sets = [np.unique(shingle_hashes(t, words)) for t in rows["text"].slice(start, stop - start).cast(pa.binary()).to_pylist()]
+                x, y = similar(sets, left, right)
+                for p, q in _forest(stop - start, left[x], right[y]):
+                    a.append(prints[start + p])
+                    b.append(prints[start + q])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
+
+    near = materialize(dealt.mapInArrow(run, "a binary, b binary"), "links")
+    return found.select("fp").join(components(near).select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) with one row of each group of near-duplicates, of the least id.
 
-    Texts are linked at a Jaccard similarity of about 0.8 or more over runs of five words. Null ids come first; texts
-    without words are one group. An empty table stays empty.
+    Texts are linked at a Jaccard similarity of 0.8 or more over runs of five words, each counted once. Null ids come
+    first; texts without words are one group. An empty table stays empty.
     """
     prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
     blocks = prints.select(F.explode("blocks").alias("block"), "fp", "ones").distinct()
-    found = classes(prints, NEAR_RADIUS, blocks)
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")).alias("least")
-    own = prints.groupBy("fp").agg(least)
+    own = materialize(prints.groupBy("fp").agg(least), "nodes")
+    found = confirmed(materialize(classes(prints, NEAR_RADIUS, blocks), "classes"), own, docs, NEAR_WORDS)
     kept = own.join(found, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return keep_rows(docs, materialize(kept, "kept"))
