@@ -33,7 +33,7 @@ PRIOR = 3.0
 #: Of so many good documents one is held out from the fit. Share of the held-out ones that the cut keeps; scale of the noise.
 HOLD_OUT, KEEP_GOOD, TEMPERATURE = 5, 0.995, 0.25
 #: Bytes of text that are hashed at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
