@@ -40,16 +40,16 @@ class Packer:
     def __init__(self, first_sequence: int, capacity: int, max_segments: int, max_loss: int):
         self.limits = np.array([capacity, max_segments, max_loss], dtype=np.float64)
         self.capacity, self.max_segments, self.max_loss = capacity, max_segments, max_loss
-        self.sequence, self.out = first_sequence, []
+        self.sequence, self.alone, self.out = first_sequence, first_sequence + 1, []  # even: filled from the pool; odd: one piece
         self.docs: list = [None] * (POOL + 1)  # of each slot: doc, ids, prompt, start, tokens of the whole document
         self.items = np.full((POOL + 1, 3), np.inf)
         self.free = list(range(POOL, -1, -1))
+        self.left, self.offset = self.limits.copy(), 0  # what the open sequence can still take, and its length
 
     def add(self, doc, ids: bytes, prompt: int) -> None:
         total, start = len(ids) // 4, 0
         while (length := self._most(start, total, prompt)) == self.capacity or length < total - start:
-            self._emit(doc, ids, prompt, start, length, 0)
-            self.sequence += 1
+            self._emit(doc, ids, prompt, start, length, None)
             start += length
             if start == total:
                 return
@@ -72,43 +72,54 @@ class Packer:
     def _loss(prompt: int, start: int, length: int) -> int:
         return length - min(length, max(0, prompt - start))
 
-    def _emit(self, doc, ids: bytes, prompt: int, start: int, length: int, offset: int) -> None:
-        part = memoryview(ids)[start * 4 : (start + length) * 4]
-        self.out.append((doc, start, length, zlib.crc32(part), len(ids) // 4, self.sequence, offset, self._loss(prompt, start, length)))
-
-    def _fill(self, capacity: int | None = None) -> None:
-        """Fill one sequence from the pool; capacity: that of a shorter sequence."""
-        left = self.limits.copy()
-        if capacity:
-            left[0] = capacity
-        offset, least = 0, 1 if capacity else LEAST_CUT
-        while left.min() >= 1 and len(self.free) <= POOL:
+    def _emit(self, doc, ids: bytes, prompt: int, start: int, length: int, offset: int | None) -> None:
+        """Place a piece in the open sequence at offset; without one, in a sequence of its own."""
+        part, sequence = memoryview(ids)[start * 4 : (start + length) * 4], self.sequence
+        if offset is None:
+            sequence, offset, self.alone = self.alone, 0, self.alone + 2
+        self.out.append((doc, start, length, zlib.crc32(part), len(ids) // 4, sequence, offset, self._loss(prompt, start, length)))
+
+    def _fill(self, least: int = LEAST_CUT) -> None:
+        """Put pieces into the open sequence until it is full or none wait; a full one is closed."""
+        left = self.left
+        while left.min() >= 1:
+            if len(self.free) > POOL:
+                return
             fits = (self.items <= left).all(axis=1)
-            worth = self.items @ (left / self.limits**2) if fits.any() else None
-            if worth is not None:
-                slot = int(np.where(fits, worth, -1.0).argmax())
+            if fits.any():
+                slot = int(np.where(fits, self.items @ (left / self.limits**2), -1.0).argmax())
                 length = int(self.items[slot, 0])
             else:
-                waiting = np.where(np.isfinite(self.items[:, 0]), self.items[:, 0], -1.0)
-                slot = int(waiting.argmax())
+                slot = int(np.where(np.isfinite(self.items[:, 0]), self.items[:, 0], -1.0).argmax())
                 doc, ids, prompt, start = self.docs[slot]
                 length = int(min(left[0], self.items[slot, 0], max(0, prompt - start) + left[2]))
                 if length < least:
                     break
             doc, ids, prompt, start = self.docs[slot]
-            self._emit(doc, ids, prompt, start, length, offset)
+            self._emit(doc, ids, prompt, start, length, self.offset)
             left -= (length, 1, self._loss(prompt, start, length))
-            offset += length
+            self.offset += length
             self.items[slot] = np.inf
             self.free.append(slot)
             if start + length < len(ids) // 4:
                 self._hold((doc, ids, prompt, start + length))
-        self.sequence += offset > 0
+        self._close()
+
+    def _close(self) -> None:
+        self.sequence += 2 * (self.offset > 0)
+        self.left, self.offset = self.limits.copy(), 0
 
     def finish(self) -> None:
+        """Place what waits; the last sequences are cut to powers of two where pieces allow it."""
         while len(self.free) <= POOL:
-            rest = int(self.items[np.isfinite(self.items[:, 0]), 0].sum())
-            self._fill(None if rest >= self.capacity else 1 << (rest.bit_length() - 1))
+            rest = int(self.items[np.isfinite(self.items[:, 0]), 0].sum()) + self.offset
+            if rest < self.capacity:
+                size = 1 << (rest.bit_length() - 1)
+                self.left[0] = max(size - self.offset, 0) or self.left[0]
+                self._fill(1)
+            else:
+                self._fill()
+        self._close()
 
     def rows(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) or [()] * len(_TYPES)
