@@ -160,7 +160,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed
     scored = materialize(scored.withColumn("sample_key", key(F.col("log_weight"), F.col("doc_id"), F.col("text_hash"))), "weights")
     known = materialize(scored.join(F.broadcast(sample), "doc_id"), "known")
     held = known.filter("held").join(known.filter("not held").select("text_hash").distinct(), "text_hash", "left_anti").dropDuplicates(["text_hash"])
-    cut = held.agg(F.percentile_approx("log_weight", 1 - KEEP_GOOD, 10_000)).first()[0]
+    cut = held.agg(F.least(F.percentile_approx("log_weight", 1 - KEEP_GOOD, 10_000), F.lit(0.0))).first()[0] if held.head(1) else None
     least = _kth_largest(scored, scored.filter(F.col("log_weight") >= F.lit(cut)).count()) if cut is not None else None
     weight = weigh(text)
     stays = F.lit(True) if least is None else key(weight, F.col(id_col).cast("long"), F.xxhash64(text)) >= F.lit(least)
@@ -171,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Per row: doc_id, text_hash, log_weight, sample_key, kept.
 
     labels: doc_id, quality, toxic; good is quality 1 and toxic 0, and rows with nulls are no labels. Null and empty
-    texts have no n-grams and weight 0, so they stay unless the cut is above that. Rows with one id and text have one
+    texts have no n-grams and weight 0; the cut is never above that, so noise alone can reject them. Rows with one id and text have one
     key, and ties at the k-th place all stay. Without labelled good documents, or none held out, all rows stay. An empty
     table gives no rows. Other columns of docs are ignored, whatever their names. Reruns agree.
     """
