@@ -164,3 +164,44 @@ def test_plans_stay_native(spark, data):
 def test_top_per_author(spark):
     rows = spark.createDataFrame([(k, k % 2, f"2024-01-0{1 + k // 2}") for k in range(8)], "id long, author_id long, published_at string")
     assert sorted((r["author_id"], r["id"]) for r in ranking.top_per_author(rows, 2).collect()) == [(0, 4), (0, 6), (1, 5), (1, 7)]
+
+
+def test_more_urls(spark):
+    pages = ["https://WWW.p.com/pin/12/", "https://p.com/pin/x", "https://q.com/pin/12", None]
+    assert values(spark, [(p,) for p in pages], "s struct<v:string>", urls.detail_url(F.coalesce(F.col("s.v"), F.lit("")), "p.com")) == ["https://www.p.com/pin/12/", "", "", ""]
+    assets = ["https://i.h.com/75x75_RS/a.jpg", "https://i.h.com/a/200x40/b.jpg", "https://i.h.com/Avatars/b.png", "https://i.h.com/", "https://i.h.com/x/y/z.gif", "ftp://i.h.com/a.jpg", "https://o.com/a.PNG?x"]
+    assert values(spark, [(p,) for p in assets], "s struct<v:string>", urls.small_asset(F.col("s.v"))) == [True, False, True, True, False, False, False]
+    assert values(spark, [(p,) for p in assets], "s struct<v:string>", urls.allowed_image(F.col("s.v"), "h.com")) == [False, True, False, False, True, False, False]
+    assert values(spark, [(p,) for p in assets], "s struct<v:string>", urls.allowed_image(F.col("s.v")))[-2:] == [False, True]
+    assert values(spark, [(None, "", "b"), (None, None, None)], "s struct<a:string,b:string,c:string>", urls.first_address(F.col("s.a"), F.col("s.b"), F.col("s.c"))) == ["b", ""]
+    assert values(spark, [(" a &amp;\0 b\n\tc ",), (None,)], "s struct<v:string>", text.clean_text(F.col("s.v"), 7)) == ["a & b c"[:7], ""]
+
+
+def test_page_images_and_new_keys(spark):
+    html = '<img alt="x" src="/a.jpg" srcset="/b.jpg 1x, /a.jpg 2x"><source srcset="/c.webp"><link rel=preload as="image" href="/d.png"><link href="/e.css"><p>'
+    got = curation.page_images(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).collect()
+    assert [(r["kind"], r["url"], r["alt"]) for r in got] == [("img", "/a.jpg", "x"), ("img", "/b.jpg", "x"), ("source", "/c.webp", ""), ("link", "/d.png", "")]
+    key = lambda *x: spark.createDataFrame([(k,) for k in x], "key string")
+    assert curation.new_keys(key("a", "b", "b"), key("a")).first()["added"] == 1
+
+
+def test_profiles_and_checks(spark):
+    changes = spark.createDataFrame([(1, 1, 1, "a", None), (1, 2, 2, None, "x"), (1, 3, 3, "b", None), (2, 1, 4, None, None)], "user_id long, ts long, id long, nickname string, bio string")
+    assert {r["user_id"]: (r["nickname"], r["bio"]) for r in events.profiles(changes, ["nickname", "bio"]).collect()} == {1: ("b", "x"), 2: (None, None)}
+    rows = spark.createDataFrame([("ok", "t"), (" ", "t"), ("ok", "t" * 6), (None, "t")], "title string, content string")
+    assert [r["fault"] for r in events.checked(rows, {"title": 5, "content": 5}).collect()] == [None, "title", "content", "title"]
+
+
+def test_ranked_and_dealt(spark):
+    items = spark.createDataFrame([(1, "2024-01-08 00:00:00", 0.0), (2, "2024-01-01 00:00:00", 1.0), (3, "2024-01-08 00:00:00", None)], "id long, published_at string, quality double")
+    got = recsys.ranked(items, {"freshness": 1.0, "quality": 0.4}, "2024-01-08 00:00:00").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(1, 1.0), (3, 1.0), (2, 0.9)]
+    cards = spark.createDataFrame([(0, k, k, 1.0) for k in range(4)], "page int, place int, id long, ratio double")
+    assert [r["column"] for r in layout.pack(cards, 1.0, [0.0, 0.0], 0.4, 0.0).orderBy("place").collect()] == [0, 1, 0, 1]
+
+
+def test_media_names(spark):
+    names = ["a.JPG", "b.webp", "c", ".hidden", " d.x.png"]
+    assert values(spark, [(n,) for n in names], "s struct<v:string>", media.content_type(F.col("s.v"))) == ["image/jpeg", "image/webp", "application/octet-stream", "application/octet-stream", "image/png"]
+    assert values(spark, [(n,) for n in names], "s struct<v:string>", media.title_of(F.col("s.v"))) == ["a", "b", "c", ".hidden", "d.x"]
+    assert values(spark, [("2024-03-05", "0123456789abcdef0123456789")], "s struct<d:string,h:string>", media.object_key(F.to_date("s.d"), F.col("s.h"), F.lit(".png"))) == ["originals/2024/03/05/0123456789abcdef0123.png"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -81,3 +82,13 @@ def slug(column: Column) -> Column:
         return pd.Series([slug_text(v, f"key-{d[:16]}") for v, d in zip(values, digests, strict=True)])
 
     return run(F.coalesce(column, F.lit("")), F.sha1(F.coalesce(column, F.lit(""))))
+
+
+def clean_text(column: Column, most: int = 500) -> Column:
+    """Entities decoded, NUL removed, white space collapsed, cut. A pandas UDF: Spark decodes no entities."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: " ".join(html.unescape(v or "").replace("\0", "").split())[:most])
+
+    return run(F.coalesce(column, F.lit("")))

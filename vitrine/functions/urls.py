@@ -100,3 +100,29 @@ def ranked_urls(urls: Column) -> Column:
     """By quality, best first; of equal ones the earlier first."""
     scored = F.transform(urls, lambda u, k: F.struct((-quality_score(u)).alias("less"), k.alias("k"), u.alias("u")))
     return F.transform(F.array_sort(scored), lambda x: x["u"])
+
+
+def detail_url(url: Column, host_ending: str, folder: str = "pin") -> Column:
+    """https://www.<host>/<folder>/<digits>/ of a detail page on a known host; else empty."""
+    number = F.regexp_extract(path_of(url), rf"(?i)^/{folder}/([0-9]+)(/|$)", 1)
+    known = F.lower(host_of(url)).endswith(host_ending) & (number != "")
+    return F.when(known, F.concat(F.lit(f"https://www.{host_ending}/{folder}/"), number, F.lit("/"))).otherwise("")
+
+
+def small_asset(url: Column, least: int = 200) -> Column:
+    """Avatars, videos and images that one of the first two segments says are smaller than this on both sides."""
+    parts = segments(url)
+    sized = F.filter(F.slice(parts, 1, 2), lambda s: s.rlike(r"(?i)^\d+x\d+(_[A-Z]+)?$"))
+    first = F.get(sized, F.lit(0))
+    return F.when(F.size(parts) == 0, True).when(F.lower(parts[0]).isin("avatars", "videos"), True).otherwise(F.coalesce(F.greatest(*(F.regexp_extract(first, r"^(\d+)[xX](\d+)", g).try_cast("int") for g in (1, 2))) < least, F.lit(False)))
+
+
+def allowed_image(url: Column, host_ending: str | None = None) -> Column:
+    """http(s) URLs with an image ending; of a known host only, and no small assets, if one is given."""
+    image = url.rlike("^https?://") & F.lower(path_of(url)).rlike(r"\.(jpg|jpeg|png|webp|gif|bmp)$")
+    return image if host_ending is None else image & F.lower(host_of(url)).endswith(host_ending) & ~small_asset(url)
+
+
+def first_address(*columns: Column) -> Column:
+    """The first address of a chain that isn't null or empty; empty if there is none."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))

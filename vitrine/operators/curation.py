@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import canonical_key, quality_score
 from ..functions.text import ordered_union
+from ..functions.urls import canonical_key, quality_score, srcset
 
 
 def with_keys(candidates: DataFrame, host_ending: str) -> DataFrame:
@@ -107,3 +107,19 @@ def crawl(edges: DataFrame, seeds: DataFrame, rounds: int, most: int | None = No
             break
         seen = seen.unionByName(frontier)
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(source, kind, url, alt) of the images that pages (url, html) show or offer: src, srcset and preloaded ones."""
+    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:img|source|link)\s[^>]*>)")))
+    rows = pages.select(F.col("url").alias("source"), tag.alias("tag"))
+    value = lambda name: F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)", 1)
+    kind = F.lower(F.regexp_extract("tag", "(?i)<([a-z]+)", 1))
+    named = rows.select("source", kind.alias("kind"), value("src").alias("src"), value("srcset").alias("set"), value("alt").alias("alt"), value("href").alias("href"), F.lower(value("as")).alias("as"))
+    shown = F.filter(F.concat(F.array(F.when(F.col("kind") == "img", F.col("src")).when((F.col("kind") == "link") & (F.col("as") == "image"), F.col("href")).otherwise("")), srcset(F.col("set"))), lambda u: u != "")
+    return named.select("source", "kind", F.explode(F.array_distinct(shown)).alias("url"), "alt")
+
+
+def new_keys(found: DataFrame, known: DataFrame) -> DataFrame:
+    """How many keys of found are new."""
+    return found.select("key").distinct().join(known.select("key"), "key", "left_anti").agg(F.count(F.lit(1)).alias("added"))

@@ -96,3 +96,15 @@ def rejected(events: DataFrame, images: DataFrame, users: DataFrame) -> DataFram
     by_image = events.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti").withColumn("reason", F.lit("image"))
     there = events.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
     return by_image.unionByName(there.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(*events.columns).withColumn("reason", F.lit("user")))
+
+
+def profiles(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """Per user (user_id, ts, id and columns) the latest value of each column that a change gives; null leaves it."""
+    order = F.struct("ts", "id")
+    return changes.groupBy("user_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns))
+
+
+def checked(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """rows with fault: the first text column that is blank or longer than its limit; null if all are in order."""
+    faults = [F.when(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))).between(1, 1 << 30) & (F.length(c) <= n), None).otherwise(F.lit(c)) for c, n in limits.items()]
+    return rows.withColumn("fault", F.coalesce(*faults))

@@ -17,12 +17,13 @@ def shortest(heights: Column) -> Column:
     return (F.array_position(heights, F.array_min(heights)) - 1).cast("int")
 
 
-def pack(cards: DataFrame, width: float, start: list[float]) -> DataFrame:
+def pack(cards: DataFrame, width: float, start: list[float], gap: float = GAP, least: float = LEAST_HEIGHT) -> DataFrame:
     """(page, id, place, column, x, y, height) of cards (page, place, id, ratio: height over width).
 
-    start: the heights of the columns before the first card; reserved columns begin with what stands in them.
+    start: the heights of the columns before the first card; reserved columns begin with what stands in them. With a
+    width of 1, a gap of 0.4 and no least height, cards are dealt to columns by ratio alone.
     """
-    height = lambda ratio: F.greatest(F.lit(LEAST_HEIGHT), F.lit(width) * ratio)
+    height = lambda ratio: F.greatest(F.lit(least), F.lit(width) * ratio)
     pages = cards.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", "id", height(F.col("ratio")).alias("height")))).alias("cards"))
     placed = "array<struct<place:int,id:bigint,height:double,column:int,y:double>>"
     zero = F.struct(F.array(*(F.lit(float(h)) for h in start)).alias("heights"), F.array().cast(placed).alias("out"))
@@ -30,9 +31,9 @@ def pack(cards: DataFrame, width: float, start: list[float]) -> DataFrame:
     def put(held: Column, card: Column) -> Column:
         column = shortest(held["heights"])
         y = F.get(held["heights"], column)
-        heights = F.transform(held["heights"], lambda h, k: F.when(k == column, h + card["height"] + GAP).otherwise(h))
+        heights = F.transform(held["heights"], lambda h, k: F.when(k == column, h + card["height"] + gap).otherwise(h))
         item = F.struct(card["place"].cast("int").alias("place"), card["id"].cast("bigint").alias("id"), card["height"].alias("height"), column.alias("column"), y.alias("y"))
         return F.struct(heights.alias("heights"), F.concat(held["out"], F.array(item)).alias("out"))
 
     folded = pages.select("page", F.explode(F.aggregate("cards", zero, put)["out"]).alias("c")).select("page", "c.*")
-    return folded.withColumn("x", F.col("column") * F.lit(width + GAP)).select("page", "id", "place", "column", "x", "y", "height")
+    return folded.withColumn("x", F.col("column") * F.lit(width + gap)).select("page", "id", "place", "column", "x", "y", "height")

@@ -38,3 +38,11 @@ def click_rates(log: DataFrame) -> DataFrame:
     count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
     rows = log.groupBy("image_id").agg(count("VIEW").alias("views"), count("CLICK").alias("clicks"))
     return rows.withColumn("per_mille", F.when(F.col("views") > 0, F.floor(F.col("clicks") * 1000 / F.col("views"))))
+
+
+def ranked(items: DataFrame, weights: dict[str, float], now: str, half_life_days: float = 7.0) -> DataFrame:
+    """items (id, published_at and the weighted columns, each from 0 to 1) by their weighted sum with freshness added."""
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 86_400
+    fresh = F.pow(F.lit(0.5), F.greatest(age, F.lit(0)) / half_life_days)
+    score = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items() if c != "freshness"), fresh * weights.get("freshness", 0.0))
+    return items.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "id")
