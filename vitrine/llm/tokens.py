@@ -25,7 +25,7 @@ _SIMPLE = re.compile(" ?[!-&(-~\\xa1-\\xff]+")
 _RUNS = re.compile(f" ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^{_LATIN}{_DIGIT} ]+")
 _PARTS = re.compile(f"[{_LATIN}]+|[{_DIGIT}]|[^{_LATIN}{_DIGIT}]+")
 #: A worker holds this many chunks at most; beyond it the memory is emptied and filled anew.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
