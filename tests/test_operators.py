@@ -117,6 +117,10 @@ def test_category_tree_with_orphan_and_cycle(spark):
     assert [(r["id"], r["depth"]) for r in tree] == [(2, 0), (4, 0), (1, 0), (3, 1)]
 
 
+def test_grid():
+    assert layout.grid(1000.0) == (4, 242.5) and layout.grid(100.0) == (1, 100.0) and layout.grid(99_999.0)[0] == 12
+
+
 def test_masonry(spark):
     rng = random.Random(2)
     cards = [(p, k, p * 100 + k, rng.choice([0.3, 1.0, 1.4])) for p in range(3) for k in range(25)]

@@ -10,6 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP, LEAST_HEIGHT = 10.0, 136.0
+#: Width that columns are near to, and how many there are at most (fixed values).
+COLUMN_WIDTH, MOST_COLUMNS = 236.0, 12
+
+
+def grid(width: float, gap: float = GAP, near: float = COLUMN_WIDTH, most: int = MOST_COLUMNS) -> tuple[int, float]:
+    """How many columns fit into a width, and how wide each is."""
+    n = max(1, min(most, int((width + gap) // (near + gap))))
+    return n, (width - (n - 1) * gap) / n
 
 
 def shortest(heights: Column) -> Column:
