@@ -57,8 +57,8 @@ def assign_ids(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     numbered = ranged.join(before, "range").withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(key)))
-    largest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("largest"))
-    return numbered.crossJoin(F.broadcast(largest)).select((F.col("largest") + F.col("before") + F.col("k")).cast("long").alias("id"), key)
+    largest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered.select((F.lit(largest) + F.col("before") + F.col("k")).cast("long").alias("id"), key)
 
 
 def slug_collisions(names: DataFrame, slug: Column) -> DataFrame:
