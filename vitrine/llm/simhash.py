@@ -4,8 +4,8 @@ Fingerprints are made per text and grouped, so that copies cost one row. Every p
 for small radii blocks are the bits outside some pieces (with more pieces than differing bits, enough pieces agree); for
 near-duplicates on word shingles, where fingerprints differ in many bits, blocks are bands of minima of the same shingle
 hashes. A block of up to TILE fingerprints is one tile. A larger one is dealt into tiles by bit count; tiles meet only
-if their bit counts allow a pair within the radius, each pair of tiles in its own task. Tiles give a spanning forest of
-their links instead of all pairs. Components of the links are found by joins.
+if their bit counts allow a pair within the radius, each pair of tiles in its own task. Tiles give a star for each
+component of their links instead of all pairs. Components of the links are found by joins.
 """
 
 from __future__ import annotations
@@ -167,23 +167,26 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what the given pairs join, fewer than n."""
-    parent = list(range(n))
+def _stars(prints: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links that join what the given pairs join: each print with the least one of its component.
+
+    The least print is nearly always the same in all the blocks where a group meets, so most links coincide.
+    """
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
         return x
 
-    out = []
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
         ra, rb = root(a), root(b)
         if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+            if prints[rb] < prints[ra]:
+                ra, rb = rb, ra
+            parent[rb] = ra
+    return [(prints[x], prints[r]) for x in list(parent) if (r := root(x)) != x]
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -203,26 +206,30 @@ def _by_tile(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield held, np.zeros(1, dtype=np.int64)
 
 
+def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def links(dealt: DataFrame, radius: int) -> DataFrame:
     """(a, b): fingerprints whose links join all pairs within the radius that meet in a tile."""
 
-    def compare(group: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    def compare(group: np.ndarray, side: np.ndarray, raw: list[bytes]) -> list[tuple[bytes, bytes]]:
         order = np.argsort(np.bitwise_count(group).sum(axis=1, dtype=np.int64), kind="stable")
         if side[0] == 2:
             own = group[order]
             x, y = _close(own, own, radius)
             keep = x < y
-            return _forest(len(own), order[x[keep]], order[y[keep]])
+            return _stars(raw, order[x[keep]], order[y[keep]])
         p, q = order[side[order] == 0], order[side[order] == 1]
         x, y = _close(group[p], group[q], radius)
-        return _forest(len(group), p[x], q[y])
+        return _stars(raw, p[x], q[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _by_tile(batches, ("block", "tile")):
             flat = rows["fp"].to_pylist()
             prints, side = np.frombuffer(b"".join(flat), ">u8").astype(np.uint64).reshape(len(flat), -1), rows["side"].to_numpy()
             sizes = np.diff(np.concatenate([starts, [len(flat)]]))
-            a, b = [], []
+            pairs, near = [], []
             small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & (side == 2)
             group = np.repeat(np.arange(len(sizes)), sizes)
             for gap in range(1, SMALL):
@@ -230,15 +237,14 @@ def links(dealt: DataFrame, radius: int) -> DataFrame:
                 if not len(at):
                     break
                 at = at[np.bitwise_count(prints[at] ^ prints[at + gap]).sum(axis=1, dtype=np.int64) <= radius]
-                a += at.tolist()
-                b += (at + gap).tolist()
+                near.append((at, at + gap))
+            if near:
+                pairs += _stars(flat, *map(np.concatenate, zip(*near, strict=True)))
             for k in np.flatnonzero(sizes > 1):
                 s = slice(starts[k], starts[k] + sizes[k])
                 if not small[s.start]:
-                    for x, y in compare(prints[s], side[s]):
-                        a.append(s.start + x)
-                        b.append(s.start + y)
-            yield pa.RecordBatch.from_arrays([pa.array([flat[k] for k in x], pa.binary()) for x in (a, b)], names=["a", "b"])
+                    pairs += compare(prints[s], side[s], flat[s])
+            yield _pairs(pairs)
 
     ordered = dealt.select("block", "tile", F.col("side").cast("int").alias("side"), "fp").repartition("block", "tile").sortWithinPartitions("block", "tile")
     return ordered.mapInArrow(run, "a binary, b binary")
@@ -302,7 +308,7 @@ def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _by_tile(batches, ("block", "tile")):
-            prints, sides, a, b = rows["fp"].to_pylist(), rows["side"].to_numpy(), [], []
+            prints, sides, pairs = rows["fp"].to_pylist(), rows["side"].to_numpy(), []
             for start, stop in zip(starts, [*starts[1:], len(prints)], strict=True):
                 own_side = sides[start:stop]
                 left = np.flatnonzero(own_side != 1)
@@ -311,10 +317,8 @@ def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
                     continue
                 sets = [np.unique(shingle_hashes(t, words)) for t in rows["text"].slice(start, stop - start).cast(pa.binary()).to_pylist()]
                 x, y = similar(sets, left, right)
-                for p, q in _forest(stop - start, left[x], right[y]):
-                    a.append(prints[start + p])
-                    b.append(prints[start + q])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
+                pairs += _stars(prints[start:stop], left[x], right[y])
+            yield _pairs(pairs)
 
     near = materialize(dealt.mapInArrow(run, "a binary, b binary"), "links")
     return found.select("fp").join(components(near).select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
