@@ -171,8 +171,8 @@ def test_top_per_author(spark):
 
 
 def test_more_urls(spark):
-    pages = ["https://WWW.p.com/pin/12/", "https://p.com/pin/x", "https://q.com/pin/12", None]
-    assert values(spark, [(p,) for p in pages], "s struct<v:string>", urls.detail_url(F.coalesce(F.col("s.v"), F.lit("")), "p.com")) == ["https://www.p.com/pin/12/", "", "", ""]
+    pages = ["https://WWW.p.com/item/12/", "https://p.com/item/x", "https://q.com/item/12", None]
+    assert values(spark, [(p,) for p in pages], "s struct<v:string>", urls.detail_url(F.coalesce(F.col("s.v"), F.lit("")), "p.com", "item")) == ["https://www.p.com/item/12/", "", "", ""]
     assets = ["https://i.h.com/75x75_RS/a.jpg", "https://i.h.com/a/200x40/b.jpg", "https://i.h.com/Avatars/b.png", "https://i.h.com/", "https://i.h.com/x/y/z.gif", "ftp://i.h.com/a.jpg", "https://o.com/a.PNG?x"]
     assert values(spark, [(p,) for p in assets], "s struct<v:string>", urls.small_asset(F.col("s.v"))) == [True, False, True, True, False, False, False]
     assert values(spark, [(p,) for p in assets], "s struct<v:string>", urls.allowed_image(F.col("s.v"), "h.com")) == [False, True, False, False, True, False, False]

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# tasks get the functions of this module by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def has_text(column: Column, default: str | Column) -> Column:
     """The column, or the default where it is null, empty or blank."""

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import html
+import sys
 from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# tasks get the functions of this module by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A path segment that states a size, such as 236x, x600 or 75x75 (fixed values).
 SIZE_SEGMENT = r"^(\d+x\d*|x\d+)$"
 #: Endings of image files that add to the quality (fixed values).
@@ -102,7 +107,7 @@ def ranked_urls(urls: Column) -> Column:
     return F.transform(F.array_sort(scored), lambda x: x["u"])
 
 
-def detail_url(url: Column, host_ending: str, folder: str = "pin") -> Column:
+def detail_url(url: Column, host_ending: str, folder: str) -> Column:
     """https://www.<host>/<folder>/<digits>/ of a detail page on a known host; else empty."""
     number = F.regexp_extract(path_of(url), rf"(?i)^/{folder}/([0-9]+)(/|$)", 1)
     known = F.lower(host_of(url)).endswith(host_ending) & (number != "")
