@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="vitrine-")
     target = os.path.join(folder, "vitrine_llm_code.zip")
     with zipfile.ZipFile(target, "w") as out:
-        for path in [ROOT / "__init__.py", *sorted((ROOT / "llm").glob("*.py"))]:
+        for path in sorted(ROOT.rglob("*.py")):  # the whole package, as this copy comes first in the tasks' search path
             out.write(path, path.relative_to(ROOT.parent))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
