@@ -88,7 +88,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path).mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
     sizes = spark.read.schema(SCHEMA).orc(path).select(F.col("_metadata.file_name").alias("file"), F.size("ids").cast("long").alias("n"))
     totals = sizes.groupBy("file").agg(F.sum("n").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    in_order = Window.orderBy(F.length("file"), "file")  # numbers in names grow longer beyond 99,999
+    before = totals.select("file", (F.sum("total").over(in_order) - F.col("total")).alias("before"))
     within = Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(before, "file").select(
         "doc_id",
