@@ -125,7 +125,7 @@ def test_large_blocks_are_tiled(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("tile", [128, 4])
+@pytest.mark.parametrize("tile", [512, 4])
 def test_near_duplicates_by_shingles(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TEXT_TILE", tile)
     rng = random.Random(6)

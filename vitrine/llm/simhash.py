@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from ._shared import NO_ID, keep_rows, materialize, ship, text_of
 from .components import components
 
-TILE = 512
+TILE = 4096
 #: Blocks of so many fingerprints are compared neighbour by neighbour over a whole batch.
 SMALL = 8
 SEED = 42
 #: Near-duplicates on word shingles: words, bits, radius (a Jaccard similarity of 0.8 is expected to differ in 39 bits, with a
 #: standard deviation of 6), and bands of minima (a similarity of 0.8 shares none of them once in 40,000 pairs). Links are
-#: then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts.
+#: then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts and shingles.
 NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_BANDS = 5, 256, 56, (20, 4)
-SIMILARITY, TEXT_TILE = (4, 5), 128
+SIMILARITY, TEXT_TILE, SHINGLE_TILE = (4, 5), 512, 2_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, size=(2, 1024), dtype=np.uint64) | np.uint64(1)
 
@@ -78,7 +78,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, words: int, bits: int = 64, bands: tuple[int, int] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, ones (its bits that are set) and, with bands (how many, of how many minima each), blocks. No words: all bits 0.
+    """doc_id, text_hash, fp, ones (its bits that are set), shingles and, with bands (how many, of how many minima each), blocks. No words: all bits 0.
 
     With bands, repeats of a shingle count once, as for the Jaccard similarity; otherwise each counts.
     """
@@ -86,20 +86,21 @@ def fingerprints(docs: DataFrame, words: int, bits: int = 64, bands: tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, blocks = [], []
+            prints, blocks, shingles = [], [], []
             for text in batch["text"].cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(text, words)
                 hashes = np.unique(hashes) if bands else hashes
                 prints.append(simhash(hashes, bits))
+                shingles.append(len(hashes))
                 if bands:
                     blocks.append(band_keys(hashes, *bands))
             ones = [int.from_bytes(p, "big").bit_count() for p in prints]
-            columns = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": pa.array(prints, pa.binary()), "ones": pa.array(ones, pa.int32())}
+            columns = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": pa.array(prints, pa.binary()), "ones": pa.array(ones, pa.int32()), "shingles": pa.array(shingles, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns | ({"blocks": pa.array(blocks, pa.list_(pa.int64()))} if bands else {}))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fp binary, ones int" + ", blocks array<long>" * bool(bands))
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp binary, ones int, shingles long" + ", blocks array<long>" * bool(bands))
 
 
 def piece_blocks(prints: DataFrame, radius: int, spare: int = 2) -> DataFrame:
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     ids: a component of null ids alone has a null id. Repeated rows are in one component. An empty table gives no rows.
     Other columns of docs are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, words, id_col=id_col, text_col=text_col).drop("text_hash"), "fingerprints")
+    prints = materialize(fingerprints(docs, words, id_col=id_col, text_col=text_col).drop("text_hash", "shingles"), "fingerprints")
     nodes = materialize(prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("least")), "nodes")
     found = materialize(classes(nodes, radius), "classes")
     named = found.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -294,10 +295,11 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> tu
 def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(fp, root): found (fp, root) split up into the components of links whose texts' shingles are similar enough.
 
-    own: fp and least (id_key, text_hash), the text that stands for each fingerprint. Components of more than TEXT_TILE
-    texts are dealt into tiles that meet pair by pair, each in its own task.
+    own: fp, shingles and least (id_key, text_hash), the text that stands for each fingerprint. Components of more than
+    TEXT_TILE texts or SHINGLE_TILE shingles are dealt into tiles that meet pair by pair, each in its own task.
     """
-    sizes = found.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TEXT_TILE).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("shingles") / SHINGLE_TILE)).cast("int").alias("parts")
+    sizes = found.join(own, "fp").groupBy("root").agg(parts, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = materialize(found.join(sizes, "root").join(own, "fp").select("fp", F.xxhash64("root").alias("block"), "parts", "least.*"), "members")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     placed = texts.join(members, ["id_key", "text_hash"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
@@ -333,7 +335,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
     blocks = prints.select(F.explode("blocks").alias("block"), "fp", "ones").distinct()
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")).alias("least")
-    own = materialize(prints.groupBy("fp").agg(least), "nodes")
+    own = materialize(prints.groupBy("fp").agg(least, F.max("shingles").alias("shingles")), "nodes")
     found = confirmed(materialize(classes(prints, NEAR_RADIUS, blocks), "classes"), own, docs, NEAR_WORDS)
     kept = own.join(found, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return keep_rows(docs, materialize(kept, "kept"))
