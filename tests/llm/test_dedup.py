@@ -148,3 +148,18 @@ def test_near_duplicates_by_shingles(spark, monkeypatch, tile):
     kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, pairs)).collect())
     assert kept == sorted({pairs[w][0] for w in want})
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_near_duplicates_at_the_bound_in_short_texts(spark):
+    """Pairs of 6 to 30 words at a similarity of exactly 0.8 are found, though some differ in many bits; those below it are kept."""
+    rng = np.random.default_rng(7)
+    pairs, kept = [], []
+    for words, more in [(8, 1)] * 200 + [(12, 2), (16, 3), (20, 4), (24, 5)] * 50:  # 4 of 5 to 20 of 25 common runs of five words
+        own = [f"w{x}" for x in rng.integers(0, 2**40, words + more)]
+        kept.append(len(pairs))
+        pairs += [(len(pairs), " ".join(own[:words])), (len(pairs) + 1, " ".join(own))]
+    for words in (6, 12, 29):  # a word in the middle: 0 of 5, 4 of 13 and 21 of 30 runs are common
+        own = [f"w{x}" for x in rng.integers(0, 2**40, words + 1)]
+        kept += [len(pairs), len(pairs) + 1]
+        pairs += [(len(pairs), " ".join(own[:words])), (len(pairs) + 1, " ".join([*own[: words // 2], "x", *own[words // 2 :]]))]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, pairs)).collect()) == kept

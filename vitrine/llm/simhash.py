@@ -1,11 +1,13 @@
 """Near-duplicates by SimHash: tiled exact comparison of fingerprints by exclusive-or and bit counts.
 
 Fingerprints are made per text and grouped, so that copies cost one row. Every pair within the radius shares a block:
-for small radii blocks are the bits outside some pieces (with more pieces than differing bits, enough pieces agree); for
-near-duplicates on word shingles, where fingerprints differ in many bits, blocks are bands of minima of the same shingle
-hashes. A block of up to TILE fingerprints is one tile. A larger one is dealt into tiles by bit count; tiles meet only
-if their bit counts allow a pair within the radius, each pair of tiles in its own task. Tiles give a star for each
-component of their links instead of all pairs. Components of the links are found by joins.
+blocks are the bits outside some pieces (with more pieces than differing bits, enough pieces agree). A block of up to
+TILE fingerprints is one tile. A larger one is dealt into tiles by bit count; tiles meet only if their bit counts allow a
+pair within the radius, each pair of tiles in its own task. Tiles give a star for each component of their links instead
+of all pairs. Components of the links are found by joins.
+
+For near-duplicates on word shingles fingerprints only name the texts. Texts that share a band of minima of their shingle
+hashes are candidates, however far apart their fingerprints are, and the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -26,10 +28,9 @@ TILE = 4096
 #: Blocks of so many fingerprints are compared neighbour by neighbour over a whole batch.
 SMALL = 8
 SEED = 42
-#: Near-duplicates on word shingles: words, bits, radius (a Jaccard similarity of 0.8 is expected to differ in 39 bits, with a
-#: standard deviation of 6), and bands of minima (a similarity of 0.8 shares none of them once in 40,000 pairs). Links are
-#: then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts and shingles.
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_BANDS = 5, 256, 56, (20, 4)
+#: Near-duplicates on word shingles: words, bits, and bands of minima (a similarity of 0.8 shares none of them once in 40,000
+#: pairs). Links are then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts and shingles.
+NEAR_WORDS, NEAR_BITS, NEAR_BANDS = 5, 256, (20, 4)
 SIMILARITY, TEXT_TILE, SHINGLE_TILE = (4, 5), 512, 2_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, size=(2, 1024), dtype=np.uint64) | np.uint64(1)
@@ -251,15 +252,25 @@ def links(dealt: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def classes(prints: DataFrame, radius: int, blocks: DataFrame | None = None) -> DataFrame:
-    """(fp, root): the component of every fingerprint, named by its least fingerprint."""
-    nodes = prints.select("fp", "ones").distinct()
-    blocks = materialize(piece_blocks(nodes, radius) if blocks is None else blocks, "blocks")
-    near = materialize(links(tiles(blocks, radius), radius), "links")
+def _rooted(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(fp, root): the component of every node (fp) by the links near (a, b), named by its least fingerprint."""
     found = components(near).select(F.col("node").alias("fp"), "root")
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): the component of every fingerprint, named by its least fingerprint."""
+    nodes = prints.select("fp", "ones").distinct()
+    blocks = materialize(piece_blocks(nodes, radius), "blocks")
+    return _rooted(nodes, materialize(links(tiles(blocks, radius), radius), "links"))
+
+
+def block_links(blocks: DataFrame) -> DataFrame:
+    """(a, b): links that join all fingerprints of a block (block, fp): each with the block's least one."""
+    least = materialize(blocks.groupBy("block").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "least")
+    return blocks.join(least, "block").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (hexadecimal), component_id: the smallest id linked to it, directly or through others.
 
@@ -323,7 +334,7 @@ def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
             yield _pairs(pairs)
 
     near = materialize(dealt.mapInArrow(run, "a binary, b binary"), "links")
-    return found.select("fp").join(components(near).select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return _rooted(found.select("fp"), near)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -333,9 +344,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     first; texts without words are one group. An empty table stays empty.
     """
     prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
-    blocks = prints.select(F.explode("blocks").alias("block"), "fp", "ones").distinct()
+    blocks = materialize(prints.select(F.explode("blocks").alias("block"), "fp").distinct(), "blocks")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")).alias("least")
     own = materialize(prints.groupBy("fp").agg(least, F.max("shingles").alias("shingles")), "nodes")
-    found = confirmed(materialize(classes(prints, NEAR_RADIUS, blocks), "classes"), own, docs, NEAR_WORDS)
+    candidates = materialize(_rooted(own.select("fp"), materialize(block_links(blocks), "links")), "classes")
+    found = confirmed(candidates, own, docs, NEAR_WORDS)
     kept = own.join(found, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return keep_rows(docs, materialize(kept, "kept"))
