@@ -121,6 +121,17 @@ def test_license_expressions():
         assert licenses.to_postfix(bad) is None
 
 
+def test_license_expressions_of_any_length(spark):
+    tag = "SPDX-License-Identifier:"
+    cut = f"{tag}{' GPL-2.0-only OR' * 60}".ljust(len(tag) + 997) + "MIT"  # its first 1,000 bytes are an expression too
+    texts = [f"x\n{cut} AND GPL-3.0-only\nMIT", f"{tag} ({' OR '.join(['GPL-2.0-only'] * 400)} OR MIT) AND Apache-2.0 */ AND GPL-2.0", f"{tag} MIT{' AND MIT' * 900}\r\n{tag} ISC", f"{tag} MIT{' OR MIT' * 900} {tag} ISC"]
+    a, b, c, d = sorted(licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    assert (a["labels"], a["permitted"], a["expressions"].split()[-3:]) == ("gpl,mit", False, ["gpl-3.0-only", "and", "or"]) and a["score"] >= 0.9
+    assert (b["labels"], b["permitted"], len(b["expressions"].split())) == ("apache,gpl,mit", True, 803)
+    assert (c["labels"], c["permitted"], len(c["expressions"].split())) == ("isc,mit", True, 1802)
+    assert (d["labels"], d["expressions"]) == ("isc", "isc")  # the first runs into the second, so it is malformed
+
+
 URLS = ["http://A.Example.NET/en/x", "https://example.net/en", "http://net/", "http://net", "x", None, "", "http://b.example.com/de/?q#f", "a://x.org/fr/y", "http://fr.org:80/fr/", "s://spam-farm.example.org/en/", "s://xspam-farm.example.org", "http://h#a://b", "http://é.net/€/"]
 
 

@@ -70,10 +70,11 @@ _FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean"
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """The tokens in postfix order (shunting-yard); None if the expression is malformed."""
+def to_postfix(expression: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """The tokens from start to stop in postfix order (shunting-yard); None if the expression is malformed."""
     out, stack, operand_next = [], [], True
-    for token in _TOKEN.findall(expression):
+    for found in _TOKEN.finditer(expression, start, len(expression) if stop is None else stop):
+        token = found.group()
         word = token.lower()
         if word in _PRECEDENCE:
             if operand_next:
@@ -160,11 +161,11 @@ class Scanner:
         expressions, permitted, parsed = [], None, 0
         lower = raw.lower().decode("latin-1")
         if "license-" in lower:
+            stop = 0
             for end, _ in self.tags.iter(lower):
-                rest = lower[end + 1 : end + 1001]
-                stop = _LINE_END.search(rest)
-                text = (rest[: stop.start()] if stop else rest).strip()
-                if (postfix := to_postfix(text)) is not None:
+                if stop <= end:  # tags on one line share its end
+                    stop = line_end.start() if (line_end := _LINE_END.search(lower, end + 1)) else len(lower)
+                if (postfix := to_postfix(lower, end + 1, stop)) is not None:
                     ok, own = evaluate(postfix)
                     permitted = ok if permitted is None else permitted and ok
                     labels |= own
@@ -187,7 +188,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE_PHRASES, more: tuple = MORE_PHRASES) -> DataFrame:
     """Per row: SCHEMA. Words are counted from 0; base_labels and labels are distinct, sorted and comma-joined.
 
-    score: 0 without evidence, and nearer to 1 with each phrase or tag. expressions: those after tags, in postfix order.
+    score: 0 without evidence, and nearer to 1 with each phrase or tag. expressions: those after tags, up to the end of the
+    line however long it is, in postfix order.
     permitted: whether every expression is; null without one. Null and empty texts have no words, empty labels and score
     0; null ids stay null; repeated rows are judged alike. An empty table gives no rows. Other columns are ignored.
     """
