@@ -545,7 +545,7 @@ def annotation_normalize(m: Model) -> DataFrame:
 # layout, streams in batch form, recommendation
 
 def masonry_pack(m: Model) -> DataFrame:
-    cards = _sizes(m).groupBy("id").agg(F.max("w").alias("w"), F.max("h").alias("h")).filter("id < 1200")
+    cards = _sizes(m).groupBy("id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
     pages = cards.select((F.col("id") / 60).cast("int").alias("page"), (F.col("id") % 60).cast("int").alias("place"), "id", (F.col("h") / F.col("w")).alias("ratio"))
     return layout.pack(pages, 236.0, [0.0] * 5)
 
