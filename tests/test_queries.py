@@ -1,10 +1,13 @@
 """Every query of the library against its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from vitrine.queries import ORACLES, QUERIES
+from vitrine.sources.model import Model
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -46,6 +49,13 @@ def test_masonry_pack_is_the_fold_over_all_orders(spark, data, duck):
     assert sorted(map(tuple, got)) == want
 
 
+def test_follow_status_of_every_user(spark, data):
+    data = os.path.join(os.path.dirname(data.rstrip("/")), "sf0.01")  # the smallest with users beyond id 150
+    users = Model(spark, data).users().select("id").collect()
+    assert sorted(r["user_id"] for r in QUERIES["follow_status_all"](spark, data).collect()) == sorted(r["id"] for r in users)
+    assert len(users) > 1000
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry
 
