@@ -154,6 +154,16 @@ def test_rounds_ids_and_mix(spark):
     assert [(r["id"], r["channel"]) for r in mixed.orderBy("slot").collect()] == [(1, "a"), (2, "b")]
 
 
+def test_nearest_of_each_query_is_nearest_of_one(spark):
+    rows = [(k, [float(k % 7 - 3), float(k % 5), float(k % 3 - 1)]) for k in range(1, 60)] + [(60, [0.0, 0.0, 0.0])]  # ties, no id 0
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = recsys.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), 4, block=8).collect()
+    for q in (20, 40, 60):
+        want = recsys.nearest(vectors, rows[q - 1][1], 4).collect()
+        assert sorted((-r["cosine"], r["vec_id"]) for r in got if r["query_id"] == q) == [(-r["cosine"], r["vec_id"]) for r in want]
+    assert len(got) == 12
+
+
 def test_plans_stay_native(spark, data):
     from vitrine.queries import QUERIES
 

@@ -20,6 +20,27 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query_id, vec_id, cosine): nearest for each of queries, which is like vectors (vec_id, embedding).
+
+    Vectors are dealt into blocks; a task compares a query with a block and keeps k rows, which are merged by query.
+    """
+    doubles = F.col("embedding").cast("array<double>")
+    own = vectors.select("vec_id", doubles.alias("e")).withColumns({"n": _dot(F.col("e"), F.col("e")), "block": F.floor(F.monotonically_increasing_id() / block)})
+    blocks = own.groupBy("block").agg(F.collect_list(F.struct("vec_id", "e", "n")).alias("rows"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), doubles.alias("q")).withColumn("m", _dot(F.col("q"), F.col("q")))
+
+    def scored(row: Column) -> Column:
+        norm = F.sqrt(row["n"] * F.col("m"))
+        cosine = F.when(norm > 0, _dot(row["e"], F.col("q")) / norm).otherwise(0.0)
+        return F.struct((-F.round(cosine, 6)).alias("less"), row["vec_id"].alias("vec_id"))
+
+    best = F.slice(F.array_sort(F.transform("rows", scored)), 1, k)
+    found = blocks.crossJoin(asked).select("query_id", F.explode(best).alias("r")).select("query_id", "r.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", (-F.col("less")).alias("cosine"))
+
+
 def mix_channels(channels: dict[str, DataFrame], seen: DataFrame, size: int) -> DataFrame:
     """(id, channel, turn, slot): channels (id, place) dealt in turn, without seen ids; an id counts in its first turn.
 

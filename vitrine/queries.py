@@ -599,6 +599,17 @@ def vector_topk(m: Model) -> DataFrame:
     return recsys.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"], 20)
 
 
+@query("""
+SELECT query_id, vec_id, cosine FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE), 6) AS cosine
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20
+""")
+def vector_topk_all(m: Model) -> DataFrame:
+    vectors = m.table("embeddings")
+    return recsys.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 @query(f"""+
 h AS (SELECT id, row_number() OVER (ORDER BY hot_score DESC, id) AS place, 0 AS c FROM published QUALIFY place <= 40),
 l AS (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS place, 1 AS c FROM published QUALIFY place <= 40),
