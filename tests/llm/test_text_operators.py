@@ -1,8 +1,10 @@
 """Winnowing, licence scans, URL filters and the quality classifier against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -154,15 +156,68 @@ def test_digest_collisions_are_told_apart(monkeypatch):
     assert index.find(["cd", "ab", "ef", "xyz"]).tolist() == [1, 0, -1, 1]
 
 
-def test_ngram_hashes_don_t_depend_on_the_batch():
+def brute_ratios(texts, fitted):
+    """Mean log ratios of n-grams, bucket by bucket, without a document's own counts."""
+    own = [Counter(int(b) for b in quality._buckets(np.frombuffer(t, np.uint8))) for t in texts]
+    raw, target = sum(own, Counter()), sum((c for c, f in zip(own, fitted, strict=True) if f), Counter())
+    out = []
+    for c, f in zip(own, fitted, strict=True):
+        n = sum(c.values())
+        scale = (sum(target.values()) - n * f) / max(sum(raw.values()) - n, 1)
+        out.append(sum(k * math.log((target[b] - k * f + 3) / ((raw[b] - k) * scale + 3)) for b, k in c.items()) / max(n, 1))
+    return out
+
+
+def test_mean_ratios_are_the_brute_force_ones(monkeypatch):
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["a", "bb", "é", "long" * 9, "\n"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(50)]
-    hasher = quality.NgramHasher()
-    bucket, owner = hasher(texts)
-    for k, t in enumerate(texts):
-        alone, _ = hasher([t])
-        assert sorted(alone.tolist()) == sorted(bucket[owner == k].tolist())
-        assert len(alone) == max(0, 2 * len(t.split()) - 1)
+    texts = ["".join(rng.choice(["a", "bb", "é", "long" * 9, "\n", " "]) for _ in range(rng.choice([0, 1, 2, 3, 40]))).encode() for _ in range(60)]
+    texts += [b"x" * 5000, b"", b"abcd", b"words of a text " * 300]
+    fitted = np.array([rng.random() < 0.4 for _ in texts])
+    for size in (quality.BATCH_BYTES, 64):  # in one portion, and in many, the longer texts in pieces
+        monkeypatch.setattr(quality, "BATCH_BYTES", size)
+        raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+        for part in quality._portions(texts):
+            bucket, owner = quality.ngrams(texts[part])
+            np.add.at(raw, bucket.astype(int), 1)
+            np.add.at(target, bucket[fitted[part][owner.astype(int)]].astype(int), 1)
+        assert raw.sum() == sum(max(0, len(t) - 3) for t in texts)
+        assert quality.mean_ratios(texts, fitted, target, raw) == pytest.approx(brute_ratios(texts, fitted))
+
+
+def test_kept_rows_are_the_brute_force_draw(spark):
+    """Counts, ratios, the curve, the noise and the cut, all computed anew from their definitions."""
+    rng = random.Random(9)
+    kinds = [[f"word{k} " for k in range(60)], [f"!!{k} " for k in range(30)]]
+    texts = ["".join(rng.choice(kinds[k % 5 == 0 and rng.random() < 0.4]) for _ in range(rng.randint(1, 60))) for k in range(300)]
+    rows = docs(spark, list(enumerate(texts)))
+    label = {k: k % 5 > 0 for k in range(0, 300, 2)}
+    labels = spark.createDataFrame([(k, int(g or k % 10 == 5), int(not g)) for k, g in label.items()], "doc_id long, quality int, toxic int")
+    ratio = dict(enumerate(brute_ratios([t.encode() for t in texts], [label.get(k, False) for k in range(300)])))
+    x, y = np.array([ratio[k] for k in label]), np.array([float(g) for g in label.values()])
+    a, b = 0.0, 0.0
+    for _ in range(200_000):  # plain descent on the same aim
+        p = 1 / (1 + np.exp(-(a * x / x.std() + b)))
+        a, b = a - 0.003 * (((p - y) * x / x.std()).sum() + quality.RIDGE * a), b - 0.003 * ((p - y).sum() + quality.RIDGE * b)
+    weight = {k: a / x.std() * r + b for k, r in ratio.items()}
+    noise = {r["doc_id"]: r["g"] for r in rows.select("doc_id", quality.gumbel(F.col("doc_id"), F.xxhash64("text"), 11).alias("g")).collect()}
+    reached = sorted(weight[k] + noise[k] for k, g in label.items() if g)
+    cut = reached[int(len(reached) * (1 - quality.KEEP_GOOD))]
+    got = {r["doc_id"]: r for r in quality.classify(rows, labels).collect()}
+    assert {k: got[k]["log_weight"] for k in weight} == pytest.approx(weight, rel=1e-3, abs=1e-3)
+    assert {k for k, r in got.items() if r["kept"]} == {k for k in weight if weight[k] + noise[k] >= cut}
+    most = {r["doc_id"] for r in quality.classify(rows, labels, share=0.3).filter("kept").collect()}
+    assert most == set(sorted(weight, key=lambda k: -(weight[k] + noise[k]))[:90])
+    assert most != set(sorted(weight, key=lambda k: -weight[k])[:90])  # noise decides, so it is a draw
+
+
+@pytest.mark.parametrize("sf,most_low", [("sf0.01", 0.2), ("sf0.1", 0.1)])
+def test_quality_on_labels(spark, sf, most_low):
+    """A document's own counts are left out, so that labelled documents are judged as if they were held out."""
+    folder = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id")
+    kept = {tuple(r)[:2]: r["kept"] for r in judged.groupBy("quality", F.col("toxic")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1, 0] >= 0.99 and kept[0, 0] <= most_low
 
 
 def test_quality_classifier(spark):
@@ -170,14 +225,16 @@ def test_quality_classifier(spark):
     good = [f"word{k}" for k in range(60)]
     junk = [f"!!{k}" for k in range(30)]
     make = lambda bad: " ".join(rng.choice(junk if bad and rng.random() < 0.5 else good) for _ in range(60))
-    pairs = [(k, make(k % 4 == 0)) for k in range(800)] + [(2000, ""), (2001, None), (2002, "\n "), (None, "word1 word2")]
+    pairs = [(k, make(k % 4 == 0)) for k in range(800)] + [(2000, ""), (2001, None), (2002, "\n "), (None, "word1 word2"), (3000, "word1 word2 " * 400_000), (3001, "!!1 !!2 " * 400_000)]
     labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 800, 2)] + [(None, 1, 0), (4000, 1, None)], "doc_id long, quality int, toxic int")
     rows = quality.classify(docs(spark, pairs), labels)
     kept = {r["doc_id"] for r in rows.filter("kept").collect()}
     unseen = [k for k in range(1, 800, 2)]
     clean, bad = [k for k in unseen if k % 4], [k for k in range(0, 800, 4)]
     assert np.mean([k in kept for k in clean]) > 0.97 and np.mean([k in kept for k in bad]) < 0.05
-    assert {2000, 2001, 2002, None} <= kept
+    assert 3000 in kept and 3001 not in kept
+    weights = {r["doc_id"]: r["log_weight"] for r in rows.collect()}
+    assert weights[2000] == weights[2001] == weights[2002] and None in weights
     assert sorted(map(str, rows.collect())) == sorted(map(str, quality.classify(docs(spark, pairs, 2), labels).collect()))
     stay = quality.drop_rejected(docs(spark, pairs), labels)
     assert {r["doc_id"] for r in stay.collect()} == kept and stay.columns[:2] == ["doc_id", "text"]
@@ -191,4 +248,4 @@ def test_kth_largest(spark):
     rows = spark.createDataFrame([(v,) for v in values], "sample_key double")
     for k in (1, 10, 500, 2999):
         assert quality._kth_largest(rows, k) == sorted(values, reverse=True)[k - 1]
-    assert quality._kth_largest(rows, 3000) is None
+    assert quality._kth_largest(rows, 3000) is None and quality._kth_largest(rows, 0) == math.inf
