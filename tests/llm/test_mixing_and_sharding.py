@@ -7,11 +7,11 @@ import pytest
 
 from vitrine.llm import compaction, mixing
 
-ODD = "doc_id long, text string, source string, n_chars long, target string, size string, s string, edge string"
+ODD = "doc_id long, text string, source string, n_chars long, target string, size string, s string, edge string, taken string, rank string, p string"
 
 
 def docs(spark, rows, parts=3):
-    return spark.createDataFrame([(k, t, s, len(t or ""), "a", "b", "c", "d") for k, t, s in rows], ODD).repartition(parts)
+    return spark.createDataFrame([(k, t, s, len(t or ""), "a", "b", "c", "d", "e", "f", "g") for k, t, s in rows], ODD).repartition(parts)
 
 
 def count(text):
@@ -55,6 +55,60 @@ def test_mix(spark, seed):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(spark, rows, 5)).collect()))
 
 
+def brute_draw(docs, rest, u):
+    """{place: words} of a Pareto draw of rest words from docs (place, id, size); u: random number of an id."""
+    free, left = [d for d in docs if d[2]], rest
+    sure = []
+    while (over := [d for d in free if left / sum(x[2] ** 2 for x in free) * d[2] > 1]) and left:
+        over = [d for d in over if d[2] == max(x[2] for x in over)]
+        sure += over
+        left -= sum(d[2] for d in over)
+        free = [d for d in free if d not in over]
+    scale = left / sum(d[2] ** 2 for d in free) if free else 0
+    odds = lambda x: x / (1 - x)
+    ranked = [(0.0, d) for d in sure] + [(odds(u[d[1]]) / odds(scale * d[2]), d) for d in free if left]
+    out = {}
+    for _, (place, _, size) in sorted(ranked):
+        out[place] = min(size, rest)
+        rest -= out[place]
+    return out
+
+
+def test_the_draw_is_the_pareto_draw(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    rows = [(k, "w " * rng.choice([0, 1, 3, 20, 90, 400, rng.randint(1, 700)]), rng.choice("abcccccd")) for k in range(500)] + [(900 + k, "w " * 9000, "a") for k in range(2)]
+    got = {r["doc_id"]: r for r in mixing.mix(docs(spark, rows)).collect()}
+    ids = docs(spark, rows).select("doc_id", mixing.rank_uniform(F.col("doc_id"), 7).alias("u"))
+    u = {r["doc_id"]: r["u"] for r in ids.collect()}
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + count(t)
+    drawn = 0
+    for source, target in brute_targets(sizes).items():
+        own = [(k, k, count(t)) for k, t, s in rows if s == source]
+        copies = int(target // sizes[source])
+        extra = brute_draw(own, int(target - copies * sizes[source]), u)
+        for k, _, size in own:
+            assert got[k]["taken"] == pytest.approx(copies * size + extra.get(k, 0), abs=1), (source, k)
+        drawn += 0 < sum(v > 0 for v in extra.values()) < sum(d[2] > 0 for d in own)
+    assert drawn  # somewhere a part of the documents is drawn
+
+
+def test_mixed_documents_of_nulls_and_nothing(spark):
+    rows = [(None, "null id", "a"), (1, None, "a"), (2, "b c", None), (2, "b c", None), (3, "", "b"), (4, "long " * 300_000, "b")]
+    frame = mixing.mixed_documents(docs(spark, rows))
+    taken = {}
+    for r in mixing.mix(docs(spark, rows)).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    got = {}
+    for r in frame.collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + count(r["text"])
+    assert got == {k: v for k, v in taken.items() if v} and 1 not in got
+    assert mixing.mixed_documents(docs(spark, [])).count() == 0 and frame.columns == docs(spark, rows).columns
+
+
 def test_mixed_documents_take_what_mix_says(spark):
     rng = random.Random(9)
     rows = [(k, f"  d{k} " + "w\t" * rng.randint(0, 50), rng.choice("abc")) for k in range(200)]

@@ -3,11 +3,15 @@
 Targets: the sources share out a multiple of all words by weight; a source that would go beyond its cap stays at the cap
 and the others share the excess. With the sources in order of cap per weight this is one level, found by running sums.
 
-Selection: a source whose target is r times its size takes every document floor(r) times for certain. The rest is drawn
-without replacement: each document's rank is its random odds u / (1 - u), u from its id, over its inclusion odds
-p / (1 - p), p = r - floor(r); the smallest ranks are taken until the words are reached, the last one in part. The cut
-is found by a histogram of ranks per source (summed before the shuffle), then by sorting the one bin that the cut falls
-in; with as many bins as the square root of the rows, both stay small for a source that holds most of the corpus.
+Selection: a source whose target is r times its size takes every document floor(r) times for certain, and draws the rest
+of the words without replacement, with odds that differ among its documents: the inclusion odds p grow with a document's
+size, p = min(1, scale * size), and the scale is such that the expected words, the sum of p * size, are the words to draw.
+Documents with p = 1 are certain whole copies too. Each other document's rank is its random odds u / (1 - u), u from its
+id, over its inclusion odds p / (1 - p); the smallest ranks are taken until the words are reached, the last one in part.
+The scale comes from counts per source and size by running sums. The cut is found by a histogram of ranks per source
+(summed before the shuffle), then by sorting the one bin that the cut falls in; with as many bins as the square root of
+the rows, both stay small for a source that holds most of the corpus. Windows over all sources hold one row a source and
+run in one task: sources are expected in thousands, not in millions.
 """
 
 from __future__ import annotations
@@ -51,28 +55,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], total_share: floa
     return levelled.select("source", "source_size", target.alias("target"))
 
 
+def draw_scales(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(ss, scale): per source that draws rest words the scale of its inclusion odds min(1, scale * size).
+
+    Sizes above the one that a row of the running sums stands for are certain there; the first that leaves its own size
+    uncertain, from the largest down, is the one that holds. There are as many rows as different sizes in a source.
+    """
+    sizes = rows.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    wanted = plan.filter("rest > 0").select("s", "rest")
+    found = sizes.join(wanted, F.col("source").eqNullSafe(F.col("s")))
+    by_size = Window.partitionBy("s").orderBy(F.desc("size"))
+    certain = F.coalesce(F.sum(F.col("n") * F.col("size")).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    squares = F.sum(F.col("n") * F.col("size") * F.col("size")).over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    scaled = found.withColumn("scale", (F.col("rest") - certain) / squares)
+    # the least size always holds; a rounding error there must not leave a source without a scale
+    holds = F.when(F.col("scale") * F.col("size") <= 1, F.col("size")).otherwise(-F.col("size"))
+    return scaled.groupBy(F.col("s").alias("ss")).agg(F.max_by("scale", holds).alias("scale"))
+
+
 def _ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """rows with their source's columns of plan and rank: random odds over inclusion odds; null where nothing is drawn."""
+    """rows with their source's columns of plan, p and rank: random odds over inclusion odds; null where nothing is drawn."""
     u = rank_uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("p") / (1 - F.col("p")))
     found = rows.withColumn("_u", u).join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return found.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds)).drop("_u")
+    found = found.withColumn("p", F.when(F.col("size") > 0, F.least(F.lit(1.0), F.col("scale") * F.col("size"))))
+    odds = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise((F.col("_u") / (1 - F.col("_u"))) * ((1 - F.col("p")) / F.col("p")))
+    return found.withColumn("rank", F.when(F.col("p") > 0, odds)).drop("_u")
 
 
 def sampling_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """Per source (s): source_size, target, copies (whole ones for certain), p, edge (rank where the cut falls), part.
+    """Per source (s): source_size, target, copies (whole ones for certain), scale, edge (rank where the cut falls), part.
 
     rows: doc_id, source, size. part is the share of the words that documents at the edge give.
     """
     plan = source_targets(rows, weights, total_share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = materialize(
-        plan.withColumn("copies", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size"))),
-        "targets",
-    ).withColumnRenamed("source", "s")
+    plan = plan.withColumn("copies", F.floor(ratio)).withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size")))
+    plan = materialize(plan, "targets").withColumnRenamed("source", "s")
+    plan = materialize(plan.join(draw_scales(rows, plan), F.col("s").eqNullSafe(F.col("ss")), "left").drop("ss"), "scales")
     bins = max(LEAST_BINS, math.isqrt(rows.count()))
-    # ranks lie between 0 and infinity; x / (1 + x) spreads them over 0 to 1 in the same order
-    drawn = _ranked(rows, plan, seed).filter(F.col("rank").isNotNull()).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins))
+    # ranks lie between 0 and infinity; times the odds of a document of the mean size and as x / (1 + x) they spread over 0 to 1 in the same order
+    spread = F.col("rank") * (F.col("rest") / (F.col("source_size") - F.col("rest")))
+    drawn = _ranked(rows, plan, seed).filter(F.col("rank").isNotNull()).withColumn("bin", F.least(F.floor(spread / (1 + spread) * bins), F.lit(bins - 1)))
     sums = drawn.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     until = F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = sums.withColumn("until", until).filter((F.col("until") >= F.col("rest")) & (F.col("until") - F.col("words") < F.col("rest")))
@@ -99,9 +122,10 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
     """Per row: doc_id, size, source, source_size, target, taken (words, repeats counted). plan: as for sampling_plan.
 
-    Null texts have size 0 and are never taken; null ids and null sources are values of their own; rows with one id in
-    one source share a rank, and where the cut falls on them they divide its words. An empty table gives no rows. Other
-    columns of docs are ignored, whatever their names. Reruns give the same rows: ranks depend on ids alone.
+    Null texts have size 0 and are never taken; null ids and null sources are values of their own; rows with one id and
+    size in one source share a rank, and where the cut falls on them they divide its words. Very long texts are counted
+    where they are; nothing but sizes is shuffled. An empty table gives no rows. Other columns of docs are ignored,
+    whatever their names. Reruns give the same rows: ranks depend on ids and sizes alone.
     """
     rows = materialize(_sizes(docs, id_col, text_col, source_col), "sizes")
     found = with_taken(rows, sampling_plan(rows, **plan), plan.get("seed", 7))
@@ -111,7 +135,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken; the last copy may end early, at a word.
 
-    docs: doc_id, text, source, n_chars and any others; the columns stay, and n_chars follows the text.
+    docs: doc_id, text, source, n_chars and any others; the columns stay, and n_chars follows the text. What mix says of
+    nulls, ties and repeated rows holds; an empty table stays empty.
     """
     rows = materialize(_sizes(docs, "doc_id", "text", "source"), "sizes")
     names = [c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars")]
