@@ -1,9 +1,12 @@
 """Mixing, compaction and the pipeline."""
 
+import math
 import random
 import re
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import compaction, mixing
 
@@ -75,8 +78,6 @@ def brute_draw(docs, rest, u):
 
 
 def test_the_draw_is_the_pareto_draw(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(21)
     rows = [(k, "w " * rng.choice([0, 1, 3, 20, 90, 400, rng.randint(1, 700)]), rng.choice("abcccccd")) for k in range(500)] + [(900 + k, "w " * 9000, "a") for k in range(2)]
     got = {r["doc_id"]: r for r in mixing.mix(docs(spark, rows)).collect()}
@@ -126,34 +127,117 @@ def test_empty_mix(spark):
     assert mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).agg({"taken": "sum"}).first()[0] == 0
 
 
-def test_compaction_keeps_rows_and_versions(spark, tmp_path):
-    rng = random.Random(1)
-    rows = [(k if k % 50 else None, rng.choice(["", None, "t" * rng.randint(1, 3000)]), "s") for k in range(2000)]
+def key(frame):
+    return sorted(str((r["doc_id"], r["text"])) for r in frame.collect())
+
+
+def some_rows(rng, n, longest=3000):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    return [(k if k % 50 else None, rng.choice(["", None, "".join(rng.choices(letters, k=rng.randint(1, longest)))]), "s") for k in range(n)]
+
+
+def brute_plan(shards, target):
+    """{shard: run} of (shard, bytes, tier)."""
+    out, tiers = {}, {}
+    for s in sorted(shards):
+        if s[1] * 2 <= target:
+            tiers.setdefault(s[2], []).append(s)
+    for tier, own in tiers.items():
+        total, before = sum(s[1] for s in own), 0
+        parts, runs = max(1, math.floor(total / target + 0.5)), {}
+        for name, size, _ in own:
+            runs.setdefault(math.floor((before + size / 2) * parts / total), []).append(name)
+            before += size
+        for part, names in runs.items():
+            out |= {name: f"{tier}-{part}" if len(names) > 1 else None for name in names}
+    return out
+
+
+def test_compaction_plan_is_the_brute_force_one(spark, tmp_path):
+    rng = random.Random(5)
+    shards = [(f"s{k:03d}", rng.choice([rng.randint(1000, 4000), rng.randint(10_000, 60_000), rng.randint(60_000, 300_000)]), rng.randint(0, 3)) for k in range(200)]
     table = compaction.ShardedTable(spark, str(tmp_path / "t"), target_bytes=200_000)
+    rows = spark.createDataFrame([(s, b, 1, t) for s, b, t in shards], "shard string, bytes long, rows long, tier int")
+    table._commit(rows, 1, rows.schema)
+    assert {r["shard"]: r["run"] for r in table.plan().collect()} == brute_plan(shards, 200_000)
+
+
+def test_compaction_keeps_rows_reaches_the_target_and_rests(spark, tmp_path):
+    rows = some_rows(random.Random(1), 6000)
+    target = 200_000
+    table = compaction.ShardedTable(spark, str(tmp_path / "t"), target_bytes=target)
     for k in range(5):
         table.append(docs(spark, rows[k::5], 4))
     before, shards = table.version(), table.manifest().count()
     after = table.compact()
-    assert after == before + 1 and table.manifest().count() < shards
-    key = lambda f: sorted(str((r["doc_id"], r["text"])) for r in f.collect())
+    assert after > before and table.manifest().count() < shards
     assert key(table.read()) == key(docs(spark, rows)) == key(table.read(before))
-    assert table.manifest().agg({"rows": "sum"}).first()[0] == 2000
-    named = {r["shard"] for r in table.manifest().collect()}
-    kept = {r["shard"] for r in table.manifest(before).collect()} & named
-    assert all(r["bytes"] <= 2 * 200_000 for r in table.manifest().collect() if r["shard"] not in kept)
-    with pytest.raises(RuntimeError, match="another writer"):
-        table._commit(table.manifest().drop("version"), after)
-    assert table.version() == after
+    now = table.manifest().collect()
+    assert sum(r["rows"] for r in now) == 6000
+    small = [r["tier"] for r in now if r["bytes"] * 2 < target]
+    assert len(small) == len(set(small)) < len(now) and all(r["bytes"] <= 1.5 * target for r in now)
+    assert table.compact() == after and [r["shard"] for r in table.manifest().collect()] == [r["shard"] for r in now]
     table.vacuum()
+    assert key(table.read(before)) == key(docs(spark, rows))  # young folders stay
+    table.vacuum(older_than=0)
     assert key(table.read()) == key(docs(spark, rows))
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Both read version 1 and commit version 2 at the same time: one does, the other fails loudly, again and again."""
+    table = compaction.ShardedTable(spark, str(tmp_path / "t"))
+    table.append(docs(spark, [(1, "a", "s")], 1))
+    for now in range(1, 6):
+        failed, held, schema = [], table.manifest(now).drop("version"), table.schema()
+        start = threading.Barrier(2)
+
+        def write(k, now=now, held=held, schema=schema, start=start, failed=failed):
+            start.wait()
+            try:
+                table._commit(held.withColumn("tier", F.lit(k)), now + 1, schema)
+            except RuntimeError as e:
+                failed.append((k, str(e)))
+
+        writers = [threading.Thread(target=write, args=(k,)) for k in range(2)]
+        [w.start() for w in writers]
+        [w.join() for w in writers]
+        assert len(failed) == 1 and "another writer" in failed[0][1]
+        assert table.version() == now + 1 and table.manifest().first()["tier"] == 1 - failed[0][0]
+    assert table.read().count() == 1
+
+
+def test_an_append_in_flight_survives_a_vacuum(spark, tmp_path):
+    table = compaction.ShardedTable(spark, str(tmp_path / "t"))
+    table.append(docs(spark, [(1, "a", "s")], 1))
+    docs(spark, [(2, "b", "s")], 1).write.parquet(str(tmp_path / "t" / "data" / "flight"))
+    table.vacuum()
+    assert (tmp_path / "t" / "data" / "flight").exists()
+
+
 def test_compaction_of_little(spark, tmp_path):
     table = compaction.ShardedTable(spark, str(tmp_path / "t"))
+    assert table.version() == 0
+    table.append(docs(spark, [], 1))
+    assert table.read().count() == 0 and table.compact() == 1
     table.append(docs(spark, [(1, "a", "s")], 1))
-    assert table.compact() == table.version() == 1
+    assert table.compact() == table.version() == 2
     table.append(docs(spark, [], 1))
     assert table.read().count() == 1
+    with pytest.raises(ValueError, match="columns"):
+        table.append(spark.range(1))
+
+
+def test_compacted(spark, tmp_path):
+    rows = some_rows(random.Random(3), 400, 300) + [(1, "again", "s"), (1, "again", "s"), (2, "long " * 500_000, None)]
+    frame = docs(spark, rows).withColumnRenamed("target", "_shard").withColumnRenamed("size", "_batch").withColumnRenamed("s", "_path")
+    got = compaction.compacted(frame, str(tmp_path / "t"), target_bytes=100_000).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _, _ in rows)
+    shards = {}
+    for r in got:
+        shards.setdefault((r["shard"], r["shard_rows"]), []).append(r["doc_id"])
+    assert all(len(ids) == n for (_, n), ids in shards.items()) and len({s for s, _ in shards}) == len(shards)
+    none = compaction.compacted(docs(spark, []), str(tmp_path / "none"))
+    assert none.count() == 0 and none.columns == ["doc_id", "shard", "shard_rows", "shard_bytes", "tier", "version"]
 
 
 def test_pipeline(spark, data):
