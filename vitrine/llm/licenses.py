@@ -40,31 +40,35 @@ MORE_PHRASES = (
 )
 #: What stands before a licence expression, in lower case.
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: Start of an identifier, label, permitted; the longest start that fits decides.
+_V = r"-\d+(?:\.\d+)*"
+_LATER = r"(?:\+|-only|-or-later)?"
+#: Whole identifiers in lower case, as patterns: pattern, label, permitted. Any other identifier is labelled other and not permitted.
 IDENTIFIERS = (
-    ("mit", "mit", True),
-    ("apache-", "apache", True),
-    ("bsd-", "bsd", True),
-    ("isc", "isc", True),
-    ("bsl-", "boost", True),
-    ("cc0-", "cc0", True),
-    ("cc-by-", "cc-by", True),
-    ("cc-by-sa-", "cc-by-sa", False),
-    ("cc-by-nc-", "cc-by-nc", False),
-    ("cc-by-nd-", "cc-by-nd", False),
-    ("gpl-", "gpl", False),
-    ("lgpl-", "lgpl", False),
-    ("agpl-", "agpl", False),
-    ("mpl-", "mpl", False),
-    ("epl-", "epl", False),
+    (r"mit(?:-0)?", "mit", True),
+    (rf"apache{_V}\+?", "apache", True),
+    (r"0bsd|bsd-[1-4]-clause(?:-clear|-patent|-views)?", "bsd", True),
+    (r"isc", "isc", True),
+    (rf"bsl{_V}", "boost", True),
+    (rf"cc0{_V}", "cc0", True),
+    (rf"cc-by{_V}(?:-[a-z]{{2,3}})?", "cc-by", True),
+    (rf"cc-by-sa{_V}(?:-[a-z]{{2,3}})?", "cc-by-sa", False),
+    (rf"cc-by-nc(?:-sa|-nd)?{_V}(?:-[a-z]{{2,3}})?", "cc-by-nc", False),
+    (rf"cc-by-nd{_V}(?:-[a-z]{{2,3}})?", "cc-by-nd", False),
+    (rf"gpl{_V}{_LATER}", "gpl", False),
+    (rf"lgpl{_V}{_LATER}", "lgpl", False),
+    (rf"agpl{_V}{_LATER}", "agpl", False),
+    (rf"mpl{_V}(?:\+|-no-copyleft-exception)?", "mpl", False),
+    (rf"epl{_V}", "epl", False),
 )
-#: Exceptions that make a licence permitted which alone isn't.
-EXCEPTIONS = ("classpath-exception-", "llvm-exception", "gcc-exception-", "font-exception-")
+#: Whole exceptions, as patterns, that make a licence permitted which alone isn't.
+EXCEPTIONS = re.compile(rf"(?:classpath|gcc|font)-exception{_V}|llvm-exception")
 #: Strength of evidence: of a notice phrase, of a tag whose expression parses.
 PHRASE_WEIGHT, TAG_WEIGHT = 0.6, 0.9
 
+_IDENTIFIERS = tuple((re.compile(pattern), label, ok) for pattern, label, ok in IDENTIFIERS)
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:_-]+")
+_GAPS = re.compile(b"  +")
 _LINE_END = re.compile(r"[\r\n]|\*/|-->")
 _FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean"
@@ -112,13 +116,12 @@ def evaluate(postfix: list[str]) -> tuple[bool, set[str]]:
         if token in _PRECEDENCE:
             (b, right, name), (a, left, _) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((a or name.startswith(EXCEPTIONS), left, ""))
+                stack.append((a or bool(EXCEPTIONS.fullmatch(name)), left, ""))
             else:
                 stack.append((a and b if token == "and" else a or b, left | right, ""))
         else:
             name = token.lower()
-            fits = [x for x in IDENTIFIERS if name.startswith(x[0])]
-            _, label, ok = max(fits, key=lambda x: len(x[0]), default=("", "other", False))
+            label, ok = next(((label, ok) for pattern, label, ok in _IDENTIFIERS if pattern.fullmatch(name)), ("other", False))
             stack.append((ok, {label}, name))
     ok, labels, _ = stack.pop()
     return ok, labels
@@ -145,8 +148,7 @@ class Scanner:
         self.tags.make_automaton()
 
     def scan(self, raw: bytes) -> tuple:
-        words = raw.translate(_FOLD).split()
-        line = " " + b" ".join(words).decode("latin-1") + " "
+        line = _GAPS.sub(b" ", b" " + raw.translate(_FOLD) + b" ").decode("latin-1")  # no list of words, however long the text
         base_at, base_labels, labels, evidence = [], set(), set(), 0
         at, word = 0, 0
         for end, (length, of_base, own) in self.phrases.iter(line):
@@ -173,7 +175,7 @@ class Scanner:
                     expressions.append(" ".join(postfix))
         score = 1 - (1 - PHRASE_WEIGHT) ** min(evidence, 50) * (1 - TAG_WEIGHT) ** min(parsed, 50)
         return (
-            len(words),
+            line.count(" ") - 1,
             len(base_at),
             min(base_at, default=None),
             max(base_at, default=None),
@@ -190,8 +192,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     score: 0 without evidence, and nearer to 1 with each phrase or tag. expressions: those after tags, up to the end of the
     line however long it is, in postfix order.
-    permitted: whether every expression is; null without one. Null and empty texts have no words, empty labels and score
-    0; null ids stay null; repeated rows are judged alike. An empty table gives no rows. Other columns are ignored.
+    permitted: whether every expression is; null without one. Identifiers and exceptions count as whole names only. Null
+    and empty texts have no words, empty labels and score 0; null ids stay null; repeated rows are judged alike; very long
+    texts take a few times their size. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
 
