@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -113,12 +114,19 @@ def test_license_scan(spark):
     tagged = got[len(TEXTS) + 4]
     assert tagged["labels"] == "apache,gpl,mit" and tagged["permitted"] and tagged["score"] >= 0.9
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+    long = licenses.scan_licenses(docs(spark, [(1, "w, " * 2_000_000 + "mit license\n" + "SPDX-License-Identifier: ISC\n" * 3), (None, "MIT License")])).collect()
+    assert {(r["doc_id"], r["n_words"], r["first_word"]) for r in long} == {(1, 2_000_014, 2_000_000), (None, 2, 0)}
 
 
 def test_license_expressions():
     value = lambda x: licenses.evaluate(licenses.to_postfix(x))[0]
     assert value("MIT or GPL-3.0 and GPL-2.0") and not value("(MIT or GPL-3.0) and GPL-2.0")
     assert value("GPL-2.0 WITH Classpath-exception-2.0 AND MIT") and not value("CC-BY-NC-4.0")
+    for known in ("mit", "MIT-0", "Apache-2.0", "Apache-2.0+", "BSD-3-Clause", "0BSD", "ISC", "CC-BY-4.0", "BSL-1.0", "CC0-1.0"):
+        assert value(known), known
+    for other in ("MITNFA", "mitigated-source-1", "ISC-Proprietary", "apache-", "Apache-2.0-proprietary", "bsd-3-clause-no-military-license", "LicenseRef-MIT", "mit.", "GPL-2.0 WITH Classpath-exception-2.0-none"):
+        assert not value(other), other
+    assert licenses.evaluate(licenses.to_postfix("MITNFA OR GPL-3.0-or-later OR MPL-2.0-no-copyleft-exception"))[1] == {"other", "gpl", "mpl"}
     for bad in ("", "MIT AND", "OR MIT", "(MIT", "MIT)", "MIT Apache-2.0", "()"):
         assert licenses.to_postfix(bad) is None
 
@@ -144,15 +152,33 @@ def test_url_filter_equals_its_sql_and_the_join(spark):
     connection.register("pages", frame)
     want = {r[0]: r[1:] for r in connection.sql(f"SELECT page_id, host, path, rule, verdict, listed FROM ({urlfilter.oracle()})").fetchall()}
     assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(rows).collect()} == want
-    listed = spark.createDataFrame([(h,) for h in urlfilter.BLOCKED] + [(None,)], "host string")
+    listed = spark.createDataFrame([(h,) for h in urlfilter.BLOCKED] + [(None,), ("",), (urlfilter.BLOCKED[0],)], "host string")
     for most in (100, 2):  # by files, and by a join where the list is beyond the bound
         assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(rows, blocked=listed, most_entries=most).collect()} == want
     assert urlfilter.judge(rows.limit(0)).count() == 0
 
 
+def test_url_filter_of_long_and_odd_hosts(spark):
+    """Hosts of 200 kB with and without dots, entries of many labels, empty entries: files and join agree with brute force."""
+    many, long = "a." * 100_000, "x" * 200_000
+    hosts = [many + "example.net", many + "b.c.d.e.f", long + ".b.c.d.e.f", "f", "e.f", "c.d.e.f", "..f", "example.net.", ".", long, ""]
+    entries = ["b.c.d.e.f", "e.f", "", None, "..f", "x.y"]
+    rows = spark.createDataFrame([(k, f"http://{h}/en/p") for k, h in enumerate(hosts)], "page_id long, url string")
+    listed = spark.createDataFrame([(e,) for e in entries], "host string")
+    fits = lambda h, e: bool(e) and bool(h) and (h == e or h.endswith("." + e))
+    for most in (100, 2):
+        got = {r["page_id"]: r for r in urlfilter.judge(rows, (("net", "/", "block"), ("example.net", "/en/", "allow"), ("", "/", "block"), ("net", "/", "allow")), listed, most_entries=most).collect()}
+        for k, h in enumerate(hosts):
+            hits = [e for e in entries if fits(h, e)]
+            rule = "example.net/en/" if fits(h, "example.net") else None
+            want = max(hits, key=len) if hits else None
+            assert (got[k]["rule"], got[k]["listed"]) == (rule, want), (most, h[-20:])
+            assert got[k]["verdict"] == ("allow" if rule or not hits else "block") and got[k]["host"] == h
+
+
 def test_digest_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda raw: len(raw))
-    index = urlfilter.DigestArray.build([("ab", 0), ("cd", 1), ("cd", 0), ("xyz", 1)])
+    index = urlfilter.DigestArray.build(pa.array(["ab", "cd", "xyz"]), np.array([0, 1, 1]))
     assert index.find(["cd", "ab", "ef", "xyz"]).tolist() == [1, 0, -1, 1]
 
 

@@ -1,11 +1,12 @@
 """URL filters by a sorted digest array.
 
-An entry is a host and the start of a path. Its 64-bit xxHash stands in a sorted array that executors map into memory;
-beside it lie the entries themselves. For a URL the digests of all entries that could fit it (each domain above its host,
-each path length that occurs) are probed by one vectorised binary search a batch, and every hit is confirmed against the
-stored entry, so collisions decide nothing. The array is shipped as files, once to each executor, and pages that no probe
-touches are never read; URLs are judged where they are, without a shuffle. Beyond MOST_ENTRIES the same probes are joined
-to the entries by digest instead.
+An entry is a host and the start of a path; one with an empty host fits nothing. Its 64-bit xxHash stands in a sorted
+array that executors map into memory; beside it lie the entries themselves. For a URL the digests of all entries that
+could fit it (the domains above its host with as many labels as some entry has, each path length that occurs) are probed
+by one vectorised binary search a batch, and every hit is confirmed against the stored entry, so collisions decide
+nothing. The array is shipped as files, once to each executor, and pages that no probe touches are never read; URLs are
+judged where they are, without a shuffle. A list of more than MOST_ENTRIES, which the driver shouldn't hold, is joined to
+the same probes by digest and text instead, with the same result.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -28,8 +30,8 @@ from ._shared import ship
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Our own list of hosts to block where no rule fits.
 BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.org", "free-bets.example.com", "ads-track.example.org")
-#: Entries that go through the driver and to every executor as files, at most.
-MOST_ENTRIES = 20_000_000
+#: Entries that go through the driver and to every executor as files, at most: some 40 bytes each, held as Arrow arrays.
+MOST_ENTRIES = 2_000_000
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, listed string"
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -45,13 +47,22 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), path[:stop]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every entry that would fit, longest hosts and paths first."""
-    hosts, at = [host] if host else [], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    return [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
+def domains(host: str, labels: list[int], longest: int) -> list[str]:
+    """The domains above a host, and itself, that have so many labels (in ascending order) and no more characters, longest first."""
+    out, at, dots = [], len(host), 0
+    for n in labels:
+        while dots < n and at >= 0:
+            at = host.rfind(".", 0, at)
+            dots += 1
+            if len(host) - at - 1 > longest:
+                return out[::-1]
+        if dots == n:
+            out.append(host[at + 1 :])
+    return out[::-1]
+
+
+def label_count(host: str) -> int:
+    return host.count(".") + 1
 
 
 class DigestArray:
@@ -63,19 +74,18 @@ class DigestArray:
         self.arrays = arrays
 
     @staticmethod
-    def build(entries: list[tuple[str, int]]) -> DigestArray:
-        """entries: text, verdict code. Of an entry that is given twice the first counts."""
-        unique = list(dict(reversed(entries)).items())
-        raw = [t.encode() for t, _ in unique]
-        digests = np.array([xxhash.xxh64_intdigest(t) for t in raw], dtype=np.uint64)
+    def build(entries: pa.Array, verdicts: np.ndarray) -> DigestArray:
+        """entries: different texts, with a verdict code each."""
+        digests = np.fromiter((xxhash.xxh64_intdigest(t.as_py()) for t in entries), dtype=np.uint64, count=len(entries))
         order = np.argsort(digests, kind="stable")
-        raw = [raw[k] for k in order]
+        stored = entries.cast(pa.large_binary()).take(pa.array(order))
+        _, offsets, text = stored.buffers() if len(stored) else (None, bytes(8), None)
         return DigestArray(
             {
                 "digests": digests[order],
-                "offsets": np.cumsum([0, *map(len, raw)], dtype=np.int64),
-                "text": np.frombuffer(b"".join(raw), dtype=np.uint8),
-                "verdicts": np.array([unique[k][1] for k in order], dtype=np.int8),
+                "offsets": np.frombuffer(offsets, dtype=np.int64)[: len(stored) + 1].copy(),
+                "text": np.frombuffer(text, dtype=np.uint8).copy() if text else np.empty(0, dtype=np.uint8),
+                "verdicts": np.asarray(verdicts, dtype=np.int8)[order],
             }
         )
 
@@ -107,21 +117,30 @@ class DigestArray:
 def judge(urls: DataFrame, rules: tuple = RULES, blocked: tuple | DataFrame = BLOCKED, *, id_col: str = "page_id", url_col: str = "url", most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Per row: SCHEMA. rule: the longest rule that fits; verdict: that rule's, else block if the host is listed, else allow.
 
-    blocked: hosts, or a DataFrame with the column host; a host stands for all its subdomains. Null URLs and those
-    without '://' have an empty host and path, which no entry fits. Null ids stay null, repeated rows are judged alike,
-    and an empty table gives no rows. Other columns of urls are ignored, whatever their names.
+    blocked: hosts, or a DataFrame with the column host; a host stands for all its subdomains. Of a rule given twice the
+    first counts; rules and hosts that are null or empty fit nothing. Null URLs and those without '://' have an empty host
+    and path, which no entry fits. Null ids stay null, repeated rows are judged alike, and an empty table gives no rows.
+    Very long URLs cost their length times the number of different label counts. Other columns of urls are ignored,
+    whatever their names.
     """
     spark = urls.sparkSession
     ship(spark)
+    rules = list({(h, p): (h, p, v) for h, p, v in reversed(rules) if h}.values())[::-1]
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    table = blocked.select("host").filter("host is not null").distinct() if isinstance(blocked, DataFrame) else None
-    if table is not None and table.limit(most_entries + 1).count() > most_entries:
-        return _joined(judge(urls, rules, (), id_col=id_col, url_col=url_col), table)
-    hosts = [r["host"] for r in table.toLocalIterator()] if table is not None else list(blocked)
-    entries = [(f"rule {h}{p}", v == "block") for h, p, v in rules] + [(f"list {h}", True) for h in hosts]
+    if isinstance(blocked, DataFrame):
+        table = blocked.select("host").filter("host <> ''").distinct()
+        if table.limit(most_entries + 1).count() > most_entries:
+            return _joined(judge(urls, tuple(rules), (), id_col=id_col, url_col=url_col), table)
+        hosts = table.toArrow()["host"].combine_chunks()
+    else:
+        hosts = pa.array(sorted({h for h in blocked if h}), pa.string())
+    of_rules, of_hosts = (_reach(h) for h in ([h for h, _, _ in rules], (h.as_py() for h in hosts)))
+    listed = pc.binary_join_element_wise(pa.scalar("list", pa.large_string()), hosts.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+    entries = pa.concat_arrays([pa.array([f"rule {h}{p}" for h, p, _ in rules], pa.large_string()), listed])
+    index = DigestArray.build(entries, np.array([v == "block" for _, _, v in rules] + [True] * len(hosts)))
     stem = f"urls-{uuid.uuid4().hex}"
-    for path in DigestArray.build(entries).save(os.path.join(tempfile.mkdtemp(prefix="vitrine-"), stem)):
-        spark.sparkContext.addFile(path)
+    for path in index.save(os.path.join(tempfile.mkdtemp(prefix="vitrine-"), stem)):
+        spark.sparkContext.addFile(path)  # from the driver's own folder to each executor's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray.load(SparkFiles.get, stem)
@@ -129,7 +148,8 @@ def judge(urls: DataFrame, rules: tuple = RULES, blocked: tuple | DataFrame = BL
             found = [split_url(u) for u in batch["url"].to_pylist()]
             probes, owner = [], []
             for k, (host, path) in enumerate(found):
-                own = [f"rule {c}" for c in candidates(host, path, lengths)] + [f"list {c}" for c in candidates(host, "", [0])]
+                own = [f"rule {d}{path[:n]}" for d in domains(host, *of_rules) for n in lengths if n <= len(path)] if host else []
+                own += [f"list {d}" for d in domains(host, *of_hosts)] if host else []
                 probes += own
                 owner += [k] * len(own)
             codes = index.find(probes)
@@ -148,14 +168,27 @@ def judge(urls: DataFrame, rules: tuple = RULES, blocked: tuple | DataFrame = BL
     return urls.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, SCHEMA)
 
 
+def _reach(hosts: Iterable[str]) -> tuple[list[int], int]:
+    """The label counts that occur, and the length of the longest host."""
+    counts, longest = set(), 0
+    for h in hosts:
+        counts.add(label_count(h))
+        longest = max(longest, len(h))
+    return sorted(counts), longest
+
+
 def _joined(judged: DataFrame, table: DataFrame) -> DataFrame:
-    """For lists beyond the bound: distinct hosts are expanded to their domains and joined by digest and text."""
-    hosts = judged.select("host").distinct()
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    probes = hosts.select("host", F.posexplode(domains).alias("place", "entry")).withColumn("digest", F.xxhash64("entry"))
+    """For lists beyond the bound: distinct hosts are expanded to the domains that could be listed and joined by digest and text.
+
+    The label counts that occur go through the driver; there are no more of them than the longest host has labels.
+    """
+    size = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    counts, longest = table.agg(F.collect_set(size), F.max(F.char_length("host"))).first()
+    hosts = judged.filter("host <> ''").select("host").distinct()
+    n = F.explode(F.filter(F.array(*(F.lit(k) for k in sorted(counts))), lambda k: k <= size))
+    probes = hosts.select("host", n.alias("n")).withColumn("entry", F.expr("substring_index(host, '.', -n)")).filter(F.char_length("entry") <= longest)
     stored = table.select(F.col("host").alias("entry"), F.xxhash64("host").alias("digest"))
-    hits = probes.join(stored, ["digest", "entry"]).groupBy("host").agg(F.min_by("entry", "place").alias("hit"))
+    hits = probes.withColumn("digest", F.xxhash64("entry")).join(stored, ["digest", "entry"]).groupBy("host").agg(F.max_by("entry", "n").alias("hit"))
     verdict = F.when(F.col("rule").isNull() & F.col("hit").isNotNull(), "block").otherwise(F.col("verdict"))
     return judged.join(hits, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("hit").alias("listed"))
 
