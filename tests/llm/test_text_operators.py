@@ -23,7 +23,7 @@ def docs(spark, pairs, parts=3):
     return spark.createDataFrame([(k, t, "a", "b", "c", "d", "e", "f") for k, t in pairs], ODD).repartition(parts)
 
 
-TEXTS = ["", None, "one", "two words", "a b c", "The  quick\tbrown fox. The quick brown fox. The quick brown fox.", " lead and trail ", "é ü ß " * 40, "same " * 500, "x" * 20_000, "same " * 500]
+TEXTS = ["", None, "one", "two words", "a b c", "The  quick\tbrown fox. The quick brown fox. The quick brown fox.", " lead and trail ", "é ü ß " * 40, "same " * 500, "x" * 20_000, "same " * 500, " ".join(str(k * 7919 % 10007) for k in range(60_000))]
 
 
 
@@ -43,14 +43,15 @@ def brute_winnow(text):
         grams = [chained]
     else:
         grams = [turn(hashes[k], 2) ^ turn(hashes[k + 1], 1) ^ hashes[k + 2] for k in range(len(words) - 2)]
-    grams = [g & ((1 << 39) - 1) for g in grams]
+    signed = lambda g: (g & ((1 << 34) - 1)) - ((g & (1 << 33)) << 1)
+    grams = [signed(g) for g in grams]  # the lower 34 bits, the highest of them as a sign
     out = []
     for k in range(max(1, len(grams) - 7)):
         window = grams[k : k + 8]
         least = min(window)
         at = k + max(j for j, g in enumerate(window) if g == least)
-        if (least, at) not in out:
-            out.append((least, at))
+        if (least & ((1 << 34) - 1), at) not in out:
+            out.append((least & ((1 << 34) - 1), at))
     return out
 
 
@@ -83,6 +84,38 @@ def test_winnowing_over_many_buckets(spark, monkeypatch):
         assert got[k] == hashlib.sha256((text[k][: len(text[k]) - half] + text[after][:half]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most", [fingerprints.MOST_BROADCAST, 0])
+def test_winnowing_of_hot_ids(spark, monkeypatch, most):
+    """A third of the rows with one id and a third with none are dealt to many buckets; first rows by broadcast or by join."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "MOST_BROADCAST", most)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 77, k]), f"text {rng.randint(0, 10**9)} of {k} " * rng.randint(1, 3)) for k in range(300)]
+    hashes = {r["text"]: r["h"] for r in docs(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = []
+    for (_, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        want.append(hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest())
+    found = fingerprints.with_next(docs(spark, rows).select("doc_id", "text"))
+    assert found.filter("not beyond").groupBy("bucket").count().agg({"count": "max"}).first()[0] < 40
+    assert sorted(r["edited_sha256"] for r in fingerprints.compare_edits(docs(spark, rows)).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("words", [1, 2, 5, 6])
+def test_hashes_of_any_run_length(spark, monkeypatch, words):
+    monkeypatch.setattr(fingerprints, "K", words)
+    monkeypatch.setattr(fingerprints, "WINDOW", 1)
+    text = "a b c d e f g h a b c d"
+    got = fingerprints.with_fingerprint(docs(spark, [(1, text)]), "text", "f").select(fingerprints.shown("f").alias("f")).first()["f"]
+    hashes, want = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()], []
+    for k in range(len(hashes) - words + 1):
+        value = 0
+        for h in hashes[k : k + words]:
+            value = turn(value, 1) ^ h
+        want.append(f"{value & ((1 << 34) - 1):X}:{k}")
+    assert got == ",".join(want)
+
+
 def test_winnowing_edges(spark):
     assert fingerprints.compare_edits(docs(spark, [])).count() == 0
     assert fingerprints.compare_edits(docs(spark, [(5, "alone here")])).first()["n_chars"] == 10

@@ -1,16 +1,21 @@
 """Document fingerprints by winnowing, with DataFrame operations only.
 
-The hash of every run of K words is a cyclic polynomial of the words' hashes, as a rolling hash has it at that place. Of
-every WINDOW neighbouring hashes the least is chosen, of equal ones the rightmost; hash and position are held in one long
-whose order is just that, so that minima by doubling (windows of 2, 4, 8) choose both. Any run of WINDOW + K - 1 words
-that two texts share gives them a common fingerprint, and positions tell where.
-
-The next document by id is found in buckets of ids (a piecewise linear map of id quantiles, so that buckets are even);
-each bucket also holds the first document of the next one. Texts are shuffled once, whatever their sources.
+The hash of every run of K words is a cyclic polynomial of the words' hashes, the one that a rolling hash has at that
+place. It rolls here over run lengths instead of places, for all places at once: the hash of a + b words is that of the
+first a, turned by b, exclusive-or that of the next b, so that K words take as many steps as K has binary digits. Of every
+WINDOW neighbouring hashes the least is chosen, of equal ones the rightmost; hash and position are held in one long whose
+order is just that, so that minima by doubling (windows of 2, 4, 8) choose both. Any run of WINDOW + K - 1 words that two
+texts share gives them a common fingerprint, and positions tell where.
+
+The next document by id is found in buckets of ids (a piecewise linear map of id quantiles, so that buckets are even; an
+id that many rows have, or none, is dealt to buckets by its texts' hashes); each bucket also holds the first document of
+the next one. Texts are shuffled once, whatever their sources, into as many partitions as the rows ask for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +23,13 @@ from ._shared import SPACES
 
 #: Words in a hash, hashes in a window (a power of two).
 K, WINDOW = 3, 8
-#: Bits for a position; positions beyond them are not told apart.
-POSITION_BITS = 24
+#: Bits for a position: a string has under 2^31 bytes, a word and its gap at least two. The other bits hold the hash.
+POSITION_BITS = 30
 _POSITIONS = (1 << POSITION_BITS) - 1
-_HASHES = (1 << (63 - POSITION_BITS)) - 1
-#: Rows of a bucket of neighbouring ids, and buckets at most (bounds what is broadcast).
-BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 1000, 1_000_000, 128
+_HASHES = (1 << (64 - POSITION_BITS)) - 1
+#: Rows of a bucket of neighbouring ids, buckets of a partition, buckets whose first rows are broadcast at most (some 100
+#: bytes each; more are joined), and cuts between ranges of ids.
+BUCKET_ROWS, PARTITION_BUCKETS, MOST_BROADCAST, QUANTILES = 1000, 8, 1_000_000, 128
 
 
 def _turn(x: Column, n: int) -> Column:
@@ -39,16 +45,16 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn(words, F.filter(F.split(F.lower(F.col(text)), f"[{SPACES}]+"), lambda w: w != ""))
     rows = rows.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
 
-    def gram(first: Column, place: Column) -> Column:
-        rolled = _turn(first, K - 1)
-        for k in range(1, K):
-            own = F.get(F.col(hashes), (place + k).cast("int"))
-            rolled = rolled.bitwiseXOR(_turn(own, K - 1 - k) if k < K - 1 else own)
-        return _packed(rolled, place)
-
     short = F.array(_packed(F.xxhash64(F.col(words)), F.lit(0)))
     n = F.size(words)
-    full = F.transform(F.slice(hashes, F.lit(1), F.greatest(n - (K - 1), F.lit(0))), gram)
+    length = 0
+    for digit in f"{K:b}":  # twice as many words, and one more where the digit is 1
+        if length:
+            rows, length = rows.withColumn(grams, _joined(grams, length, grams, length)), 2 * length
+            rows, length = (rows.withColumn(grams, _joined(grams, length, hashes, 1)), length + 1) if digit == "1" else (rows, length)
+        else:
+            rows, length = rows.withColumn(grams, F.col(hashes)), 1
+    full = F.transform(F.slice(grams, F.lit(1), F.greatest(n - (K - 1), F.lit(0))), _packed)
     rows = rows.withColumn(grams, F.when(n >= K, full).when(n > 0, short).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn(out, F.col(grams))
     width = 1
@@ -60,18 +66,23 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
     return rows.withColumn(out, chosen).drop(words, hashes, grams)
 
 
+def _joined(first: str, a: int, then: str, b: int) -> Column:
+    """At each place the hash of a + b words: of first's a words and of then's b words after them; null where the text ends."""
+    return F.zip_with(first, F.slice(then, F.lit(1 + a), F.greatest(F.size(then), F.lit(1))), lambda x, y: _turn(x, b).bitwiseXOR(y))
+
+
 def _packed(value: Column, place: Column) -> Column:
-    """Hash above, position below, so that of equal hashes the rightmost is the least."""
-    return F.shiftleft(value.bitwiseAND(F.lit(_HASHES)), POSITION_BITS).bitwiseOR(F.lit(_POSITIONS) - F.least(place, F.lit(_POSITIONS)).cast("long"))
+    """Hash above (signed, as longs are compared), position below, so that of equal hashes the rightmost is the least."""
+    return F.shiftleft(value, POSITION_BITS).bitwiseOR(F.lit(_POSITIONS) - place.cast("long"))
 
 
 def shown(fingerprint: str) -> Column:
     """The fingerprint as a string: hash in hexadecimal, colon, position of its first word; comma-joined."""
-    return F.array_join(F.transform(fingerprint, lambda v: F.concat(F.hex(F.shiftright(v, POSITION_BITS)), F.lit(":"), F.lit(_POSITIONS) - v.bitwiseAND(F.lit(_POSITIONS)))), ",")
+    return F.array_join(F.transform(fingerprint, lambda v: F.concat(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), F.lit(":"), F.lit(_POSITIONS) - v.bitwiseAND(F.lit(_POSITIONS)))), ",")
 
 
 def hashes_of(fingerprint: str) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda v: F.shiftright(v, POSITION_BITS)))
+    return F.array_distinct(F.transform(fingerprint, lambda v: F.shiftrightunsigned(v, POSITION_BITS)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -80,33 +91,58 @@ def likeness(a: str, b: str) -> Column:
     return F.when(every > 0, F.size(F.array_intersect(a, b)) / every).otherwise(1.0)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by id, and of the first row after the last.
+def _id_buckets(docs: DataFrame) -> tuple[Column, int, int]:
+    """The bucket of a row (doc_id, text_hash) in the order of ids and hashes, and the number of rows and of buckets.
 
-    Null ids come first; rows with one id are in the order of a hash of their texts.
+    Ranges of ids between quantiles have as many buckets as their rows ask for. An id that is several quantiles, and the
+    null, are ranges of their own, whose buckets divide the hashes. Only the cuts, a fixed number, are on the driver.
     """
-    low, high, n, cuts = docs.agg(
-        F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", F.array(*(F.lit(k / QUANTILES) for k in range(1, QUANTILES))), 10 * QUANTILES)
+    low, high, known, n, cuts = docs.agg(
+        F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", F.array(*(F.lit(k / QUANTILES) for k in range(1, QUANTILES))), 10 * QUANTILES)
     ).first()
-    cuts = sorted({c for c in cuts or [] if low < c <= high})
-    parts = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS) // (len(cuts) + 1))
+    by_hash = (F.col("text_hash").cast("double") + 2.0**63) / 2.0**64
+    width = lambda rows: max(1, math.ceil(rows / BUCKET_ROWS))
+    spread = lambda share, parts: F.least(F.floor(share * parts), parts - 1)
+    nulls = width(n - known)
     if low is None:
-        bucket = F.lit(0).cast("long")
-    else:
-        starts = F.array(*map(F.lit, [low, *cuts]))
-        ends = F.array(*map(F.lit, [*cuts, high + 1]))
-        at = F.greatest(F.size(F.filter(starts, lambda x: x <= F.col("doc_id"))), F.lit(1))
-        a, b = F.element_at(starts, at).cast("double"), F.element_at(ends, at).cast("double")
-        bucket = F.coalesce(at.cast("long") * parts + F.least(F.floor((F.col("doc_id") - a) / (b - a) * parts), F.lit(parts - 1)), F.lit(parts).cast("long"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), bucket.alias("bucket"))
+        return spread(by_hash, F.lit(nulls)).cast("long"), n, nulls
+    starts = {low: 0}  # of a range of ids: how many quantiles lie in it
+    for c in cuts:
+        starts[c] = starts.get(c, 0) + 1
+    ranges = []
+    for a, b in zip(sorted(starts), [*sorted(starts)[1:], high + 1], strict=True):
+        if starts[a] > 1 and b > a + 1:
+            ranges += [(a, a + 1, starts[a]), (a + 1, b, 1)]
+        else:
+            ranges.append((a, b, max(1, starts[a])))
+    widths = [width(known * share / QUANTILES) for _, _, share in ranges]
+    offsets = [nulls + sum(widths[:k]) for k in range(len(widths))]
+    first, last, parts, offset = (F.array(*(F.lit(float(x) if k < 2 else x) for x in column)) for k, column in enumerate(([a for a, _, _ in ranges], [b for _, b, _ in ranges], widths, offsets)))
+    at = F.greatest(F.size(F.filter(F.array(*(F.lit(a) for a, _, _ in ranges)), lambda x: x <= F.col("doc_id"))), F.lit(1))
+    a, b = F.element_at(first, at), F.element_at(last, at)
+    share = F.when(b - a <= 1, by_hash).otherwise((F.col("doc_id") - a) / (b - a))
+    found = F.element_at(offset, at) + spread(share, F.element_at(parts, at))
+    return F.when(F.col("doc_id").isNull(), spread(by_hash, F.lit(nulls))).otherwise(found).cast("long"), n, nulls + sum(widths)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text): the text of the next row by id, and of the first row after the last.
+
+    Null ids come first; rows with one id are in the order of a hash of their texts. Rows that agree in both stay in one
+    bucket.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    bucket, n, buckets = _id_buckets(hashed.select("doc_id"))
+    keyed = hashed.withColumn("bucket", bucket)
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("text_hash").alias("hash"))
     firsts = keyed.groupBy("bucket").agg(F.min(order).alias("first"))
     by_bucket = Window.orderBy("bucket")
     back = F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("first", back.alias("before"))  # MOST_BUCKETS rows and those of the quantiles at most
-    dealt = keyed.join(F.broadcast(firsts), order == F.col("first"), "left")
+    firsts = firsts.select("first", F.col("bucket").alias("at"), back.alias("before"))
+    dealt = keyed.join(F.broadcast(firsts) if buckets <= MOST_BROADCAST else firsts, (order == F.col("first")) & (F.col("bucket") == F.col("at")), "left")
     copies = F.array(F.struct(F.col("bucket"), F.lit(False).alias("beyond")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("beyond")))
     dealt = dealt.withColumn("to", F.explode(F.filter(copies, lambda c: c["bucket"].isNotNull()))).select("doc_id", "text", "text_hash", "to.*")
+    dealt = dealt.repartition(max(1, math.ceil(n / (BUCKET_ROWS * PARTITION_BUCKETS))), "bucket")
     ordered = Window.partitionBy("bucket").orderBy("beyond", F.col("doc_id").asc_nulls_first(), "text_hash")
     return dealt.withColumn("next_text", F.lead("text").over(ordered))
 
@@ -116,7 +152,8 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document's. Null texts count as empty; a text without words has an empty fingerprint. A table of one row is its own
-    next; an empty table gives no rows. Other columns of docs are ignored, whatever their names.
+    next; an empty table gives no rows. Repeated rows come after each other. Very long texts are single values in arrays of
+    their words; nothing is cut. Other columns of docs are ignored, whatever their names.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_next(source).withColumn("n_chars", F.char_length("text").cast("long"))
