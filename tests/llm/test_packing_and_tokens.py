@@ -1,12 +1,15 @@
 """Packing and token output against the tokenizers library itself."""
 
+import glob
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyarrow import orc
 from tokenizers import Tokenizer
 
-from vitrine.llm import orctokens, packing
+from vitrine.llm import orctokens, packing, tokens
 from vitrine.llm.tokens import encoder, public_path
 
 TEXTS = ["", None, "one", "the the\n\n  the cat's <|endoftext|> 12 ½ naïve İstanbul Łódź\x1f\xa0", "word " * 9000, "x" * 5000, "the the\n\n  the", "the the\n\n  the", "a  b", "."]
@@ -19,17 +22,21 @@ def docs(spark, texts=TEXTS):
 
 def expected(name, end):
     tokenizer = Tokenizer.from_file(public_path(name))
-    tokenizer.encode_special_tokens = True
     return {k if k != 9 else None: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4") for k, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_chunked_ids_equal_the_whole(name):
+def test_chunked_ids_equal_the_whole(name, as_text, monkeypatch):
     tokenizer = Tokenizer.from_file(public_path(name))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = as_text
     rng = np.random.default_rng(4)
-    letters = list("abcDE  é\n\t'sÀ,.!3²_ßĀ\x1f\xa0<|>ÿ­ÇµºiİΣς")
-    own = encoder(public_path(name))
+    letters = [*"abcDE  é\n\t'sÀ,.!3²_ßĀ\x1f\xa0<|>ÿ­ÇµºiİΣς", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    own = encoder(public_path(name), as_text)
+    for long in (tokens.LONG, 5):  # at once, and in portions
+        monkeypatch.setattr(tokens, "LONG", long)
+        monkeypatch.setattr(tokens, "PORTION", 3)
+        assert own("a<|endoftext|> b " * 9) == np.array(tokenizer.encode("a<|endoftext|> b " * 9, add_special_tokens=False).ids, "<u4").tobytes()
     for t in ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(3000)] + [t or "" for t in TEXTS]:
         assert own(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
@@ -103,6 +110,49 @@ def test_orc_round_trip(spark, tmp_path):
     assert [r["ids"] for r in orctokens.read_tokens(spark, path).filter("doc_id = 3").collect()] == [list(map(int, want[3]))]
 
 
+def test_orc_of_repeated_ids_starts_where_the_file_has_them(spark, tmp_path):
+    """A third of the rows with one id, a third with none, repeated rows: starts are the places in the files, without gaps."""
+    path, rng = str(tmp_path / "tokens"), random.Random(1)
+    rows = [(rng.choice([None, 7, k]), "w " * rng.randint(0, 40)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        orctokens.write_tokens(frame, path, public_path("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = sorted(map(tuple, orctokens.token_digests(spark, path).select("start", "n_tokens", "doc_id", "ids_crc32").collect()), key=lambda r: r[0])
+    assert sorted(str(r[2]) for r in got) == sorted(str(k) for k, _ in rows)
+    assert [r[0] for r in got] == [sum(r[1] for r in got[:k]) for k in range(len(got))]
+    assert [(r[2] is not None, r[2] or 0) for r in got] == sorted((k is not None, k or 0) for k, _ in rows)
+    files = sorted(glob.glob(f"{path}/*.orc"), key=lambda f: (len(f), f))
+    stored = [(d, zlib.crc32(np.array(i, "<u4").tobytes())) for f in files for d, i in zip(*(orc.read_table(f)[c].to_pylist() for c in ("doc_id", "ids")), strict=True)]
+    assert [(r[2], r[3]) for r in got] == stored and len(files) > 1
+
+
+def test_orc_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    path, rng = str(tmp_path / "tokens"), random.Random(2)
+    frame = spark.createDataFrame([(3 * k, " ".join(str(rng.randint(0, 10**6)) for _ in range(60))) for k in range(8000)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        orctokens.write_tokens(frame, path, public_path("word_bpe_49k.json"), 2, stripe_bytes=200_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (name,) = glob.glob(f"{path}/*.orc")
+    file = orc.ORCFile(name)
+    assert file.nstripes > 1 and file.nrows == 8000 and file.row_index_stride == orctokens.ROW_INDEX
+    assert sum(file.read_stripe(k).num_rows for k in range(file.nstripes)) == 8000
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    kinds, encodings = set(), set()
+    for stripe in reader.getStripes():
+        footer = reader.rows().readStripeFooter(stripe)
+        kinds |= {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+        encodings |= {c.getKind().toString() for c in footer.getColumnsList()}
+    assert (1, "ROW_INDEX") in kinds and (1, "BLOOM_FILTER_UTF8") in kinds and "DIRECT_V2" in encodings  # the second form of run lengths
+    got = orctokens.read_tokens(spark, path).filter("doc_id = 3000")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3000)]" in got._jdf.queryExecution().toString() and got.count() == 1
+
+
 def test_empty_tables(spark, tmp_path):
     assert packing.pack(docs(spark, []), public_path("byte_bpe_50k.json"), 1).count() == 0
     orctokens.write_tokens(docs(spark, []), str(tmp_path / "none"), public_path("word_bpe_49k.json"), 2)

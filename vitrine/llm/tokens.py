@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer never merges across pre-tokens, so a text is cut at white space, where no pre-token of either
 vocabulary reaches across, and each distinct chunk is encoded once per worker. Chunks of Latin letters go straight to the
-tokenizer's BPE model; all others go through the whole tokenizer. The ids equal those of one call over the whole text.
+tokenizer's BPE model; all others go through the whole tokenizer. The ids equal those of one call over the whole text,
+strings of special tokens included. Long texts are joined in portions of chunks, so that no list holds all of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 #: Unicode white space, as the pre-tokenizers define it (fixed values).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -26,6 +28,8 @@ _RUNS = re.compile(f" ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^{_LATIN}{_DIGIT} ]+")
 _PARTS = re.compile(f"[{_LATIN}]+|[{_DIGIT}]|[^{_LATIN}{_DIGIT}]+")
 #: A worker holds this many chunks at most; beyond it the memory is emptied and filled anew.
 MEMO_CHUNKS = 1_000_000
+#: Chunks of a long text that are joined at once, and the characters from which a text counts as long.
+PORTION, LONG = 100_000, 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,56 +39,79 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids by chunk; those of a new chunk are made when they are asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.encode(chunk)
+        return ids
+
+
 class TextEncoder:
-    """ids(text): the text's ids as little-endian unsigned 32-bit integers."""
+    """ids(text): the text's ids as little-endian unsigned 32-bit integers.
+
+    special_as_text: whether strings of special tokens in a text are ordinary text; if not, they are those tokens, as in a
+    plain call of the tokenizer.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # texts are cut at special tokens before
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in added):
+            raise ValueError("added tokens that depend on what stands around them")
+        self.special = {} if special_as_text else {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.drops_space = spec.get("normalizer") is not None
-        self.chunks = (_DROPS_SPACE if self.drops_space else _KEEPS_SPACE).findall
-        self.model, self.letters, self.memo = self.tokenizer.model, byte_letters(), {}
+        self.pattern = _DROPS_SPACE if self.drops_space else _KEEPS_SPACE
+        letters = byte_letters()
+        self.model, self.letters, self.memo = self.tokenizer.model, [letters[b] for b in range(256)], _Memo(self._encode)
         self.packed = [array("I", [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
 
-    def _whole(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
     def _encode(self, chunk: str) -> bytes:
-        tokenize, packed = self.model.tokenize, self.packed
-        if chunk.isascii() and (word := chunk.removeprefix(" ")).isalpha():
-            piece = word.lower() if self.drops_space else chunk if word is chunk else self.letters[32] + word
-            return b"".join([packed[t.id] for t in tokenize(piece)])
-        if not _SIMPLE.fullmatch(chunk):
-            return self._whole(chunk)
-        parts = _PARTS.findall(chunk.lower()) if self.drops_space else _RUNS.findall(chunk)
-        return b"".join([packed[t.id] for p in parts for t in tokenize(p.encode().decode("latin-1").translate(self.letters))])
+        word = chunk.removeprefix(" ")
+        if word.isalpha() and max(word) <= "\xff":
+            parts = [word.lower() if self.drops_space else chunk]
+        elif _SIMPLE.fullmatch(chunk):
+            parts = _PARTS.findall(chunk.lower()) if self.drops_space else _RUNS.findall(chunk)
+        else:
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        tokenize, packed, letters = self.model.tokenize, self.packed, self.letters
+        return b"".join([packed[t.id] for p in parts for t in tokenize("".join([letters[b] for b in p.encode()]))])
+
+    def _plain(self, text: str) -> bytes:
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo.clear()
+        if len(text) < LONG:
+            return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+        found, out = (m.group() for m in self.pattern.finditer(text)), []
+        while part := list(islice(found, PORTION)):
+            out.append(b"".join(map(self.memo.__getitem__, part)))
+            if len(self.memo) > MEMO_CHUNKS:
+                self.memo.clear()
+        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
-        memo, found = self.memo, self.chunks(text)
-        try:
-            return b"".join(map(memo.__getitem__, found))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        for chunk in found:
-            if chunk not in memo:
-                memo[chunk] = self._encode(chunk)
-        return b"".join(map(memo.__getitem__, found))
+        if not any(t in text for t in self.special):
+            return self._plain(text)
+        return b"".join(self.special[part] if k % 2 else self._plain(part) for k, part in enumerate(self.cut.split(text)))
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str, special_as_text: bool = False) -> Callable[[str], bytes]:
     """The worker's encoder for this file; it outlives a task where workers are reused."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path].ids
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = TextEncoder(path, special_as_text)
+    return _encoders[path, special_as_text].ids
 
 
 def public_path(name: str) -> str:
