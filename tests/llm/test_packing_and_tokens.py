@@ -91,6 +91,28 @@ def test_packing_of_instructions_keeps_all_limits(spark, data):
     assert loss == {k: len(v) - prompts[k] for k, v in ids.items()}
 
 
+def test_instruction_packing_is_bound_by_all_limits(spark):
+    from vitrine.llm.queries import instruction_packing
+
+    folder = "/root/testdata/sf0.01"
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    turns = {(int(r["conv_id"]), int(r["turn"])): (r["role"], r["text"] or "") for r in spark.read.parquet(f"{folder}/conversations.parquet").collect()}
+    ids, prompts = {}, {}
+    for (c, t), (role, text) in turns.items():
+        if role == "assistant":
+            before = turns.get((c, t - 1), ("", ""))
+            lead = encode(before[1]) if before[0] == "user" else []
+            ids[c * 1000 + t], prompts[c * 1000 + t] = np.array([*lead, *encode(text), 1], "<u4"), len(lead)
+    rows = instruction_packing(spark, folder).collect()
+    sequences = check_pieces(rows, ids, 2048, 4, 1536)
+    for r in rows:
+        assert r["loss_tokens"] == r["length"] - min(r["length"], max(0, prompts[r["doc_id"]] - r["start"]))
+    assert any(n == 2048 for n, _, _ in sequences.values())  # full by tokens
+    assert any(s == 4 and n < 2048 and loss < 1536 for n, s, loss in sequences.values())  # by segments
+    assert any(loss == 1536 and n < 2048 and s < 4 for n, s, loss in sequences.values())  # by loss
+
+
 def test_many_empty_documents(spark):
     frame = spark.createDataFrame([(k, "") for k in range(1000)], "doc_id long, text string").coalesce(1)
     rows = packing.pack(frame, public_path("byte_bpe_50k.json"), 1).collect()

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._shared import free_name
+
 TARGET_BYTES = 64 << 20
 #: Shards belong to one tier if their sizes lie between two neighbouring powers of this.
 TIER_FACTOR = 4
@@ -132,7 +134,7 @@ class ShardedTable:
         now, schema = self.version(), rows.schema
         if now and sorted(rows.columns) != sorted(self.schema(now).names):
             raise ValueError(f"the table's columns are {self.schema(now).names}")
-        folder, own = f"{self.folder}/data/{uuid.uuid4().hex}", _free("_batch", rows.columns)
+        folder, own = f"{self.folder}/data/{uuid.uuid4().hex}", free_name("_batch", rows.columns)
         with _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(batches)):
             rows.withColumn(own, batch.cast("int")).write.option("compression", CODEC).partitionBy(own).parquet(folder)
         for k in range(batches):
@@ -177,7 +179,7 @@ class ShardedTable:
             return False
         merged, schema = f"{self.folder}/data/{uuid.uuid4().hex}", self.schema(now)
         rows = self.spark.read.schema(schema).parquet(*(r["shard"] for r in runs))
-        shard, k = (_free(x, schema.names) for x in ("_shard", "_run"))
+        shard, k = (free_name(x, schema.names) for x in ("_shard", "_run"))
         known = F.broadcast(self.spark.createDataFrame(runs, f"{shard} string, {k} int"))
         tagged = rows.withColumn(shard, F.col("_metadata.file_path")).join(known, shard).repartitionById(max(r["k"] for r in runs) + 1, F.col(k))
         tagged.select(*(F.col(f"`{c}`") for c in schema.names)).write.option("compression", CODEC).parquet(merged)
@@ -219,12 +221,6 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in {t.lower() for t in taken}:
-        name = f"_{name}"
-    return name
-
-
 def compacted(rows: DataFrame, folder: str, *, batches: int = 4, id_col: str = "doc_id", target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Append rows in batches (by a hash of the id), compact, and return where each row is now.
 

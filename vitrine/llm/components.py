@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, remove
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Link each node's neighbours (small: only the lesser ones and itself) to the least of them and itself."""
+    """Link each node's neighbours (small: only the lesser ones and itself) to the least of them and itself.
+
+    The least neighbours are a table of their own, with one row a node, so that the join to them is one of two shuffled
+    tables: where a node has a large share of all edges, Spark splits them up there.
+    """
     both = edges if small else edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     linked = both.join(least, "a")
     if small:
-        own = least.select("a", "m")
-        return linked.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(own.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-    return linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        own = least.select("a", F.col("m").alias("b"))
+        found = linked.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(own).filter("a <> b")
+    else:
+        found = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = materialize(found.distinct(), "edges")
+    remove(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node of its component.
 
-    Each round is written to the shared folder, so that a lost executor costs that round's tasks only. Loops (a = b) and
-    edges in either direction or more than once are allowed; without edges there are no rows.
+    Each round is written to the shared folder, so that a lost executor costs that round's tasks only; the round before
+    is deleted then. Loops (a = b) and edges in either direction or more than once are allowed; without edges there are no
+    rows, and nulls are no nodes.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    ordered = edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(ordered.filter("a <> b").distinct(), "edges")
     state = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -33,4 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
             roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = seen
-        now = materialize(_star(_star(now, small=False), small=True), "edges")
+        wide = _star(now, small=False)
+        remove(now)
+        now = _star(wide, small=True)
+        remove(wide)

@@ -153,7 +153,8 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, *, id_col: st
 
     is_history: which rows, by a condition on doc_id, are there already; the lower half of the id range if not given. It
     decides the order of work only, never the result. Null texts count as empty, and all empty texts are one group. A
-    null id comes before all others. Of repeated rows with one id exactly one is kept. An empty table gives no rows.
+    null id comes before all others. Of repeated rows with one id exactly one is kept. Very long texts become digests
+    where they are. An empty table gives no rows.
     Other columns of docs are ignored, whatever their names.
     """
     rows = materialize(digests(docs, id_col, text_col), "digests")
@@ -175,9 +176,13 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, *, id_col: st
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and any other columns) without copies: of each group the row that exact_dedup keeps."""
-    kept = exact_dedup(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")
-    return keep_rows(docs, kept)
+    """The rows of docs (doc_id, text and any other columns) without copies: of each group the row that exact_dedup keeps.
+
+    What exact_dedup says of nulls, empty texts, ties and repeated rows holds; an empty table stays empty.
+    """
+    judged = exact_dedup(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash", "kept")
+    judged = materialize(judged, "judged")
+    return keep_rows(docs, judged, judged.filter("kept"))
 
 
 #: The result in DuckDB's SQL.

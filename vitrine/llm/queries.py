@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import compaction, exactdedup, fingerprints, licenses, mixing, orctokens, packing, quality, simhash, urlfilter
 from ._shared import scratch, table
@@ -55,6 +56,15 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of an assistant with the user's turn before it as a prompt, which bears no loss: op1's operator with limits that bind."""
+    turns = table(spark, sf_dir, "conversations").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
+    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    pairs = turns.filter("role = 'assistant'").select("conv_id", "turn", "text").join(asked, ["conv_id", "turn"], "left")
+    rows = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "prompt", "text")
+    return packing.pack(rows, public_path("byte_bpe_50k.json"), 1, prompt_col="prompt", max_segments=4, max_loss=1536)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_winnowing": op2_winnowing,
@@ -66,5 +76,6 @@ QUERIES: dict[str, Query] = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_quality": op9_quality,
     "op10_compaction": op10_compaction,
+    "instruction_packing": instruction_packing,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op5_exact_dedup": exactdedup.ORACLE}

@@ -7,11 +7,14 @@ pair within the radius, each pair of tiles in its own task. Tiles give a star fo
 of all pairs. Components of the links are found by joins.
 
 For near-duplicates on word shingles fingerprints only name the texts. Texts that share a band of minima of their shingle
-hashes are candidates, however far apart their fingerprints are, and the exact similarity decides.
+hashes are candidates, however far apart their fingerprints are, and the exact similarity decides. A block of candidates is
+first confirmed against one of its texts at a time, which joins most of a group of near copies by as many comparisons as it
+has texts; only blocks that PIVOTS rounds leave in several components are compared pair by pair, in tiles.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import NO_ID, keep_rows, materialize, ship, text_of
+from ._shared import MOST_BROADCAST, NO_ID, keep_rows, materialize, ship, text_of
 from .components import components
 
 TILE = 4096
@@ -32,30 +35,55 @@ SEED = 42
 #: pairs). Links are then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts and shingles.
 NEAR_WORDS, NEAR_BITS, NEAR_BANDS = 5, 256, (20, 4)
 SIMILARITY, TEXT_TILE, SHINGLE_TILE = (4, 5), 512, 2_000_000
+#: Rounds in which a block's texts are compared with one of them.
+PIVOTS = 3
+#: Bytes of a text whose words are held at once, and hashes whose bits are.
+PORTION, BIT_ROWS = 4 << 20, 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, size=(2, 1024), dtype=np.uint64) | np.uint64(1)
 
 
+def word_portions(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about PORTION bytes."""
+    start = 0
+    while start < len(text):
+        stop = min(len(text), start + PORTION)
+        if stop < len(text):
+            stop = gap.start() if (gap := _GAP.search(text, stop)) else len(text)
+        yield text[start:stop].split()
+        start = stop
+
+
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """XXH64 of every run of so many words, joined by spaces; of all words if they are fewer."""
-    found = text.translate(_LOWER).split()
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    line, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(line, SEED)], dtype=np.uint64)
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(found) - words + 1].tolist()
-    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    out, carried = [], []
+    for part in word_portions(text.translate(_LOWER)):
+        found = carried + part
+        if len(found) < words:
+            carried = found
+            continue
+        line = b" ".join(found)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: len(found) - words + 1].tolist()
+        runs = (line[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True))
+        out.append(np.fromiter((xxhash.xxh64_intdigest(run, SEED) for run in runs), dtype=np.uint64, count=len(starts)))
+        carried = found[len(found) - words + 1 :]
+    if not out and carried:
+        out.append(np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], dtype=np.uint64))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def simhash(hashes: np.ndarray, bits: int) -> bytes:
     """Big-endian fingerprint: a bit is 1 if it is set in over half the hashes. Beyond 64 bits the hashes are mixed anew."""
     words = []
     for k in range(bits // 64):
-        own = hashes if not k else _scramble(hashes * _MIX[0, k])
-        ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones = np.zeros(64, dtype=np.int64)
+        for start in range(0, len(hashes), BIT_ROWS):
+            part = hashes[start : start + BIT_ROWS]
+            own = part if not k else _scramble(part * _MIX[0, k])
+            ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         words.append(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()[::-1])
     return b"".join(words)
 
@@ -265,18 +293,12 @@ def classes(prints: DataFrame, radius: int) -> DataFrame:
     return _rooted(nodes, materialize(links(tiles(blocks, radius), radius), "links"))
 
 
-def block_links(blocks: DataFrame) -> DataFrame:
-    """(a, b): links that join all fingerprints of a block (block, fp): each with the block's least one."""
-    least = materialize(blocks.groupBy("block").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "least")
-    return blocks.join(least, "block").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (hexadecimal), component_id: the smallest id linked to it, directly or through others.
 
     Null texts count as empty; all texts without words have fingerprint 0 and so are linked. Null ids are no smallest
-    ids: a component of null ids alone has a null id. Repeated rows are in one component. An empty table gives no rows.
-    Other columns of docs are ignored, whatever their names.
+    ids: a component of null ids alone has a null id. Repeated rows are in one component. Very long texts are hashed in
+    portions; their hashes, 8 bytes a word, are held whole. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     prints = materialize(fingerprints(docs, words, id_col=id_col, text_col=text_col).drop("text_hash", "shingles"), "fingerprints")
     nodes = materialize(prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("least")), "nodes")
@@ -303,21 +325,8 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> tu
     return np.nonzero(of * common >= least * both)
 
 
-def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fp, root): found (fp, root) split up into the components of links whose texts' shingles are similar enough.
-
-    own: fp, shingles and least (id_key, text_hash), the text that stands for each fingerprint. Components of more than
-    TEXT_TILE texts or SHINGLE_TILE shingles are dealt into tiles that meet pair by pair, each in its own task.
-    """
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("shingles") / SHINGLE_TILE)).cast("int").alias("parts")
-    sizes = found.join(own, "fp").groupBy("root").agg(parts, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialize(found.join(sizes, "root").join(own, "fp").select("fp", F.xxhash64("root").alias("block"), "parts", "least.*"), "members")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    placed = texts.join(members, ["id_key", "text_hash"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
-    side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int"))
-    dealt = met.select("block", tile.alias("tile"), side.alias("side"), "fp", "text").repartition("block", "tile").sortWithinPartitions("block", "tile")
+def _compared(tiled: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b): links of the fingerprints of tiled (block, tile, side, fp) whose texts (fp, text) are similar, tile by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _by_tile(batches, ("block", "tile")):
@@ -325,29 +334,99 @@ def confirmed(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
             for start, stop in zip(starts, [*starts[1:], len(prints)], strict=True):
                 own_side = sides[start:stop]
                 left = np.flatnonzero(own_side != 1)
-                right = left if own_side[0] == 2 or own_side[-1] == 2 else np.flatnonzero(own_side == 1)
-                if len(left) * len(right) < 2 and right is left or not len(right):
+                right = left if own_side[0] == 2 else np.flatnonzero(own_side == 1)
+                if not len(left) or not len(right) or right is left and len(left) < 2:
                     continue
                 sets = [np.unique(shingle_hashes(t, words)) for t in rows["text"].slice(start, stop - start).cast(pa.binary()).to_pylist()]
                 x, y = similar(sets, left, right)
                 pairs += _stars(prints[start:stop], left[x], right[y])
             yield _pairs(pairs)
 
-    near = materialize(dealt.mapInArrow(run, "a binary, b binary"), "links")
-    return _rooted(found.select("fp"), near)
+    dealt = tiled.join(texts, "fp").select("block", "tile", F.col("side").cast("int").alias("side"), "fp", "text")
+    return materialize(dealt.repartition("block", "tile").sortWithinPartitions("block", "tile").mapInArrow(run, "a binary, b binary"), "links")
+
+
+def _parts() -> Column:
+    """Into how many tiles so many rows with so many shingles are dealt."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("shingles") / SHINGLE_TILE, F.lit(1))).cast("int").alias("parts")
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
+
+
+def pivot_tiles(placed: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Tiles in which the texts of placed (block, fp, root, shingles) meet their block's pivot, unless joined to it already.
+
+    Texts that share a pivot in several blocks meet it once. Each tile has a part of them and the pivot.
+    """
+    pairs = materialize(placed.join(pivots, "block").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.fp").alias("p"), "fp", "shingles").distinct(), "pairs")
+    sizes = materialize(pairs.groupBy("p").agg(_parts()), "sizes")
+    texts = pairs.join(sizes, "p").select(F.xxhash64("p").alias("block"), _part().alias("tile"), F.lit(0).alias("side"), "fp")
+    return texts.unionAll(sizes.select(F.xxhash64("p").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"), F.lit(1).alias("side"), F.col("p").alias("fp")))
+
+
+def pair_tiles(placed: DataFrame) -> DataFrame:
+    """Tiles in which all texts of a block of placed (block, fp, shingles) meet pair by pair; blocks of the same texts count once."""
+    signed = placed.groupBy("block").agg(_parts(), F.count(F.lit(1)).alias("size"), *(F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1)))
+    once = materialize(signed.groupBy("size", "sum0", "sum1").agg(F.min_by(F.struct("block", "parts"), "block").alias("b")).select("b.*"), "blocks")
+    met = placed.join(once, "block").withColumn("part", _part()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int"))
+    return met.select("block", tile.alias("tile"), side.alias("side"), "fp")
+
+
+def confirmed(blocks: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fp, root): components of the links between fingerprints that share a block (block, fp) and whose texts are similar.
+
+    own: fp, shingles and least (id_key, text_hash), the text that stands for each fingerprint. Only texts that share a
+    block are read, once. A pair that shares a block is skipped only where links join it already, so no link is lost.
+    """
+    sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    members = materialize(blocks.join(sizes, "block").join(own.select("fp", "shingles"), "fp"), "members")
+    keys = materialize(members.select("fp").distinct().join(own, "fp").select("fp", "least.*"), "keys")
+    few = F.broadcast if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    texts = materialize(named.join(few(keys), ["id_key", "text_hash"]).select("fp", "text"), "texts")
+    if texts.count() > keys.count():  # repeated rows
+        texts = materialize(texts.dropDuplicates(["fp"]), "texts")
+    found, links = keys.select("fp", F.col("fp").alias("root")), None
+
+    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        every = more if links is None else links.unionAll(more)
+        return every, materialize(_rooted(keys.select("fp"), every), "roots")
+
+    def still_open(least: int) -> tuple[DataFrame, DataFrame]:
+        """The texts with their roots, and the blocks of so many texts or more that aren't one component, with a pivot each."""
+        placed = materialize(members.filter(F.col("n") >= least).join(found, "fp"), "placed")
+        order = F.xxhash64("fp", F.lit(turn))
+        apart = placed.groupBy("block").agg(F.min_by(F.struct("fp", "root"), order).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return placed, materialize(apart.filter("low <> high").select("block", "pivot"), "open")
+
+    for turn in range(PIVOTS):
+        placed, pivots = still_open(3 if turn else 2)  # a block of two has one pair
+        if pivots.isEmpty():
+            return found
+        links, found = joined(_compared(pivot_tiles(placed, pivots), texts, words))
+    turn = PIVOTS
+    placed, pivots = still_open(3)
+    if not pivots.isEmpty():
+        links, found = joined(_compared(pair_tiles(placed.join(pivots.select("block"), "block", "left_semi")), texts, words))
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) with one row of each group of near-duplicates, of the least id.
 
     Texts are linked at a Jaccard similarity of 0.8 or more over runs of five words, each counted once. Null ids come
-    first; texts without words are one group. An empty table stays empty.
+    first; null texts count as empty, and texts without words are one group; of repeated rows one stays. Very long texts
+    are hashed in portions. An empty table stays empty. Other columns may have any names.
     """
     prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
     blocks = materialize(prints.select(F.explode("blocks").alias("block"), "fp").distinct(), "blocks")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash")).alias("least")
-    own = materialize(prints.groupBy("fp").agg(least, F.max("shingles").alias("shingles")), "nodes")
-    candidates = materialize(_rooted(own.select("fp"), materialize(block_links(blocks), "links")), "classes")
-    found = confirmed(candidates, own, docs, NEAR_WORDS)
-    kept = own.join(found, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    return keep_rows(docs, materialize(kept, "kept"))
+    rows = prints.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_hash", "fp", "shingles")
+    own = materialize(rows.groupBy("fp").agg(F.min(F.struct("id_key", "text_hash")).alias("least"), F.max("shingles").alias("shingles")), "nodes")
+    found = confirmed(blocks, own, docs, NEAR_WORDS)
+    named = own.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "kept")
+    return keep_rows(docs, rows, kept)
