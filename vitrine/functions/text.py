@@ -6,6 +6,7 @@ import html
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has_text(column: Column, default: str | Column) -> Column:
     """The column, or the default where it is null, empty or blank."""
     return F.when(F.length(F.trim(column)) > 0, column).otherwise(default)
@@ -53,8 +59,13 @@ def ordered_union(*lists: Column) -> Column:
 
 
 def tolerant_int(column: Column) -> Column:
-    """A number in text, cut towards 0; null if it isn't one."""
-    return F.trim(column).try_cast("double").try_cast("int")
+    """A number in text, cut towards 0; null if it isn't one, or beyond 64 bits."""
+    return F.trim(column).try_cast("double").try_cast("bigint")
+
+
+def as_double(column: Column, default: float) -> Column:
+    """A decimal as a double; the default where it is null."""
+    return F.coalesce(column.cast("double"), F.lit(default))
 
 
 def count_text(column: Column) -> Column:
@@ -89,6 +100,30 @@ def slug(column: Column) -> Column:
     return run(F.coalesce(column, F.lit("")), F.sha1(F.coalesce(column, F.lit(""))))
 
 
+def utf16_hash(value: str) -> int:
+    """The 32-bit polynomial hash, to the base 31, of a text's UTF-16 units, with its sign."""
+    h = 0
+    for unit in memoryview(value.encode("utf-16-le")).cast("H"):
+        h = (31 * h + unit) & 0xFFFFFFFF
+    return h - (h >> 31 << 32)
+
+
+def topic_slug(column: Column) -> Column:
+    """slug_text with 'topic-' and the absolute value of utf16_hash as the fallback (of the least hash its own negative value)."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        made = lambda v: slug_text(v, "") or f"topic-{h if (h := utf16_hash(v)) == -(1 << 31) else abs(h)}"
+        return values.map(made)
+
+    return run(F.coalesce(column, F.lit("")))
+
+
+def tag_slug(kind: Column, name: Column) -> Column:
+    """The type, a dash, the name's slug."""
+    return F.concat_ws("-", kind, slug(name))
+
+
 def clean_text(column: Column, most: int = 500) -> Column:
     """Entities decoded, NUL removed, white space collapsed, cut. A pandas UDF: Spark decodes no entities."""
 

@@ -96,11 +96,67 @@ def canonical_key(url: Column, host_ending: str) -> Column:
     return F.sha1(F.trim(F.concat(F.lower(host_of(best)), F.lower(path_of(best)))))
 
 
+def start_url(raw: Column) -> Column:
+    """An address to begin at: https where no scheme is given, '/' for an empty path, no parameters and fragment; empty if it is none."""
+    text = F.trim(raw)
+    full = F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), text).otherwise(F.concat(F.lit("https://"), F.ltrim(text, F.lit("/"))))
+    part = lambda g: F.regexp_extract(full, r"^(?i)(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?", g)
+    path = F.regexp_replace(F.when(part(3) == "", "/").otherwise(part(3)), ";[^/]*$", "")
+    made = F.concat(F.lower(part(1)), F.lit("://"), part(2), path, F.when(part(4) == "?", "").otherwise(part(4)))
+    return F.when((F.length(text) > 0) & (part(2) != ""), made).otherwise("")
+
+
+def resolved(href: Column, page: Column) -> Column:
+    """The absolute address of a link on a page, without its fragment; null if it is no http(s) one.
+
+    Dots in paths are followed: '..' drops the segment before it.
+    """
+    bare, at = F.regexp_replace(F.trim(href), "#.*$", ""), F.regexp_replace(page, "#.*$", "")
+    root, folder = F.regexp_extract(at, r"^(https?://[^/?#]*)", 1), F.regexp_extract(at, r"^https?://[^/?#]*([^?]*/)", 1)
+    path = F.concat(F.when(folder == "", "/").otherwise(folder), bare)
+    target = (
+        F.when(bare.rlike("^(?i)https?://"), bare)
+        .when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (bare == ""), None)
+        .when(bare.startswith("//"), F.concat(F.regexp_extract(at, "^(https?:)", 1), bare))
+        .when(bare.startswith("/"), F.concat(root, bare))
+        .when(bare.startswith("?"), F.concat(F.regexp_extract(at, r"^([^?]*)", 1), bare))
+        .otherwise(F.concat(root, path))
+    )
+    dotted = F.regexp_extract(target, r"^[^/]*//[^/?]*([^?]*)", 1)
+    step = lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))).when(s == ".", held).otherwise(F.array_append(held, s))
+    walked = F.array_join(F.aggregate(F.slice(F.split(dotted, "/"), F.lit(2), F.greatest(F.size(F.split(dotted, "/")), F.lit(1))), F.array(F.lit("")), step), "/")
+    folder_end = F.when(dotted.rlike(r"/\.{1,2}$") & ~walked.endswith("/"), "/").otherwise("")
+    clean = F.concat(F.regexp_extract(target, r"^([^/]*//[^/?]*)", 1), walked, folder_end, F.regexp_extract(target, r"(\?.*)$", 1))
+    return F.when(dotted.rlike(r"(^|/)\.{1,2}(/|$)"), clean).otherwise(target)
+
+
 def srcset(raw: Column) -> Column:
-    """The addresses of a srcset, in order, without their descriptors."""
+    """The addresses of a srcset, in order, without their descriptors, as they stand there."""
     return F.filter(F.transform(F.split(raw, ","), lambda p: F.get(F.split(F.trim(p), r"\s+"), F.lit(0))), lambda u: u != "")
 
 
+def srcset_urls(raw: str | None, base: str | None = None) -> list[str]:
+    """The clean addresses of a srcset, in order; what is no address is left out."""
+    found = [normalized(part.split()[0], base) for part in html.unescape(raw or "").split(",") if part.strip()]
+    return [u for u in found if u]
+
+
+def normalized_srcset(raw: Column, base: Column | None = None) -> Column:
+    """srcset_urls, as a pandas UDF."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([srcset_urls(v, b) for v, b in zip(values, bases, strict=True)])
+
+    return run(raw, base if base is not None else F.lit(""))
+
+
+def with_originals(urls: Column, host_ending: str) -> Column:
+    """Clean addresses, each followed by that of its full-size file, each at its first place."""
+    pairs = F.flatten(F.transform(urls, lambda u: F.array(u, original_url(u, host_ending))))
+    return F.filter(F.array_distinct(pairs), lambda u: u != "")
+
+
 def ranked_urls(urls: Column) -> Column:
     """By quality, best first; of equal ones the earlier first."""
     scored = F.transform(urls, lambda u, k: F.struct((-quality_score(u)).alias("less"), k.alias("k"), u.alias("u")))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ordered_union
-from ..functions.urls import canonical_key, quality_score, srcset
+from ..functions.text import clean_text, ordered_union, tolerant_int
+from ..functions.urls import allowed_image, canonical_key, detail_url, normalize_url, normalized_srcset, quality_score, ranked_urls, resolved, srcset, with_originals
+from ..plans.session import shared
+
+# tasks get the functions of this module by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def with_keys(candidates: DataFrame, host_ending: str) -> DataFrame:
@@ -79,13 +88,10 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(source, target) of the anchors of pages (url, html), without fragments; relative ones are resolved against the host."""
+    """(source, target) of the anchors of pages (url, html): absolute addresses without fragments."""
     page = F.regexp_replace("url", "#.*$", "")
-    root = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
     href = F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"#]+)')))
-    rows = pages.select(page.alias("source"), root.alias("root"), href.alias("href"))
-    target = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("root", "href"))
-    return rows.select("source", target.alias("target")).filter("target is not null").distinct()
+    return pages.select(page.alias("source"), href.alias("href")).select("source", resolved(F.col("href"), F.col("source")).alias("target")).filter("target is not null").distinct()
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, rounds: int, most: int | None = None) -> DataFrame:
@@ -93,22 +99,82 @@ def crawl(edges: DataFrame, seeds: DataFrame, rounds: int, most: int | None = No
 
     Each round joins the frontier to the links and drops what was met before; rounds are checkpointed in the shared folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-crawl-"))
-    seen = seeds.select("url", F.lit(0).alias("depth")).distinct().checkpoint()
+    seen = shared(seeds.select("url", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for depth in range(1, rounds + 1):
         found = frontier.join(edges, frontier["url"] == edges["source"]).select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
-        frontier = found.withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = shared(found.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
 
 
+class _Images(HTMLParser):
+    """Image elements of a page in order: kind, src, srcset, alt, width, height, and the address of the link around them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.around: list[str | None] = []
+        self.found: list[tuple] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        own = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "a":
+            self.around.append(own.get("href"))
+        elif tag == "img":
+            link = next((h for h in reversed(self.around) if h is not None), "")
+            self.found.append((tag, own.get("src", ""), own.get("srcset", ""), own.get("alt", ""), own.get("width"), own.get("height"), link))
+        elif (tag == "source" and "srcset" in own) or (tag == "link" and own.get("as") == "image"):
+            self.found.append((tag, own.get("href", ""), own.get("srcset") or own.get("imagesrcset", ""), "", None, None, ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.around:
+            self.around.pop()
+
+
+_IMAGE = "array<struct<kind:string,src:string,srcset:string,alt:string,width:string,height:string,detail:string>>"
+
+
+def dom_images(html: Column) -> Column:
+    """The image elements of a page, as a pandas UDF: which link stands around an image is beyond regular expressions."""
+
+    @F.pandas_udf(_IMAGE)
+    def run(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            parser = _Images()
+            parser.feed(page or "")
+            parser.close()
+            out.append([dict(zip(("kind", "src", "srcset", "alt", "width", "height", "detail"), x, strict=True)) for x in parser.found])
+        return pd.Series(out)
+
+    return run(html)
+
+
+def page_candidates(pages: DataFrame, host_ending: str, folder: str, *, upgrade: bool = True) -> DataFrame:
+    """(source, place, url, fallbacks, detail_url, alt, width, height) of the images that pages (url, html) show or offer.
+
+    Of an element's addresses, those of the srcset before src, and of their full-size files (upgrade), the best one counts
+    and the others are its fallbacks. Elements without an address that is taken from a known host are left out.
+    """
+    item = F.posexplode(dom_images(F.col("html"))).alias("place", "x")
+    rows = pages.select(F.col("url").alias("source"), item).select("source", "place", "x.*")
+    listed = F.concat(normalized_srcset(F.col("srcset"), F.col("source")), F.filter(F.array(normalize_url(F.col("src"), F.col("source"))), lambda u: u != ""))
+    own = rows.withColumn("urls", F.array_distinct(listed))
+    ranked = ranked_urls(with_originals(F.col("urls"), host_ending) if upgrade else F.col("urls"))
+    own = own.withColumn("ranked", ranked).withColumn("best", F.get("ranked", F.lit(0))).filter(allowed_image(F.col("best"), host_ending))
+    detail = detail_url(normalize_url(F.col("detail"), F.col("source")), host_ending, folder)
+    others = F.filter(F.slice("ranked", F.lit(2), F.size("ranked")), lambda u: u != F.col("best"))
+    return own.select("source", "place", F.col("best").alias("url"), others.alias("fallbacks"), detail.alias("detail_url"), clean_text(F.col("alt")).alias("alt"), tolerant_int(F.col("width")).alias("width"), tolerant_int(F.col("height")).alias("height"))
+
+
+def completed_keys(results: DataFrame, host_ending: str) -> DataFrame:
+    """(key): the distinct keys of the results (ok, image_url) that succeeded, for not_done."""
+    done = results.filter("ok and image_url is not null and image_url <> ''")
+    return done.select(canonical_key(F.col("image_url"), host_ending).alias("key")).distinct()
+
+
 def page_images(pages: DataFrame) -> DataFrame:
     """(source, kind, url, alt) of the images that pages (url, html) show or offer: src, srcset and preloaded ones."""
     tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:img|source|link)\s[^>]*>)")))

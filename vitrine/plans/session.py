@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +17,17 @@ SETTINGS = {
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config(map=SETTINGS)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """rows, worked out and checkpointed in the folder of spark.checkpoint.dir, which all executors share.
+
+    Where that is unset and the master is local, as in tests, it is a local folder; on a cluster that is an error.
+    """
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vitrine-checkpoint-"))
+    return rows.checkpoint()
