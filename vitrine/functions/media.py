@@ -45,10 +45,41 @@ def aspect_ratio(width: Column, height: Column, id_: Column) -> Column:
     return F.when((width > 0) & (height > 0), F.concat_ws(" / ", width, height)).otherwise(other)
 
 
+def _ending(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
+
+
+def _looked_up(table: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key), F.lit(other))
+
+
 def content_type(name: Column) -> Column:
-    ending = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
-    known = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, ending), F.lit("application/octet-stream"))
+    """Of a file that is imported, by its ending."""
+    return _looked_up(CONTENT_TYPES, _ending(name), "application/octet-stream")
+
+
+def object_content_type(key: Column) -> Column:
+    """Of a stored object, by its ending: a JPEG unless it says otherwise."""
+    return _looked_up({e: CONTENT_TYPES[e] for e in (".png", ".gif", ".webp")}, _ending(key), "image/jpeg")
+
+
+def upload_ending(name: Column, content: Column) -> Column:
+    """Ending of an uploaded file: its own if it is one of the usual ones, .jpeg included; else by the content type."""
+    own = _ending(name)
+    return F.when(own.isin(".jpg", ".jpeg", ".png", ".gif", ".webp"), own).otherwise(_looked_up({"image/png": ".png", "image/gif": ".gif", "image/webp": ".webp"}, content, ".jpg"))
+
+
+def import_ending(name: Column, content: Column) -> Column:
+    """Ending of an imported file: its own if it is one of CONTENT_TYPES, .jpeg as .jpg; else by the content type."""
+    own = _ending(name)
+    kept = F.when(own == ".jpeg", ".jpg").when(own.isin(*CONTENT_TYPES), own)
+    return F.coalesce(kept, _looked_up({"image/png": ".png", "image/webp": ".webp", "image/gif": ".gif"}, content, ".jpg"))
+
+
+def download_ending(content: Column, otherwise: Column) -> Column:
+    """Ending by the content type that a server states, parameters aside; otherwise where it names no image that is taken."""
+    kind = F.lower(F.trim(F.get(F.split(content, ";"), F.lit(0))))
+    return F.coalesce(F.nullif(_looked_up({v: k for k, v in CONTENT_TYPES.items() if k != ".jpeg"}, kind, ""), F.lit("")), otherwise)
 
 
 def object_key(day: Column, digest: Column, ending: Column) -> Column:
@@ -56,6 +87,18 @@ def object_key(day: Column, digest: Column, ending: Column) -> Column:
     return F.concat(F.lit("originals/"), F.date_format(day, "yyyy/MM/dd/"), F.substr(digest, F.lit(1), F.lit(20)), ending)
 
 
+def safe_key(key: Column) -> Column:
+    """An object key with forward slashes and none at the start; null if it is blank or climbs out of its folder."""
+    bare = F.ltrim(F.replace(key, F.lit("\\"), F.lit("/")), F.lit("/"))
+    return F.when((F.length(F.trim(bare)) > 0) & ~bare.contains(".."), bare)
+
+
+def public_url(prefix: str, key: Column) -> Column:
+    """The address of an object below a prefix, of which one slash at the end is dropped; a local one if it is blank."""
+    root = prefix.strip() or "/media/object"
+    return F.concat(F.lit(root.removesuffix("/") + "/"), key)
+
+
 def title_of(file_name: Column, most: int = 160) -> Column:
     """The name without its ending, trimmed; the whole name if nothing is left."""
     stem = F.trim(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", ""))

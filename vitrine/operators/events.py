@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import has_text
+
 #: What an event adds to the score (fixed values); toggles subtract it when they are undone.
 SCORES = {"VIEW": "0.08", "CLICK": "0.08", "SHARE": "1.2", "LIKE": "1.6", "FAVORITE": "2.2", "COMMENT": "1.3"}
 TOGGLES = ("LIKE", "FAVORITE")
@@ -98,6 +100,34 @@ def rejected(events: DataFrame, images: DataFrame, users: DataFrame) -> DataFram
     return by_image.unionByName(there.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(*events.columns).withColumn("reason", F.lit("user")))
 
 
+def rejected_follows(follows: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests (follower, followee) that don't count, with the reason: to follow oneself, then someone who isn't there."""
+    own = F.col("follower") == F.col("followee")
+    others = follows.filter(~own).join(users.select(F.col("id").alias("followee")), "followee", "left_anti").select(*follows.columns)
+    return follows.filter(own).withColumn("reason", F.lit("self")).unionByName(others.withColumn("reason", F.lit("user")))
+
+
+def behavior_rows(raw: DataFrame) -> DataFrame:
+    """Behaviours as they are logged: a blank kind or scene is 'unknown'."""
+    return raw.withColumns({c: has_text(F.col(c), F.lit("unknown")) for c in ("kind", "scene")})
+
+
+def comment_counts(comments: DataFrame) -> DataFrame:
+    """Per image the count of visible comments: one up for each, one down for each that was hidden, never below 0."""
+    step = F.when(F.col("status") == "VISIBLE", 1).otherwise(0)
+    return comments.groupBy("image_id").agg(F.greatest(F.lit(0).cast("long"), F.sum(step)).alias("comment_count"))
+
+
+def with_clock(rows: DataFrame, column: str, clock: str) -> DataFrame:
+    """rows as they are written: the time of the run, which is given, where the column is null."""
+    return rows.withColumn(column, F.coalesce(column, F.to_timestamp_ntz(F.lit(clock))))
+
+
+def cleaned_profiles(changes: DataFrame) -> DataFrame:
+    """Changes of profiles (nickname, bio, avatar) as they count: trimmed, and no change where a nickname is blank."""
+    return changes.withColumns({"nickname": F.nullif(F.trim("nickname"), F.lit("")), "bio": F.trim("bio"), "avatar": F.trim("avatar")})
+
+
 def profiles(changes: DataFrame, columns: list[str]) -> DataFrame:
     """Per user (user_id, ts, id and columns) the latest value of each column that a change gives; null leaves it."""
     order = F.struct("ts", "id")

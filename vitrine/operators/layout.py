@@ -20,6 +20,18 @@ def grid(width: float, gap: float = GAP, near: float = COLUMN_WIDTH, most: int =
     return n, (width - (n - 1) * gap) / n
 
 
+#: Column beside the grid of a detail page, most columns there and most that the panel takes (fixed values).
+SIDE_COLUMN, DETAIL_COLUMNS, PANEL_COLUMNS = 52.0, 24, 5
+
+
+def detail_grid(width: float, gap: float = GAP, near: float = COLUMN_WIDTH) -> tuple[int, float, int]:
+    """How many columns a detail page has, how wide each is, and how many of them the image's panel takes."""
+    n, each = grid(max(260.0, width - SIDE_COLUMN - gap), gap, near, DETAIL_COLUMNS)
+    if n < 5:
+        return n, each, max(1, n - 1)
+    return n, each, max(3, min(int(n * 0.44 + 0.5), PANEL_COLUMNS, n - 2))
+
+
 def shortest(heights: Column) -> Column:
     """The first of the lowest columns, counted from 0."""
     return (F.array_position(heights, F.array_min(heights)) - 1).cast("int")

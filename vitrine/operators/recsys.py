@@ -12,8 +12,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k vectors (vec_id, embedding) of the largest cosine to the query; ties by id. Each task keeps k rows."""
+def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
+    """The k vectors (vec_id, embedding) of the largest cosine to the query; ties by id. Each task keeps k rows.
+
+    where: a condition on other columns, which reaches the scan and so is tested before any product.
+    """
+    vectors = vectors if where is None else vectors.filter(where)
     asked = F.array(*(F.lit(float(x)) for x in query))
     norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding")) * F.lit(sum(x * x for x in query)))
     cosine = F.when(norm > 0, _dot(F.col("embedding"), asked) / norm).otherwise(0.0)
@@ -41,6 +45,46 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 51
     return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", (-F.col("less")).alias("cosine"))
 
 
+def _placed(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows as (id, place); each task keeps k of them."""
+    return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "place")
+
+
+def same_tags(images: DataFrame, tagged: DataFrame, liked: DataFrame, k: int) -> DataFrame:
+    """(id, place): images that share most tags (image_id, tag_id) with the liked ones (id), which are left out."""
+    mine = tagged.join(liked.select(F.col("id").alias("image_id")), "image_id", "left_semi").select("tag_id").distinct()
+    shared = tagged.join(mine, "tag_id", "left_semi").select("image_id", "tag_id").distinct().groupBy(F.col("image_id").alias("id")).agg(F.count(F.lit(1)).alias("shared"))
+    return _placed(shared.join(liked, "id", "left_anti").join(images, "id"), k, F.desc("shared"), F.desc("hot_score"), F.asc("id"))
+
+
+def like_the_last(images: DataFrame, log: DataFrame, k: int) -> DataFrame:
+    """(id, place): the nearest ids to that of the last event of log (image_id, ts, id), hottest first among equally near ones."""
+    last = log.agg(F.max_by("image_id", F.struct("ts", "id")).alias("seed"))
+    rows = images.join(F.broadcast(last), F.col("id") != F.col("seed")).withColumn("distance", F.abs(F.col("id") - F.col("seed")))
+    return _placed(rows, k, F.asc("distance"), F.desc("hot_score"), F.asc("id"))
+
+
+def by_interest(images: DataFrame, bound: DataFrame, weights: DataFrame, k: int, topics: int = 10) -> DataFrame:
+    """(id, place): images by the summed weight of their topics (image_id, topic_id) among a user's heaviest ones.
+
+    weights: image_id and delta of the user's events; a topic weighs what the events on its images add up to.
+    """
+    own = bound.join(weights, "image_id").groupBy("topic_id").agg(F.sum("delta").alias("weight"))
+    heaviest = own.orderBy(F.desc("weight"), "topic_id").limit(topics)
+    summed = bound.join(F.broadcast(heaviest), "topic_id").groupBy(F.col("image_id").alias("id")).agg(F.sum("weight").alias("weight"))
+    return _placed(summed.join(images, "id"), k, F.desc("weight"), F.asc("id"))
+
+
+def behavior_rates(log: DataFrame) -> DataFrame:
+    """Per image of log (image_id, kind, duration): exposures, clicks, details, likes, favorites and the mean dwell in whole units.
+
+    A view without a click after it counts as an exposure like any other; dwell is that of views with a duration.
+    """
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    dwell = F.sum(F.when(F.col("kind") == "VIEW", F.col("duration"))) / F.count(F.when(F.col("kind") == "VIEW", F.col("duration")))
+    return log.groupBy("image_id").agg(count("VIEW").alias("exposures"), count("CLICK").alias("clicks"), count("LIKE").alias("likes"), count("FAVORITE").alias("favorites"), F.floor(dwell).alias("dwell"))
+
+
 def mix_channels(channels: dict[str, DataFrame], seen: DataFrame, size: int) -> DataFrame:
     """(id, channel, turn, slot): channels (id, place) dealt in turn, without seen ids; an id counts in its first turn.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import has_text
+
 
 def bindings(attempts: DataFrame) -> DataFrame:
     """A repeated binding is ignored."""
@@ -28,6 +32,39 @@ def image_views(images: DataFrame, users: DataFrame, lists: DataFrame, reason: s
     )
 
 
+def full_views(images: DataFrame, users: DataFrame, lists: DataFrame, reason: str) -> DataFrame:
+    """Views with all that a page shows: author, topics, files, addresses and counters.
+
+    A missing author is null; a blank thumbnail address gives way to the file's; the one asset comes first. The favorite
+    count stands for collections too.
+    """
+    names = users.select(F.col("id").alias("uid"), F.struct("id", "nickname").alias("author"))
+    joined = images.join(names, F.col("author_id") == F.col("uid"), "left").join(lists.withColumnRenamed("image_id", "iid"), F.col("id") == F.col("iid"), "left")
+    topics = F.coalesce("topics", F.array().cast("array<string>"))
+    first = F.coalesce(F.get(topics, F.lit(0)), F.lit("recommend"))
+    asset = F.struct("id", "object_key", F.col("file_url").alias("url"), "file_type", F.col("thumbnail_url").alias("thumb_url"), "width", "height", "file_size", "hash", F.lit(0).alias("sort_order"))
+    return joined.select(
+        "id", "author", "title", "content", topics.alias("topics"), first.alias("topic"), first.alias("channel"), "post_type",
+        F.array(asset).alias("assets"), F.array(F.struct(F.col("file_url").alias("url"), "width", "height")).alias("sources"),
+        F.col("file_url").alias("cover_url"), has_text(F.col("thumbnail_url"), F.col("file_url")).alias("thumb_url"),
+        "like_count", "favorite_count", F.col("favorite_count").alias("collect_count"), "comment_count", "share_count", "view_count", F.lit(reason).alias("reason"), "published_at",
+    )
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The row whose columns have these values, a null being a value like any other; of several that of the least id."""
+    for column, value in keys.items():
+        rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return rows.orderBy("id").limit(1)
+
+
+def lookup_each(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """asked (keys and others) with the id of the row of the same keys, nulls included; of several the least, null if there is none."""
+    least = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("id").alias("id"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return asked.join(least, same, "left").drop(*(f"_{k}" for k in keys))
+
+
 def single_view(images: DataFrame, users: DataFrame, image_id: int) -> DataFrame:
     """One image with its author; without the author there is no view."""
     names = users.select(F.col("id").alias("uid"), "nickname")
@@ -39,10 +76,10 @@ def latest_tags(writes: DataFrame) -> DataFrame:
     return writes.groupBy("image_id", "tag_id").agg(F.max("confidence").alias("confidence"), F.max_by("source", "seq").alias("source"))
 
 
-def tag_rows(assigned: DataFrame, tags: DataFrame) -> DataFrame:
-    """Tag assignments with vocabulary columns and their place on the image: most confident first, then type, name, id."""
+def tag_rows(assigned: DataFrame, tags: DataFrame, *, by_name: bool = False) -> DataFrame:
+    """Tag assignments with vocabulary columns and their place on the image: most confident first (not if by name), then type, name, id."""
     rows = assigned.join(tags, assigned["tag_id"] == tags["id"]).drop("id")
-    order = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "type", "name", "tag_id")
+    order = Window.partitionBy("image_id").orderBy(*([] if by_name else [F.desc("confidence")]), "type", "name", "tag_id")
     return rows.withColumn("position", F.row_number().over(order))
 
 
@@ -52,10 +89,23 @@ def tags_by_type(tags: DataFrame, kind: str | None, size: int) -> DataFrame:
     return rows.orderBy("type", "name", "id").limit(size)
 
 
-def comment_views(comments: DataFrame) -> DataFrame:
-    """Comments with their parent's author and text; the parent may be hidden or belong to another image."""
-    parent = comments.select(F.col("id").alias("pid"), F.col("author").alias("parent_author"), F.col("content").alias("parent_content"))
-    return comments.join(parent, F.col("parent_id") == F.col("pid"), "left").drop("pid")
+def comment_order() -> list[Column]:
+    return [F.desc("created_at"), F.desc("id")]
+
+
+def comment_views(comments: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Comments with their parent's author and text, which may be hidden or of another image.
+
+    With users also nickname of the author and reply_to, that of the parent's author; null where they are unknown.
+    """
+    also = [F.col("author_id").alias("parent_author_id")] if users is not None else []
+    parent = comments.select(F.col("id").alias("pid"), F.col("author").alias("parent_author"), F.col("content").alias("parent_content"), *also)
+    joined = comments.join(parent, F.col("parent_id") == F.col("pid"), "left").drop("pid")
+    if users is None:
+        return joined
+    for key, name in (("author_id", "nickname"), ("parent_author_id", "reply_to")):
+        joined = joined.join(users.select(F.col("id").alias("uid"), F.col("nickname").alias(name)), F.col(key) == F.col("uid"), "left").drop("uid")
+    return joined
 
 
 def category_tree(categories: DataFrame) -> DataFrame:

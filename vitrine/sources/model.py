@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCORE = "decimal(12,4)"
+#: Kinds of behaviour that the test tables' event types stand for.
+KINDS = {"view": "VIEW", "click": "CLICK", "error": "SHARE", "purchase": "LIKE", "signup": "FAVORITE"}
 
 
 class Model:
@@ -66,11 +68,10 @@ class Model:
         return regions.unionByName(nations)
 
     def behaviors(self) -> DataFrame:
-        """id, ts, user_id, kind, image_id."""
-        kinds = {"view": "VIEW", "click": "CLICK", "error": "SHARE", "purchase": "LIKE", "signup": "FAVORITE"}
-        kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("event_type"))
+        """id, ts, user_id, kind, image_id, duration."""
+        kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("event_type"))
         return self.table("events").select(
-            F.col("event_id").alias("id"), "ts", "user_id", kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("image_id")
+            F.col("event_id").alias("id"), "ts", "user_id", kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("image_id"), F.floor(F.col("value") * 10).alias("duration")
         )
 
     def follow_log(self) -> DataFrame:
@@ -86,16 +87,31 @@ class Model:
         ).filter("follower <> followee")
 
     def comments(self) -> DataFrame:
-        """id, image_id, parent_id, author, content."""
+        """id, image_id, parent_id, author (a role), author_id, content, created_at, status."""
         turn = self.table("conversations").withColumns({"c": F.col("conv_id").cast("long"), "t": F.col("turn").cast("long")})
         return turn.select(
             (F.col("c") * 1000 + F.col("t")).alias("id"),
             F.col("c").alias("image_id"),
             F.when(F.col("t") > 0, F.col("c") * 1000 + F.col("t") - 1).alias("parent_id"),
             F.col("role").alias("author"),
+            ((F.col("c") * 7 + F.col("t")) % 200).alias("author_id"),
             F.col("text").alias("content"),
+            (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=((F.col("c") * 37 + F.col("t") * 53) % 100).cast("int"))).alias("created_at"),
+            F.when(F.col("t") % 5 == 4, "HIDDEN").otherwise("VISIBLE").alias("status"),
         )
 
+    def image_details(self) -> DataFrame:
+        """images with title, content, addresses, sizes and counters, made up from the id."""
+        key = F.col("id").cast("string")
+        host = "https://img.example.com"
+        thumb = F.when(F.col("id") % 3 == 1, F.concat(F.lit(f"{host}/t/"), key, F.lit(".jpg"))).when(F.col("id") % 3 == 2, " ")
+        return self.images().select(
+            "*", F.concat(F.lit("Order "), key).alias("title"), F.lower("post_type").alias("content"), F.concat(F.lit("originals/"), key, F.lit(".jpg")).alias("object_key"),
+            F.concat(F.lit(f"{host}/"), key, F.lit(".jpg")).alias("file_url"), F.lit("image/jpeg").alias("file_type"), thumb.alias("thumbnail_url"), (16 + F.col("id") * 7 % 1900).alias("width"),
+            (16 + F.col("id") * 37 % 1400).alias("height"), (F.col("id") * 13).alias("file_size"), F.sha2(key, 256).alias("hash"), (F.col("id") % 11).alias("like_count"), (F.col("id") % 7).alias("favorite_count"),
+            (F.col("id") % 5).alias("comment_count"), (F.col("id") % 4).alias("share_count"), (F.col("id") % 101).alias("view_count"),
+        )
+
     def corpus(self) -> DataFrame:
         return self.table("documents")
 
@@ -114,9 +130,14 @@ tag_writes AS (SELECT l_orderkey AS image_id, l_partkey AS tag_id, CAST(1 - l_di
 categories AS (SELECT CAST(r_regionkey + 1000 AS BIGINT) AS id, r_name AS name, CAST(NULL AS BIGINT) AS parent_id, r_regionkey AS sort_no FROM region
   UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, CAST(n_regionkey + 1000 AS BIGINT), n_nationkey % 3 FROM nation),
 behaviors AS (SELECT event_id AS id, ts, user_id, CASE event_type WHEN 'view' THEN 'VIEW' WHEN 'click' THEN 'CLICK' WHEN 'error' THEN 'SHARE'
-  WHEN 'purchase' THEN 'LIKE' WHEN 'signup' THEN 'FAVORITE' END AS kind, CAST(props->>'k' AS BIGINT) AS image_id FROM events),
+  WHEN 'purchase' THEN 'LIKE' WHEN 'signup' THEN 'FAVORITE' END AS kind, CAST(props->>'k' AS BIGINT) AS image_id, CAST(floor(value * 10) AS BIGINT) AS duration FROM events),
 follow_log AS (SELECT id, ts, user_id AS follower, image_id AS followee, CASE WHEN kind = 'CLICK' THEN 'follow' ELSE 'unfollow' END AS action,
   strftime(ts, '%Y%m%d') AS scene FROM behaviors WHERE kind IN ('CLICK', 'SHARE') AND user_id <> image_id),
 comments AS (SELECT CAST(conv_id AS BIGINT) * 1000 + CAST(turn AS BIGINT) AS id, CAST(conv_id AS BIGINT) AS image_id,
-  CASE WHEN turn > 0 THEN CAST(conv_id AS BIGINT) * 1000 + CAST(turn AS BIGINT) - 1 END AS parent_id, role AS author, text AS content FROM conversations)
+  CASE WHEN turn > 0 THEN CAST(conv_id AS BIGINT) * 1000 + CAST(turn AS BIGINT) - 1 END AS parent_id, role AS author,
+  (CAST(conv_id AS BIGINT) * 7 + CAST(turn AS BIGINT)) % 200 AS author_id, text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((CAST(conv_id AS BIGINT) * 37 + CAST(turn AS BIGINT) * 53) % 100) AS created_at,
+  CASE WHEN turn % 5 = 4 THEN 'HIDDEN' ELSE 'VISIBLE' END AS status FROM conversations),
+image_details AS (SELECT *, 'Order ' || id AS title, lower(post_type) AS content, 'originals/' || id || '.jpg' AS object_key, 'https://img.example.com/' || id || '.jpg' AS file_url, 'image/jpeg' AS file_type,
+  CASE id % 3 WHEN 1 THEN 'https://img.example.com/t/' || id || '.jpg' WHEN 2 THEN ' ' END AS thumbnail_url, 16 + id * 7 % 1900 AS width, 16 + id * 37 % 1400 AS height, id * 13 AS file_size, sha256(CAST(id AS VARCHAR)) AS hash,
+  id % 11 AS like_count, id % 7 AS favorite_count, id % 5 AS comment_count, id % 4 AS share_count, id % 101 AS view_count FROM images)
 """

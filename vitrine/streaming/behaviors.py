@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.events import SCORES, TOGGLES
+from ..sources.model import KINDS
+
+# tasks get the functions of this module by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Scores are whole numbers of ten-thousandths in a stream's state.
+SCALE = 10_000
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -36,16 +48,58 @@ def without_repeats(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def toggle_totals(events: DataFrame) -> DataFrame:
-    """(user_id, image_id, requests, active) after each batch, from state per user and image; one long per key is held."""
+    """(user_id, image_id, kind, requests, active) of likes and favorites: a running count per key, kept by Spark itself."""
+    rows = _as_behaviors(events).filter("kind in ('LIKE', 'FAVORITE')")
+    counted = rows.groupBy("user_id", "image_id", "kind").agg(F.count(F.lit(1)).alias("requests"))
+    return counted.withColumn("active", F.col("requests") % 2 == 1)
+
+
+def _as_behaviors(events: DataFrame) -> DataFrame:
+    """event_id, ts, user_id, kind, image_id of the raw events."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("event_type"))
+    return events.select(F.col("event_id").alias("id"), "ts", "user_id", kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("image_id"))
+
+
+def event_effects(events: DataFrame) -> DataFrame:
+    """(id, ts, image_id, delta) of every event, delta in units of SCALE: a toggle's sign from how often it came before.
+
+    Toggles have a count per user, image and kind as their state; they are taken in the order (ts, id) within a batch, and
+    batches as they arrive. All other events need no state and are not shuffled.
+    """
+    table = {k: int(Decimal(v) * SCALE) for k, v in SCORES.items()}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
-        state.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "image_id": [key[1]], "requests": [n], "active": [n % 2 == 1]})
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        n = state.get[0] if state.exists else 0
+        sign = np.where((n + np.arange(len(rows))) % 2 == 0, 1, -1)
+        state.update((n + len(rows),))
+        yield pd.DataFrame({"id": rows["id"], "ts": rows["ts"], "image_id": rows["image_id"], "delta": sign * table[key[2]]})
+
+    rows = _as_behaviors(events).filter("kind is not null and image_id is not null")
+    weight = F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("kind")).cast("long")
+    plain = rows.filter(~F.col("kind").isin(*TOGGLES)).select("id", "ts", "image_id", weight.alias("delta"))
+    keyed = rows.filter(F.col("kind").isin(*TOGGLES)).groupBy("user_id", "image_id", "kind")
+    return plain.unionByName(keyed.applyInPandasWithState(step, "id long, ts timestamp, image_id long, delta long", "n long", "append", GroupStateTimeout.NoTimeout))
+
 
-    keyed = events.filter("event_type = 'purchase'").withColumn("image_id", F.get_json_object("props", "$.k").cast("long")).select("user_id", "image_id", "ts")
-    schema = "user_id long, image_id long, requests long, active boolean"
-    return keyed.groupBy("user_id", "image_id").applyInPandasWithState(step, schema, "n long", "update", GroupStateTimeout.NoTimeout)
+def clamped_totals(effects: DataFrame) -> DataFrame:
+    """(image_id, events, hot_score) after each batch of effects (id, ts, image_id, delta in units of SCALE).
+
+    State per image: the sum so far and the least one, whose difference is the score that may not fall below 0. Sums of a
+    batch are added at once; effects count in the order (ts, id) within a batch, and batches as they arrive.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        total, least, n = state.get if state.exists else (0, 0, 0)
+        walk = total + rows["delta"].cumsum()
+        total, least, n = int(walk.iloc[-1]), min(least, int(walk.min())), n + len(rows)
+        state.update((total, least, n))
+        yield pd.DataFrame({"image_id": [key[0]], "events": [n], "score": [total - least]})
+
+    held = "total long, least long, n long"
+    found = effects.groupBy("image_id").applyInPandasWithState(step, "image_id long, events long, score long", held, "update", GroupStateTimeout.NoTimeout)
+    return found.select("image_id", "events", (F.col("score") / SCALE).cast("decimal(12,4)").alias("hot_score"))
 
 
 def write_batches(stream: DataFrame, target: str, checkpoint: str):
