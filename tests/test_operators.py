@@ -87,7 +87,7 @@ def test_names(spark):
     assert slugs[0] == "a-b" and slugs[4:6] == ["c", "cafe"] and slugs[6].startswith("key-")
     assert values(spark, [(["b", "a", " ", "b"], ["c", "a"])], "s struct<x:array<string>,y:array<string>>", text.ordered_union(F.col("s.x"), F.col("s.y"))) == [["b", "a", "c"]]
     assert values(spark, [(["#a", "a", "#a", " ", "##b"],)], "s struct<x:array<string>>", text.clean_topics(F.col("s.x"))) == [["a", "a", "b"]]
-    assert values(spark, [("3.9",), ("-3.9",), ("x",), (None,), (" 7 ",)], "s struct<v:string>", text.tolerant_int(F.col("s.v"))) == [3, -3, None, None, 7]
+    assert values(spark, [("3.9",), ("-3.9",), ("x",), (None,), (" 7 ",), ("3000000000.5",), ("1e30",), ("inf",)], "s struct<v:string>", text.tolerant_int(F.col("s.v"))) == [3, -3, None, None, 7, 3_000_000_000, None, None]
     assert values(spark, [(0,), (999,), (1000,), (1250,), (99_999,), (100_000,), (None,), (-4,)], "s struct<v:long>", text.count_text(F.col("s.v"))) == ["0", "999", "1k", "1.3k", "10.0万", "10万", "0", "0"]
 
 
@@ -170,11 +170,92 @@ def test_plans_stay_native(spark, data):
     plan = lambda name: QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("feed_page_n") or "TakeOrdered" in plan("similar_by_id")
     assert "WindowGroupLimit" in plan("author_topk_all")
-    for name in set(QUERIES) - {"slugify", "slug_collisions", "url_normalize", "frontier_bfs"}:
+    in_python = {"slugify", "slug_collisions", "url_normalize", "url_escapes", "text_clean", "topic_and_tag_slugs", "detail_urls", "srcset_parse", "dom_candidates", "category_paths", "frontier_bfs"}
+    for name in set(QUERIES) - in_python:
         assert "Python" not in plan(name) and "Pandas" not in plan(name), name
     assert "EqualTo(o_orderstatus,F)" in plan("feed_total") or "PushedFilters" in plan("feed_total")
 
 
+def test_an_answer_is_parsed_once(spark, data):
+    from vitrine.queries import QUERIES
+
+    plan = QUERIES["annotation_normalize"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(description") == 1 and plan.count("get_json_object") <= 2, plan
+
+
+def test_numbers_without_gaps(spark):
+    """A third of the names with one beginning: numbers are dense and in order, whatever the ranges."""
+    rng = random.Random(4)
+    names = sorted({f"Same prefix {rng.random()}" if rng.random() < 0.4 else str(rng.random()) for _ in range(500)})
+    frame = spark.createDataFrame([(n,) for n in rng.sample(names, len(names))], "name string").repartition(5)
+    got = taxonomy.numbered(frame, "name").collect()
+    assert {r["name"]: r["n"] for r in got} == {n: k + 1 for k, n in enumerate(names)}
+
+
+def test_paths_of_categories(spark):
+    known = spark.createDataFrame([(5, "a", None), (6, "b", 5), (9, "a", None)], "id long, name string, parent_id long").withColumns({"slug": F.lit("s"), "sort_no": F.lit(0)})
+    asked = [["#a", "b", "a", "c"], ["a", "d"], ["x"], [" ", "#"], None, ["x", "b"], ["a", "b"]]
+    rows = taxonomy.ensure_paths(known, spark.createDataFrame([(p,) for p in asked], "path array<string>")).collect()
+    assert sorted((r["id"], r["name"], r["parent_id"], r["slug"], r["sort_no"]) for r in rows if r["name"] != "x") == [(11, "d", 5, "a-d", 10), (12, "b", 10, "x-b", 10), (13, "c", 6, "a-b-c", 20)]
+    assert [(r["id"], r["parent_id"], r["slug"]) for r in rows if r["name"] == "x"] == [(10, None, "x")]
+    paths = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["b"]), (4, []), (5, ["a", "z", "b"])], "id long, path array<string>")
+    assert {r["id"]: r["category_id"] for r in taxonomy.category_of_path(known, paths).collect()} == {1: 6, 2: 5, 3: None, 4: None, 5: None}
+
+
+def test_hashes_and_slugs(spark):
+    assert text.utf16_hash("polygenelubricants") == -(1 << 31) and text.utf16_hash("") == 0 and text.utf16_hash("\U0001f600") == 31 * 0xD83D + 0xDE00
+    raw = ["Café au lait!", "图", "polygenelubricants", None, "-"]
+    got = values(spark, [(r,) for r in raw], "s struct<v:string>", text.topic_slug(F.col("s.v")))
+    assert got == ["cafe-au-lait", f"topic-{ord('图')}", "polygenelubricants", "topic-0", "topic-45"]
+
+
+def test_detail_grid():
+    assert layout.detail_grid(1440.0) == (5, (1378.0 - 40) / 5, 3) and layout.detail_grid(300.0) == (1, 260.0, 1)
+    assert layout.detail_grid(9999.0)[::2] == (24, 5) and layout.detail_grid(800.0)[::2] == (3, 2)
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([(3, "a", None), (1, "a", None), (2, "a", 5)], "id long, name string, parent_id long")
+    assert [r["id"] for r in views.lookup(rows, name="a", parent_id=None).collect()] == [1]
+    assert [r["id"] for r in views.lookup(rows, name="a", parent_id=5).collect()] == [2] and views.lookup(rows, name="b").count() == 0
+    asked = spark.createDataFrame([("a", None, 1), ("a", 6, 2), (None, None, 3)], "name string, parent_id long, k int")
+    assert {r["k"]: r["id"] for r in views.lookup_each(asked, rows, ["name", "parent_id"]).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_images_of_a_page(spark):
+    html = '<a name="n"><a href="/pin/1/"><IMG SRC=/x.jpg alt></a></a><img src="y.jpg"><source srcset="s.jpg"><source><link as=image imagesrcset="z 1x"><a href="/q"><img'
+    rows = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(curation.dom_images(F.col("html")).alias("x")).collect()
+    assert [tuple(i) for i in rows[0]["x"]] == [("img", "/x.jpg", "", "", None, None, "/pin/1/"), ("img", "y.jpg", "", "", None, None, ""), ("source", "", "s.jpg", "", None, None, ""), ("link", "", "z 1x", "", None, None, "")]
+    assert [r["x"] for r in rows[1:]] == [[], []]
+
+
+def test_resolved_links_are_those_of_the_standard(spark):
+    from urllib.parse import urljoin
+
+    base = "https://h.com/a/b/c?x#y"
+    hrefs = ["d", "./d", "../d", "../../../d", "/d/./e/../f", "?q=1", "//o.com/p", "HTTP://o.com/", "d?../x", "../", ".", ".."]
+    got = values(spark, [(h,) for h in hrefs], "s struct<v:string>", urls.resolved(F.col("s.v"), F.lit(base)))
+    assert [g.lower() for g in got] == [urljoin(base, h).lower() for h in hrefs]
+    assert values(spark, [("mailto:a",), ("#x",), (None,), ("",)], "s struct<v:string>", urls.resolved(F.col("s.v"), F.lit(base))) == [None] * 4
+
+
+def test_start_urls(spark):
+    cases = {" a.b": "https://a.b/", "//a.b/c": "https://a.b/c", "HTTP://a.b?q#f": "http://a.b/?q", "https://a.b/c;p/d;e?q=1": "https://a.b/c;p/d?q=1", "ftp://a.b": "", "  ": "", "http://": "", None: ""}
+    assert values(spark, [(k,) for k in cases], "s struct<v:string>", F.coalesce(urls.start_url(F.col("s.v")), F.lit(""))) == list(cases.values())
+
+
+def test_channels(spark):
+    images = spark.createDataFrame([(k, float(k % 3)) for k in range(1, 8)], "id long, hot_score double")
+    tagged = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 2), (4, 9)], "image_id long, tag_id long")
+    liked = spark.createDataFrame([(1,)], "id long")
+    assert [tuple(r) for r in recsys.same_tags(images, tagged, liked, 5).orderBy("place").collect()] == [(2, 1), (3, 2)]
+    log = spark.createDataFrame([(1, 1, 4), (2, 2, 3)], "ts long, id long, image_id long")
+    assert [r["id"] for r in recsys.like_the_last(images, log, 3).orderBy("place").collect()] == [2, 4, 5]
+    weights = spark.createDataFrame([(1, 2.0), (4, 5.0)], "image_id long, delta double")
+    bound = spark.createDataFrame([(1, 7), (2, 7), (4, 8), (5, 8), (5, 7)], "image_id long, topic_id long")
+    assert [r["id"] for r in recsys.by_interest(images, bound, weights, 3).orderBy("place").collect()] == [5, 4, 1]
+
+
 def test_top_per_author(spark):
     rows = spark.createDataFrame([(k, k % 2, f"2024-01-0{1 + k // 2}") for k in range(8)], "id long, author_id long, published_at string")
     assert sorted((r["author_id"], r["id"]) for r in ranking.top_per_author(rows, 2).collect()) == [(0, 4), (0, 6), (1, 5), (1, 7)]

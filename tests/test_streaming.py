@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import events
+from vitrine.sources.model import Model
 from vitrine.streaming import behaviors
 
 
@@ -22,6 +25,19 @@ def arrived(spark, data, tmp_path):
     return str(tmp_path / "in")
 
 
+@pytest.fixture
+def in_order(spark, data, tmp_path):
+    """The events in three files, each with the events of a time after those of the file before."""
+    rows = spark.read.parquet(f"{data}/events.parquet").withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
+    os.mkdir(tmp_path / "ordered")
+    for k in range(3):
+        rows.filter(F.col("part") == k + 1).drop("part").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        name = next(f for f in os.listdir(tmp_path / f"part{k}") if f.endswith(".parquet"))
+        os.rename(tmp_path / f"part{k}" / name, tmp_path / "ordered" / f"{k}-{name}")
+        os.utime(tmp_path / "ordered" / f"{k}-{name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    return str(tmp_path / "ordered")
+
+
 def run(stream, mode, name):
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -40,16 +56,28 @@ def test_sessions_equal_the_batch(spark, data, arrived):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, behaviors.sessions(table).collect()))
 
 
-def test_state_and_repeats(spark, data, arrived):
+def test_toggles_and_repeats(spark, data, arrived):
     got = run(behaviors.toggle_totals(behaviors.read_events(spark, arrived)), "update", "toggles")
-    last = got.groupBy("user_id", "image_id").agg(F.max("requests").alias("n"))
-    table = spark.read.parquet(f"{data}/events.parquet").filter("event_type = 'purchase'")
-    want = table.groupBy("user_id", F.get_json_object("props", "$.k").cast("long").alias("image_id")).agg(F.count(F.lit(1)).alias("n"))
+    last = got.groupBy("user_id", "image_id", "kind").agg(F.max("requests").alias("requests"), F.max_by("active", "requests").alias("active"))
+    want = events.toggle_state(Model(spark, data).behaviors()).select("user_id", "image_id", "kind", "requests", "active")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["kind"] for r in last.collect()} == {"LIKE", "FAVORITE"}
     twice = behaviors.read_events(spark, arrived)
     assert run(behaviors.without_repeats(twice.unionAll(twice), "100 days"), "append", "once").count() == spark.read.parquet(f"{data}/events.parquet").count()
 
 
+def test_clamped_scores_equal_the_batch(spark, data, in_order, tmp_path):
+    """Toggles of the raw events become effects in one stream, effects become scores in the next."""
+    effects = behaviors.event_effects(behaviors.read_events(spark, in_order))
+    sink = effects.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True)
+    sink.start(str(tmp_path / "effects")).awaitTermination()
+    stream = spark.readStream.schema("id long, ts timestamp, image_id long, delta long").parquet(str(tmp_path / "effects"))
+    got = run(behaviors.clamped_totals(stream), "update", "scores")
+    last = got.groupBy("image_id").agg(F.max_by("hot_score", "events").alias("hot_score"), F.max("events").alias("events"))
+    want = events.clamped_score(events.effects(Model(spark, data).behaviors()))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sink_is_idempotent(spark, arrived, tmp_path, data):
     for _ in range(2):
         behaviors.write_batches(behaviors.read_events(spark, arrived), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()

@@ -2,45 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import queries_rules  # noqa: F401  (registers its own)
 from .functions import media, text, urls
 from .operators import curation, events, layout, ranking, recsys, search, taxonomy, views
-from .plans.paging import DEFAULTS, clamp_page
-from .sources.model import VIEWS, Model
+from .plans.paging import DEFAULTS, Page, clamp_page, page_of
+from .registry import ORACLES, QUERIES, query
+from .sources.model import Model
 from .streaming import behaviors
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Parameters of the queries.
 IMAGE, AUTHOR, KEYWORD, TOPIC_WORD, NOW = 5000, 7, "eau", "#Supplier#00000000 1", "2024-02-01 00:00:00"
 HOST = "img.example.com"
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that both engines hand out the same type."""
-    return rows.withColumns({c: F.col(c).cast("double") for c, kind in rows.dtypes if kind.startswith("decimal")})
-
-
-def query(sql: str | None = None, *, decimal: str | None = None):
-    """Register a function of the model under its name; sql may refer to the logical relations. decimal: its decimal column."""
-
-    def put(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: _plain(f(Model(spark, folder)))
-        if sql and decimal:
-            ORACLES[f.__name__] = f"WITH {VIEWS.strip()}\nSELECT * REPLACE (CAST({decimal} AS DOUBLE) AS {decimal}) FROM ({sql.strip()})"
-        elif sql:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {VIEWS.strip()}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().lstrip('+')}"
-        return f
-
-    return put
-
-
 def _day(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
@@ -119,12 +98,45 @@ SELECT id, min(page_no) AS page_no FROM (
   UNION ALL (SELECT id, 1 FROM published ORDER BY hot_score DESC, published_at DESC, id DESC LIMIT 30 OFFSET 20)) GROUP BY id
 """)
 def page_merge(m: Model) -> DataFrame:
-    from .plans.paging import Page
-
     pages = [ranking.feed(m.published(), Page(offset, 30)).select("id") for offset in (0, 20)]
     return ranking.merge_pages(pages, "id").select("id", "page_no")
 
 
+@query("SELECT min(id) AS id FROM users WHERE nickname = 'Customer#000000007'")
+def user_by_name(m: Model) -> DataFrame:
+    return views.lookup(m.users(), nickname="Customer#000000007").select("id")
+
+
+@query("SELECT min(id) AS id FROM topics WHERE name = 'Supplier#000000003'")
+def topic_by_name(m: Model) -> DataFrame:
+    return views.lookup(m.topics(), name="Supplier#000000003").select("id")
+
+
+@query("SELECT min(id) AS id FROM categories WHERE name = 'ASIA' AND parent_id IS NULL")
+def category_by_parent(m: Model) -> DataFrame:
+    return views.lookup(m.categories(), name="ASIA", parent_id=None).select("id")
+
+
+@query("""
+SELECT DISTINCT a.name, coalesce(a.parent_id, -1) AS parent_id, coalesce(c.id, -1) AS id FROM (SELECT name, parent_id FROM categories UNION ALL SELECT name, NULL FROM categories) a
+LEFT JOIN (SELECT name, parent_id, min(id) AS id FROM categories GROUP BY ALL) c ON c.name = a.name AND c.parent_id IS NOT DISTINCT FROM a.parent_id
+""")
+def categories_by_parent(m: Model) -> DataFrame:
+    own = m.categories()
+    asked = own.select("name", "parent_id").unionAll(own.select("name", F.lit(None).cast("long").alias("parent_id"))).distinct()
+    return views.lookup_each(asked, own, ["name", "parent_id"]).fillna(-1, ["parent_id", "id"])
+
+
+@query("SELECT t.type, t.name, min(t.id) AS id FROM tags t GROUP BY ALL")
+def tags_by_type_and_name(m: Model) -> DataFrame:
+    return views.lookup_each(m.tags().select("type", "name").distinct(), m.tags(), ["type", "name"])
+
+
+@query("SELECT (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM users) AS users")
+def table_counts(m: Model) -> DataFrame:
+    return m.topics().agg(F.count(F.lit(1)).alias("topics")).crossJoin(m.users().agg(F.count(F.lit(1)).alias("users")))  # one row each
+
+
 @query(f"SELECT i.id, i.hot_score, u.nickname FROM images i JOIN users u ON u.id = i.author_id WHERE i.id = {IMAGE}", decimal="hot_score")
 def single_view(m: Model) -> DataFrame:
     return views.single_view(m.images(), m.users(), IMAGE).select("id", "hot_score", "nickname")
@@ -148,6 +160,22 @@ def feed_view(m: Model) -> DataFrame:
     return rows.select("id", "author_id", "nickname", "hot_score", F.array_join("topics", "|").alias("topics"), "channel", "reason")
 
 
+@query(f"""
+SELECT f.id, u.nickname, title, content, coalesce(l.topics, '') AS topics, coalesce(l.channel, 'recommend') AS channel, post_type,
+  f.id || ':' || object_key || ':' || file_url || ':' || file_type || ':' || coalesce(thumbnail_url, '-') || ':' || width || ':' || height || ':' || file_size || ':' || hash || ':0' AS assets,
+  file_url || ':' || width || ':' || height AS sources, file_url AS cover_url, CASE WHEN trim(coalesce(thumbnail_url, '')) = '' THEN file_url ELSE thumbnail_url END AS thumb_url,
+  like_count, favorite_count, favorite_count AS collect_count, comment_count, share_count, view_count, 'detail' AS reason
+FROM image_details f LEFT JOIN users u ON u.id = f.author_id LEFT JOIN {_LISTS} l ON l.image_id = f.id WHERE status = 'PUBLISHED'
+""")
+def image_full_view(m: Model) -> DataFrame:
+    lists = views.topic_lists(views.bindings(m.topic_attempts()), m.topics())
+    rows = views.full_views(m.image_details().filter("status = 'PUBLISHED'"), m.users(), lists, "detail")
+    shown = lambda a: F.concat_ws(":", a["id"], a["object_key"], a["url"], a["file_type"], F.coalesce(a["thumb_url"], F.lit("-")), a["width"], a["height"], a["file_size"], a["hash"], a["sort_order"])
+    assets, sources = F.array_join(F.transform("assets", shown), "|"), F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["url"], x["width"], x["height"])), "|")
+    counters = ["like_count", "favorite_count", "collect_count", "comment_count", "share_count", "view_count"]
+    return rows.select("id", "author.nickname", "title", "content", F.array_join("topics", "|").alias("topics"), "channel", "post_type", assets.alias("assets"), sources.alias("sources"), "cover_url", "thumb_url", *counters, "reason")
+
+
 @query(f"SELECT image_id, topics FROM {_LISTS}")
 def image_topics_batch(m: Model) -> DataFrame:
     rows = views.topic_lists(views.bindings(m.topic_attempts()), m.topics())
@@ -186,6 +214,13 @@ def image_tag_rows(m: Model) -> DataFrame:
     return views.tag_rows(views.latest_tags(m.tag_writes()), m.tags()).select("image_id", "tag_id", "type", "name", "confidence", "position")
 
 
+@query(f"""
+SELECT image_id, tag_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY type, name, tag_id) AS INTEGER) AS position FROM {_LATEST} JOIN tags ON tags.id = tag_id
+""")
+def image_tags_by_name(m: Model) -> DataFrame:
+    return views.tag_rows(views.latest_tags(m.tag_writes()), m.tags(), by_name=True).select("image_id", "tag_id", "position")
+
+
 @query("SELECT id, type, name FROM tags WHERE type = 'SMALL' ORDER BY type, name, id LIMIT 100")
 def tags_by_type(m: Model) -> DataFrame:
     return views.tags_by_type(m.tags(), "SMALL", DEFAULTS["tags"])
@@ -218,14 +253,26 @@ def category_orphans(m: Model) -> DataFrame:
     return views.orphans(m.categories().filter("id <> 1001")).select("id", "parent_id")
 
 
-@query("SELECT id, author, length(content) AS n FROM comments WHERE image_id = 3 ORDER BY id DESC LIMIT 20")
+@query("SELECT id, author, length(content) AS n FROM comments WHERE image_id = 3 AND status = 'VISIBLE' ORDER BY created_at DESC, id DESC LIMIT 20")
 def comment_page(m: Model) -> DataFrame:
-    from .plans.paging import page_of
-
-    rows = page_of(m.comments().filter("image_id = 3"), [F.desc("id")], clamp_page(1, DEFAULTS["comments"], "comments"))
+    rows = page_of(m.comments().filter("image_id = 3 and status = 'VISIBLE'"), views.comment_order(), clamp_page(1, DEFAULTS["comments"], "comments"))
     return rows.select("id", "author", F.length("content").cast("long").alias("n"))
 
 
+@query("""
+SELECT c.id, u.nickname, coalesce(c.parent_id, -1) AS parent_id, r.nickname AS reply_to, strftime(c.created_at, '%Y-%m-%d %H:%M') AS created_at
+FROM comments c LEFT JOIN users u ON u.id = c.author_id LEFT JOIN comments p ON p.id = c.parent_id LEFT JOIN users r ON r.id = p.author_id WHERE c.status = 'VISIBLE'
+""")
+def comment_view(m: Model) -> DataFrame:
+    visible = views.comment_views(m.comments(), m.users()).filter("status = 'VISIBLE'")
+    return visible.fillna(-1, ["parent_id"]).select("id", "nickname", "parent_id", "reply_to", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"))
+
+
+@query("SELECT image_id, count(*) FILTER (status = 'VISIBLE') AS comment_count FROM comments GROUP BY 1")
+def comment_counters(m: Model) -> DataFrame:
+    return events.comment_counts(m.comments())
+
+
 @query("SELECT image_id, count(*) AS comments FROM comments GROUP BY 1")
 def comment_count(m: Model) -> DataFrame:
     return m.comments().groupBy("image_id").agg(F.count(F.lit(1)).alias("comments"))
@@ -290,15 +337,8 @@ def follow_state(m: Model) -> DataFrame:
     return events.follow_state(m.follow_log()).select("follower", "followee", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "scene")
 
 
-@query(f"SELECT id AS user_id, EXISTS (SELECT 1 FROM {_EDGES} e WHERE e.follower = {AUTHOR} AND e.followee = users.id) AS following FROM users WHERE id < 150")
-def follow_status(m: Model) -> DataFrame:
-    edges = events.follow_state(m.follow_log()).filter(F.col("follower") == AUTHOR).select(F.col("followee").alias("id"), F.lit(True).alias("f"))
-    return m.users().filter("id < 150").join(edges, "id", "left").select(F.col("id").alias("user_id"), F.coalesce("f", F.lit(False)).alias("following"))
-
-
 @query(f"SELECT id AS user_id, EXISTS (SELECT 1 FROM {_EDGES} e WHERE e.follower = {AUTHOR} AND e.followee = users.id) AS following FROM users")
-def follow_status_all(m: Model) -> DataFrame:
-    """Of every user, where follow_status is of the ids below 150, as its SQL is."""
+def follow_status(m: Model) -> DataFrame:
     edges = events.follow_state(m.follow_log()).filter(F.col("follower") == AUTHOR).select(F.col("followee").alias("id"), F.lit(True).alias("f"))
     return m.users().join(edges, "id", "left").select(F.col("id").alias("user_id"), F.coalesce("f", F.lit(False)).alias("following"))
 
@@ -319,6 +359,23 @@ def rejected_events(m: Model) -> DataFrame:
     return events.rejected(m.behaviors(), m.published(), m.users()).select("id", "reason")
 
 
+@query("""
+SELECT id, CASE WHEN user_id = image_id THEN 'self' ELSE 'user' END AS reason FROM behaviors
+WHERE kind = 'CLICK' AND (user_id = image_id OR NOT EXISTS (SELECT 1 FROM users u WHERE u.id = image_id))
+""")
+def rejected_follows(m: Model) -> DataFrame:
+    asked = m.behaviors().filter("kind = 'CLICK'").select("id", F.col("user_id").alias("follower"), F.col("image_id").alias("followee"))
+    return events.rejected_follows(asked, m.users()).select("id", "reason")
+
+
+@query("""
+SELECT image_id, count(*) FILTER (kind = 'VIEW') AS exposures, count(*) FILTER (kind = 'CLICK') AS clicks, count(*) FILTER (kind = 'LIKE') AS likes, count(*) FILTER (kind = 'FAVORITE') AS favorites,
+  CAST(coalesce(sum(duration) FILTER (kind = 'VIEW') // nullif(count(duration) FILTER (kind = 'VIEW'), 0), -1) AS BIGINT) AS dwell FROM behaviors GROUP BY 1
+""")
+def behavior_rates(m: Model) -> DataFrame:
+    return recsys.behavior_rates(m.behaviors()).fillna(-1, ["dwell"])
+
+
 @query("SELECT image_id, count(*) FILTER (kind = 'VIEW') AS views, count(*) FILTER (kind = 'CLICK') AS clicks, CASE WHEN views > 0 THEN clicks * 1000 // views ELSE -1 END AS per_mille FROM behaviors GROUP BY 1")
 def click_rates(m: Model) -> DataFrame:
     return recsys.click_rates(m.behaviors()).fillna(-1, ["per_mille"])
@@ -440,7 +497,7 @@ def _candidates(m: Model) -> DataFrame:
 
 _CANDIDATES = """(SELECT page_id AS seq, s, 'https://IMG.example.com/' || s || '/' || (page_id % 40) || '/ab/P.jpg' AS url,
   CASE s WHEN 'originals' THEN 1000010 ELSE CAST(replace(s, 'x', '') AS BIGINT) + 10 END AS score, sha1('img.example.com/originals/' || (page_id % 40) || '/ab/p.jpg') AS key
-  FROM (SELECT page_id, ['236x', '474x', '736x', 'originals'][CAST(page_id * 7 % 4 + 1 AS INTEGER)] AS s FROM pages))"""
+  , page FROM (SELECT page_id, url AS page, ['236x', '474x', '736x', 'originals'][CAST(page_id * 7 % 4 + 1 AS INTEGER)] AS s FROM pages))"""
 
 
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS clean FROM pages")
@@ -458,11 +515,19 @@ def candidate_dedupe(m: Model) -> DataFrame:
     return curation.merge_candidates(curation.with_keys(_candidates(m), HOST)).select("key", "first_seq", "url")
 
 
+@query(f"""+
+c AS (SELECT *, CASE WHEN seq % 3 = 0 THEN page ELSE '' END AS detail, row_number() OVER (PARTITION BY key ORDER BY seq) AS turn FROM {_CANDIDATES}),
+f AS (
+  SELECT key, turn, score, url, detail, [url || '?s='] AS fb FROM c WHERE turn = 1
+  UNION ALL SELECT c.key, c.turn, greatest(f.score, c.score), CASE WHEN c.score > f.score THEN c.url ELSE f.url END,
+    CASE WHEN c.score > f.score THEN c.detail WHEN f.detail = '' THEN c.detail ELSE f.detail END,
+    CASE WHEN c.score > f.score THEN list_filter(list_concat([f.url], f.fb, [c.url || '?s=']), lambda x, i: list_position(list_concat([f.url], f.fb, [c.url || '?s=']), x) = i) ELSE f.fb END
+  FROM f JOIN c ON c.key = f.key AND c.turn = f.turn + 1)
+SELECT key, arg_max(detail, turn) AS detail_url, array_to_string(arg_max(fb, turn), ' ') AS fallbacks FROM f GROUP BY 1
+""")
 def candidate_fallbacks(m: Model) -> DataFrame:
-    return curation.merge_candidates(curation.with_keys(_candidates(m), HOST)).select("key", "detail_url", F.array_join("fallbacks", " ").alias("fallbacks"))
-
-
-QUERIES["candidate_fallbacks"] = lambda spark, folder: candidate_fallbacks(Model(spark, folder))
+    merged = curation.merge_candidates(curation.with_keys(_candidates(m), HOST))
+    return merged.select("key", "detail_url", F.array_join(F.filter("fallbacks", lambda x: x != ""), " ").alias("fallbacks"))
 
 
 @query(f"SELECT seq FROM {_CANDIDATES} WHERE key NOT IN (SELECT key FROM {_CANDIDATES} WHERE seq < 20)")
@@ -490,11 +555,11 @@ r AS (SELECT l_orderkey AS page, l_linenumber AS round, count(*) % 2 AS n FROM l
 s AS (SELECT *, n = lag(n, 1, 0) OVER w AS same FROM r WINDOW w AS (PARTITION BY page ORDER BY round)),
 g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY round) AS run FROM s),
 k AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY page, run ORDER BY round) AS length FROM g)
-SELECT page, min(round) AS round FROM k WHERE length >= 3 GROUP BY 1
+SELECT page, min(round) AS round FROM k WHERE length >= 4 GROUP BY 1
 """)
 def settled_rounds(m: Model) -> DataFrame:
     rounds = m.table("lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("round")).agg((F.count(F.lit(1)) % 2).alias("n"))
-    return curation.settled_round(rounds, 3)
+    return curation.settled_round(rounds)
 
 
 @query("""
@@ -551,14 +616,21 @@ def annotation_normalize(m: Model) -> DataFrame:
 
 # layout, streams in batch form, recommendation
 
+@query(f"""+
+c AS (SELECT id // 60 AS page, id % 60 AS place, id, greatest(136.0::DOUBLE, 236.0::DOUBLE * (h / w)) AS height FROM (SELECT id, max(w) AS w, max(h) AS h FROM {_SIZES} GROUP BY 1)),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY place) AS turn FROM c),
+p AS (
+  SELECT DISTINCT page, CAST(0 AS BIGINT) AS turn, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS heights, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS height FROM n
+  UNION ALL SELECT n.page, n.turn, list_transform(p.heights, lambda x, i: CASE WHEN i = list_position(p.heights, list_min(p.heights)) THEN x + n.height + 10 ELSE x END), n.id, n.place,
+    list_position(p.heights, list_min(p.heights)) - 1, list_min(p.heights), n.height FROM p JOIN n ON n.page = p.page AND n.turn = p.turn + 1)
+SELECT CAST(page AS INTEGER) AS page, id, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS "column", k * 246.0::DOUBLE AS x, y, height FROM p WHERE id IS NOT NULL
+""")
 def masonry_pack(m: Model) -> DataFrame:
     cards = _sizes(m).groupBy("id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
     pages = cards.select((F.col("id") / 60).cast("int").alias("page"), (F.col("id") % 60).cast("int").alias("place"), "id", (F.col("h") / F.col("w")).alias("ratio"))
     return layout.pack(pages, 236.0, [0.0] * 5)
 
 
-QUERIES["masonry_pack"] = lambda spark, folder: masonry_pack(Model(spark, folder))
-
 _HOUR = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS start"
 
 
@@ -610,6 +682,47 @@ def vector_topk_all(m: Model) -> DataFrame:
     return recsys.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+@query("""
+SELECT e.vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE), 6) AS cosine
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 3 = 1 ORDER BY 2 DESC, 1 LIMIT 20
+""")
+def vector_topk_where(m: Model) -> DataFrame:
+    vectors = m.table("embeddings")
+    return recsys.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"], 20, F.col("vec_id") % 3 == 1)
+
+
+@query(f"""+
+liked AS (SELECT DISTINCT image_id AS id FROM {_TOGGLES} WHERE user_id = {AUTHOR} AND kind = 'LIKE' AND active),
+mine AS (SELECT DISTINCT tag_id FROM tag_writes WHERE image_id IN (FROM liked)),
+shared AS (SELECT image_id AS id, count(DISTINCT tag_id) AS shared FROM tag_writes WHERE tag_id IN (FROM mine) AND image_id NOT IN (FROM liked) GROUP BY 1),
+seed AS (SELECT max_by(image_id, row(ts, id)) AS seed FROM behaviors WHERE user_id = {AUTHOR}),
+topic AS (SELECT topic_id, sum(delta) AS weight FROM (SELECT DISTINCT * FROM topic_attempts) JOIN {_EFFECTS.replace("SELECT id, ts,", "SELECT user_id, ts,", 1)} USING (image_id) WHERE user_id = {AUTHOR} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+weighed AS (SELECT image_id AS id, sum(weight) AS weight FROM (SELECT DISTINCT * FROM topic_attempts) JOIN topic USING (topic_id) GROUP BY 1)
+SELECT 'tag' AS channel, id, CAST(row_number() OVER (ORDER BY shared DESC, hot_score DESC, id) AS INTEGER) AS place FROM shared JOIN published USING (id) QUALIFY place <= 40
+UNION ALL SELECT 'similar', id, CAST(row_number() OVER (ORDER BY abs(id - seed), hot_score DESC, id) AS INTEGER) AS place FROM published, seed WHERE id <> seed QUALIFY place <= 40
+UNION ALL SELECT 'interest', id, CAST(row_number() OVER (ORDER BY weight DESC, id) AS INTEGER) AS place FROM weighed JOIN published USING (id) QUALIFY place <= 40
+""")
+def recall_channels(m: Model) -> DataFrame:
+    own = m.behaviors().filter(F.col("user_id") == AUTHOR)
+    liked = events.toggle_state(own).filter("active and kind = 'LIKE'").select(F.col("image_id").alias("id")).distinct()
+    bound = views.bindings(m.topic_attempts())
+    found = {
+        "tag": recsys.same_tags(m.published(), m.tag_writes(), liked, 40),
+        "similar": recsys.like_the_last(m.published(), own, 40),
+        "interest": recsys.by_interest(m.published(), bound, events.effects(own).select("image_id", "delta"), 40),
+    }
+    tagged = [rows.select(F.lit(name).alias("channel"), "id", "place") for name, rows in found.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+@query(f"""
+SELECT id, round(score, 6) AS score FROM (SELECT id, CAST(hot_score AS DOUBLE) / 1000000 * 0.5 + pow(0.5, greatest(date_diff('second', published_at, TIMESTAMP '{NOW}') / 86400, 0) / 30) AS score FROM published)
+""")
+def ranked_images(m: Model) -> DataFrame:
+    items = m.published().select("id", "published_at", (F.col("hot_score").cast("double") / 1_000_000).alias("heat"))
+    return recsys.ranked(items, {"freshness": 1.0, "heat": 0.5}, NOW, 30.0).select("id", "score")
+
+
 @query(f"""+
 h AS (SELECT id, row_number() OVER (ORDER BY hot_score DESC, id) AS place, 0 AS c FROM published QUALIFY place <= 40),
 l AS (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS place, 1 AS c FROM published QUALIFY place <= 40),
