@@ -60,10 +60,12 @@ def fold_candidates(rows):
     return {k: (v[0], v[2], v[3], v[4]) for k, v in held.items()}
 
 
-def test_merge_candidates_is_the_fold(spark):
+@pytest.mark.parametrize("places", [curation.PART_PLACES, 7])
+def test_merge_candidates_is_the_fold(spark, monkeypatch, places):
+    monkeypatch.setattr(curation, "PART_PLACES", places)
     rng, rows = random.Random(5), []
     for seq in range(400):
-        rows.append((seq, f"k{rng.randint(0, 60)}", rng.randint(0, 4), f"u{seq}", rng.choice(["", f"d{seq}"]), [f"f{rng.randint(0, 5)}" for _ in range(rng.randint(0, 2))]))
+        rows.append((seq, f"k{rng.choice([0, rng.randint(0, 60)])}", rng.randint(0, 9), f"u{seq}", rng.choice(["", f"d{seq}"]), [f"f{rng.randint(0, 5)}" for _ in range(rng.randint(0, 2))]))
     frame = spark.createDataFrame(rows, "seq long, key string, score long, url string, detail_url string, fallbacks array<string>").repartition(3)
     got = {r["key"]: (r["first_seq"], r["url"], r["detail_url"], r["fallbacks"]) for r in curation.merge_candidates(frame).collect()}
     assert got == fold_candidates(rows)

@@ -23,34 +23,44 @@ def with_keys(candidates: DataFrame, host_ending: str) -> DataFrame:
     return candidates.withColumns({"key": canonical_key(F.col("url"), host_ending), "score": quality_score(F.col("url"))})
 
 
+#: Places in the order of candidates that one part of a key spans.
+PART_PLACES = 100_000
+
+
 def merge_candidates(candidates: DataFrame, most: int | None = None) -> DataFrame:
     """One row per key: key, url, detail_url, fallbacks, first_seq, in the order in which keys appear.
 
-    candidates: key, score, seq, url, detail_url, fallbacks. The first row of the largest score wins. Each row that beats
-    all before it takes over the former winner's address and fallbacks behind it. The winner's detail page counts; if it
-    has none, the first one of a later row. Records are few per key, so that the rows a task gathers are short lists.
+    candidates: key, score, seq (a place in the whole order), url, detail_url, fallbacks. The first row of the largest score
+    wins. Each row that beats all before it, a record, takes over the former winner's address and fallbacks behind it. The
+    winner's detail page counts; if it has none, the first one of a later row.
+
+    A key's rows are split into parts of PART_PLACES places: running maxima within parts, and of parts, find the records
+    without gathering a hot key in one task. What is gathered per key is its records, which are few, and for each part
+    and record the first detail page after it.
     """
-    order = Window.partitionBy("key").orderBy("seq")
-    best_before = F.max("score").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = candidates.withColumn("record", F.coalesce(F.col("score") > best_before, F.lit(True)))
-    top = F.max_by("seq", F.struct(F.col("score"), -F.col("seq"))).over(Window.partitionBy("key"))
-    rows = rows.withColumn("win_seq", top)
-    later = F.when((F.col("seq") > F.col("win_seq")) & (F.col("detail_url") != ""), F.struct("seq", "detail_url"))
-    grouped = rows.groupBy("key").agg(
-        F.min("seq").alias("first_seq"),
-        F.min_by("url", F.when(F.col("seq") == F.col("win_seq"), F.col("seq"))).alias("url"),
-        F.min_by("detail_url", F.when(F.col("seq") == F.col("win_seq"), F.col("seq"))).alias("own_detail"),
-        F.min(later).alias("later"),
-        F.array_sort(F.collect_list(F.when(F.col("record"), F.struct("seq", "url", "fallbacks")))).alias("records"),
+    parted = candidates.withColumn("_part", F.floor(F.col("seq") / PART_PLACES))
+    tops = parted.groupBy("key", "_part").agg(F.max("score").alias("_top"))
+    ahead = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("key", "_part", F.max("_top").over(ahead).alias("_above"))
+    within = Window.partitionBy("key", "_part").orderBy("seq")
+    best = F.greatest(F.max("score").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_above"))
+    rows = parted.join(tops, ["key", "_part"]).withColumn("record", F.coalesce(F.col("score") > best, F.lit(True)))
+    rows = rows.withColumn("_after", F.sum(F.col("record").cast("int")).over(within))
+    found = rows.groupBy("key", "_part", "_after").agg(
+        F.min(F.when(F.col("record"), F.struct("seq", "url", "detail_url", "fallbacks"))).alias("record"),
+        F.min(F.when(~F.col("record") & (F.col("detail_url") != ""), F.struct("seq", "detail_url"))).alias("detail"),
     )
+    grouped = found.groupBy("key").agg(F.array_sort(F.collect_list("record")).alias("records"), F.array_sort(F.collect_list("detail")).alias("details"))
     first = F.struct(F.col("records")[0]["url"].alias("url"), F.col("records")[0]["fallbacks"].alias("fb"))
 
     def take_over(held: Column, new: Column) -> Column:
         return F.struct(new["url"].alias("url"), ordered_union(F.array(held["url"]), held["fb"], new["fallbacks"]).alias("fb"))
 
     folded = F.aggregate(F.slice("records", F.lit(2), F.size("records")), first, take_over)
-    detail = F.when(F.col("own_detail") != "", F.col("own_detail")).otherwise(F.coalesce("later.detail_url", F.lit("")))
-    out = grouped.select("key", "url", detail.alias("detail_url"), folded["fb"].alias("fallbacks"), "first_seq")
+    winner = F.element_at("records", F.lit(-1))
+    later = F.get(F.filter("details", lambda d: d["seq"] > winner["seq"]), F.lit(0))["detail_url"]
+    detail = F.when(winner["detail_url"] != "", winner["detail_url"]).otherwise(F.coalesce(later, F.lit("")))
+    out = grouped.select("key", winner["url"].alias("url"), detail.alias("detail_url"), folded["fb"].alias("fallbacks"), F.col("records")[0]["seq"].alias("first_seq"))
     return out if most is None else out.orderBy("first_seq").limit(most)
 
 
