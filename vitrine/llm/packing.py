@@ -143,7 +143,8 @@ def pack(
 
     A document's ids are those of its prompt (if prompt_col is given; they bear no loss), its text and end_id. Null texts
     count as empty, so that every row has at least the end id; null ids of documents stay null; repeated rows are packed
-    once each. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
+    once each. A very long text's ids, 4 bytes each, are held whole, its pieces one at a time. An empty table gives no
+    rows. Other columns of docs are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     prompt = F.coalesce(F.col(prompt_col).cast("string"), F.lit("")) if prompt_col else F.lit("")
