@@ -9,7 +9,8 @@ of all pairs. Components of the links are found by joins.
 For near-duplicates on word shingles fingerprints only name the texts. Texts that share a band of minima of their shingle
 hashes are candidates, however far apart their fingerprints are, and the exact similarity decides. A block of candidates is
 first confirmed against one of its texts at a time, which joins most of a group of near copies by as many comparisons as it
-has texts; only blocks that PIVOTS rounds leave in several components are compared pair by pair, in tiles.
+has texts. In a block that PIVOTS rounds leave in several components, the texts outside the component of one of them are
+compared with all, in tiles; so texts are sent as often as there are tiles of those outside.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SEED = 42
 NEAR_WORDS, NEAR_BITS, NEAR_BANDS = 5, 256, (20, 4)
 SIMILARITY, TEXT_TILE, SHINGLE_TILE = (4, 5), 512, 2_000_000
 #: Rounds in which a block's texts are compared with one of them.
-PIVOTS = 3
+PIVOTS = 2
 #: Bytes of a text whose words are held at once, and hashes whose bits are.
 PORTION, BIT_ROWS = 4 << 20, 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -351,27 +352,36 @@ def _parts() -> Column:
     return F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("shingles") / SHINGLE_TILE, F.lit(1))).cast("int").alias("parts")
 
 
-def _part() -> Column:
-    return F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
+def _part(parts: str = "parts") -> Column:
+    return F.pmod(F.xxhash64("fp"), F.col(parts).cast("long")).cast("int")
 
 
-def pivot_tiles(placed: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Tiles in which the texts of placed (block, fp, root, shingles) meet their block's pivot, unless joined to it already.
+def pivot_tiles(placed: DataFrame) -> DataFrame:
+    """Tiles in which the texts of placed (block, fp, root, shingles, pivot) meet their block's pivot, unless joined to it already.
 
     Texts that share a pivot in several blocks meet it once. Each tile has a part of them and the pivot.
     """
-    pairs = materialize(placed.join(pivots, "block").filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.fp").alias("p"), "fp", "shingles").distinct(), "pairs")
-    sizes = materialize(pairs.groupBy("p").agg(_parts()), "sizes")
+    pairs = materialize(placed.filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.fp").alias("p"), "fp", "shingles").distinct(), "pairs")
+    sizes = pairs.groupBy("p").agg(_parts())
     texts = pairs.join(sizes, "p").select(F.xxhash64("p").alias("block"), _part().alias("tile"), F.lit(0).alias("side"), "fp")
     return texts.unionAll(sizes.select(F.xxhash64("p").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"), F.lit(1).alias("side"), F.col("p").alias("fp")))
 
 
-def pair_tiles(placed: DataFrame) -> DataFrame:
-    """Tiles in which all texts of a block of placed (block, fp, shingles) meet pair by pair; blocks of the same texts count once."""
-    signed = placed.groupBy("block").agg(_parts(), F.count(F.lit(1)).alias("size"), *(F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1)))
-    once = materialize(signed.groupBy("size", "sum0", "sum1").agg(F.min_by(F.struct("block", "parts"), "block").alias("b")).select("b.*"), "blocks")
-    met = placed.join(once, "block").withColumn("part", _part()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
+def rest_tiles(placed: DataFrame) -> DataFrame:
+    """Tiles in which the texts of placed (block, fp, root, shingles, pivot) outside the pivot's component meet all of their block.
+
+    Those outside are dealt into parts of their own; each part meets itself, the others of its kind and those of the rest,
+    which don't meet each other. Blocks of the same texts count once.
+    """
+    rows = placed.withColumn("outside", F.col("root") != F.col("pivot.root"))
+    kind = lambda flag: F.ceil(F.greatest(F.sum(F.when(flag, 1)) / TEXT_TILE, F.sum(F.when(flag, F.col("shingles"))) / SHINGLE_TILE, F.lit(1))).cast("int")
+    sums = [F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1)]
+    signed = rows.groupBy("block").agg(kind(F.col("outside")).alias("few"), kind(~F.col("outside")).alias("many"), F.count(F.lit(1)).alias("size"), *sums)
+    once = materialize(signed.groupBy("size", "sum0", "sum1").agg(F.min_by(F.struct("block", "few", "many"), "block").alias("b")).select("b.*"), "blocks")
+    part = F.when(F.col("outside"), _part("few")).otherwise(F.col("few") + _part("many"))
+    other = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    met = rows.join(once, "block").withColumn("part", part).withColumn("other", F.explode(other))
+    tile = F.least("part", "other").cast("long") * (F.col("few") + F.col("many")) + F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int"))
     return met.select("block", tile.alias("tile"), side.alias("side"), "fp")
 
@@ -391,27 +401,19 @@ def confirmed(blocks: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
     if texts.count() > keys.count():  # repeated rows
         texts = materialize(texts.dropDuplicates(["fp"]), "texts")
     found, links = keys.select("fp", F.col("fp").alias("root")), None
-
-    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        every = more if links is None else links.unionAll(more)
-        return every, materialize(_rooted(keys.select("fp"), every), "roots")
-
-    def still_open(least: int) -> tuple[DataFrame, DataFrame]:
-        """The texts with their roots, and the blocks of so many texts or more that aren't one component, with a pivot each."""
-        placed = materialize(members.filter(F.col("n") >= least).join(found, "fp"), "placed")
+    for turn in range(PIVOTS + 1):
+        least = 3 if turn else 2  # a block of two has one pair
+        rooted = materialize(members.filter(F.col("n") >= least).join(found, "fp"), "rooted")
         order = F.xxhash64("fp", F.lit(turn))
-        apart = placed.groupBy("block").agg(F.min_by(F.struct("fp", "root"), order).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"))
-        return placed, materialize(apart.filter("low <> high").select("block", "pivot"), "open")
-
-    for turn in range(PIVOTS):
-        placed, pivots = still_open(3 if turn else 2)  # a block of two has one pair
-        if pivots.isEmpty():
-            return found
-        links, found = joined(_compared(pivot_tiles(placed, pivots), texts, words))
-    turn = PIVOTS
-    placed, pivots = still_open(3)
-    if not pivots.isEmpty():
-        links, found = joined(_compared(pair_tiles(placed.join(pivots.select("block"), "block", "left_semi")), texts, words))
+        apart = rooted.groupBy("block").agg(F.min_by(F.struct("fp", "root"), order).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"))
+        pivots = materialize(apart.filter("low <> high").select("block", "pivot"), "pivots")
+        blocks_left = pivots.limit(MOST_BROADCAST + 1).count()
+        if not blocks_left:
+            break
+        placed = rooted.join(F.broadcast(pivots) if blocks_left <= MOST_BROADCAST else pivots, "block")
+        more = _compared(pivot_tiles(placed) if turn < PIVOTS else rest_tiles(placed), texts, words)
+        links = more if links is None else links.unionAll(more)
+        found = materialize(_rooted(keys.select("fp"), links), "roots")
     return found
 
 
