@@ -142,7 +142,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = keyed.join(F.broadcast(firsts) if buckets <= MOST_BROADCAST else firsts, (order == F.col("first")) & (F.col("bucket") == F.col("at")), "left")
     copies = F.array(F.struct(F.col("bucket"), F.lit(False).alias("beyond")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("beyond")))
     dealt = dealt.withColumn("to", F.explode(F.filter(copies, lambda c: c["bucket"].isNotNull()))).select("doc_id", "text", "text_hash", "to.*")
-    dealt = dealt.repartition(max(1, math.ceil(n / (BUCKET_ROWS * PARTITION_BUCKETS))), "bucket")
+    # by ranges of buckets, as hashes of so few of them would fill partitions unevenly
+    dealt = dealt.repartitionByRange(max(1, math.ceil(n / (BUCKET_ROWS * PARTITION_BUCKETS))), "bucket")
     ordered = Window.partitionBy("bucket").orderBy("beyond", F.col("doc_id").asc_nulls_first(), "text_hash")
     return dealt.withColumn("next_text", F.lead("text").over(ordered))
 
