@@ -106,6 +106,52 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_hashes_of_long_texts_in_portions(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "Bb", "é", "x" * 30, "\n"]) for _ in range(rng.choice([0, 1, 4, 5, 6, 200]))).encode() for _ in range(60)] + [b"  ", b"y" * 500, b"one " * 300_000]
+    whole = [(simhash.shingle_hashes(t, 5), simhash.simhash(np.unique(simhash.shingle_hashes(t, 5)), 256)) for t in texts]
+    for words in (3, 5):
+        for t in texts[:60]:
+            found = t.translate(simhash._LOWER).split()
+            runs = [b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))] if found else []
+            assert simhash.shingle_hashes(t, words).tolist() == [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    monkeypatch.setattr(simhash, "PORTION", 7)
+    monkeypatch.setattr(simhash, "BIT_ROWS", 3)
+    for t, (hashes, fingerprint) in zip(texts[:-1], whole, strict=False):
+        assert simhash.shingle_hashes(t, 5).tolist() == hashes.tolist()
+        assert simhash.simhash(np.unique(hashes), 256) == fingerprint
+
+
+CLASH = "doc_id long, text string, _id_key string, _text_hash string, _first string, n string, kept string, root string"
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("drop", [exactdedup.drop_copies, simhash.drop_near_duplicates])
+def test_dropping_with_nulls_repeats_and_clashing_names(spark, monkeypatch, drop, most):
+    """Dropped rows by broadcast and by join; null ids and texts, repeated rows, columns named like our own."""
+    from vitrine.llm import _shared
+
+    monkeypatch.setattr(_shared, "MOST_BROADCAST", most)
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(3, text), (3, text), (2, text + " "), (2, text + " "), (None, "only here"), (None, "only here"), (None, None), (5, ""), (7, "alone in this table"), (7, "another text of that id"), (8, text + " ")]
+    frame = spark.createDataFrame([(k, t, "a", "b", "c", "d", "e", "f") for k, t in rows], CLASH).repartition(3)
+    got = drop(frame)
+    assert got.columns == frame.columns and {tuple(r)[2:] for r in got.collect()} == {("a", "b", "c", "d", "e", "f")}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "only here"), (None, None), (7, "alone in this table"), (7, "another text of that id"), (2, text + " ")], key=str)
+    assert drop(frame.limit(0)).count() == 0
+
+
+def test_a_hot_root_by_join_and_by_broadcast(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(0, k) for k in range(1, 300)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(k, k + 1) for k in range(500, 530)] + [(None, 4)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = components_of(600, [e for e in edges if e[0] is not None])
+    for most in (500_000, 0):
+        monkeypatch.setattr(components, "MOST_BROADCAST", most)
+        got = {r["node"]: r["root"] for r in components.components(frame).collect()}
+        assert all(got.get(k, k) == want[k] for k in range(600))
+
+
 def test_large_blocks_are_tiled(spark, monkeypatch):
     """Fingerprints of one block by the hundred, in tiles of 16: no link is lost."""
     monkeypatch.setattr(simhash, "TILE", 16)

@@ -284,7 +284,7 @@ def test_quality_classifier(spark):
     good = [f"word{k}" for k in range(60)]
     junk = [f"!!{k}" for k in range(30)]
     make = lambda bad: " ".join(rng.choice(junk if bad and rng.random() < 0.5 else good) for _ in range(60))
-    pairs = [(k, make(k % 4 == 0)) for k in range(800)] + [(2000, ""), (2001, None), (2002, "\n "), (None, "word1 word2"), (3000, "word1 word2 " * 400_000), (3001, "!!1 !!2 " * 400_000)]
+    pairs = [(k, make(k % 4 == 0)) for k in range(800)] + [(2000, ""), (2001, None), (2002, "\n "), (None, "word1 word2"), (3000, "word1 word2 " * 150_000), (3001, "!!1 !!2 " * 150_000)]
     labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 800, 2)] + [(None, 1, 0), (4000, 1, None)], "doc_id long, quality int, toxic int")
     rows = quality.classify(docs(spark, pairs), labels)
     kept = {r["doc_id"] for r in rows.filter("kept").collect()}
