@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 THUMB_WIDTH = 520
 #: Longest side that a reduced ratio is shown with (fixed value).
 MOST_SIDE = 80
-#: Euclid's algorithm needs no more steps for 32-bit numbers.
-_STEPS = 48
+#: Euclid's algorithm needs no more steps for each decimal digit of the lesser number (Lamé's theorem).
+_STEPS_A_DIGIT = 5
 #: Width and height where the size is unknown, by id (fixed values).
 FALLBACK_RATIOS = ("3 / 4.2", "3 / 3.6", "3 / 4.8", "3 / 3.9", "3 / 4.5", "3 / 5.1")
 #: File name endings and content types (fixed values).
@@ -20,7 +20,8 @@ def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two positive whole numbers."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, step)["a"]
+    steps = F.length(F.least(a, b).cast("string")) * _STEPS_A_DIGIT
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["a"]
 
 
 def ratio_label(width: Column, height: Column) -> Column:
