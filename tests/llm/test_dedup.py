@@ -125,7 +125,7 @@ def test_hashes_of_long_texts_in_portions(monkeypatch):
 CLASH = "doc_id long, text string, _id_key string, _text_hash string, _first string, n string, kept string, root string"
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [200_000, 0])
 @pytest.mark.parametrize("drop", [exactdedup.drop_copies, simhash.drop_near_duplicates])
 def test_dropping_with_nulls_repeats_and_clashing_names(spark, monkeypatch, drop, most):
     """Dropped rows by broadcast and by join; null ids and texts, repeated rows, columns named like our own."""
@@ -146,7 +146,7 @@ def test_a_hot_root_by_join_and_by_broadcast(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 300)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(k, k + 1) for k in range(500, 530)] + [(None, 4)]
     frame = spark.createDataFrame(edges, "a long, b long")
     want = components_of(600, [e for e in edges if e[0] is not None])
-    for most in (500_000, 0):
+    for most in (200_000, 0):
         monkeypatch.setattr(components, "MOST_BROADCAST", most)
         got = {r["node"]: r["root"] for r in components.components(frame).collect()}
         assert all(got.get(k, k) == want[k] for k in range(600))

@@ -99,7 +99,7 @@ NO_ID = -(2**63)
 
 
 #: Keys of rows to drop that are broadcast at most, some 100 bytes each; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 200_000
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:

@@ -362,8 +362,9 @@ def pivot_tiles(placed: DataFrame) -> DataFrame:
     Texts that share a pivot in several blocks meet it once. Each tile has a part of them and the pivot.
     """
     pairs = materialize(placed.filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.fp").alias("p"), "fp", "shingles").distinct(), "pairs")
-    sizes = pairs.groupBy("p").agg(_parts())
-    texts = pairs.join(sizes, "p").select(F.xxhash64("p").alias("block"), _part().alias("tile"), F.lit(0).alias("side"), "fp")
+    sizes = materialize(pairs.groupBy("p").agg(_parts()), "sizes")
+    few = F.broadcast if sizes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
+    texts = pairs.join(few(sizes), "p").select(F.xxhash64("p").alias("block"), _part().alias("tile"), F.lit(0).alias("side"), "fp")
     return texts.unionAll(sizes.select(F.xxhash64("p").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"), F.lit(1).alias("side"), F.col("p").alias("fp")))
 
 
