@@ -36,7 +36,7 @@ KEEP_GOOD = 0.995
 #: Weight of the squared slope in the fit of the curve, which bounds it where labels can be told apart without fault.
 RIDGE = 0.01
 #: Bytes and texts that are counted at once.
-BATCH_BYTES, BATCH_TEXTS = 1 << 20, 1 << (32 - BUCKET_BITS)
+BATCH_BYTES, BATCH_TEXTS = 1 << 19, 1 << (32 - BUCKET_BITS)
 
 
 def _buckets(raw: np.ndarray) -> np.ndarray:
