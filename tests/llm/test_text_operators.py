@@ -23,7 +23,7 @@ def docs(spark, pairs, parts=3):
     return spark.createDataFrame([(k, t, "a", "b", "c", "d", "e", "f") for k, t in pairs], ODD).repartition(parts)
 
 
-TEXTS = ["", None, "one", "two words", "a b c", "The  quick\tbrown fox. The quick brown fox. The quick brown fox.", " lead and trail ", "é ü ß " * 40, "same " * 500, "x" * 20_000, "same " * 500, " ".join(str(k * 7919 % 10007) for k in range(60_000))]
+TEXTS = ["", None, "one", "two words", "a b c", "The  quick\tbrown fox. The quick brown fox. The quick brown fox.", " lead and trail ", "é ü ß " * 40, "same " * 500, "x" * 20_000, "same " * 500, " ".join(str(k * 7919 % 10007) for k in range(15_000))]
 
 
 

@@ -28,6 +28,8 @@ _RUNS = re.compile(f" ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^{_LATIN}{_DIGIT} ]+")
 _PARTS = re.compile(f"[{_LATIN}]+|[{_DIGIT}]|[^{_LATIN}{_DIGIT}]+")
 #: A worker holds this many chunks at most; beyond it the memory is emptied and filled anew.
 MEMO_CHUNKS = 600_000
+#: Characters that Python counts as white space and the pre-tokenizers don't.
+_NO_GAPS = "\x1c\x1d\x1e\x1f"
 #: Chunks of a long text that are joined at once, and the characters from which a text counts as long.
 PORTION, LONG = 100_000, 1_000_000
 
@@ -40,12 +42,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Ids by chunk; those of a new chunk are made when they are asked for."""
+    """Ids by chunk; those of a new chunk are made when they are asked for. A word and a mark behind it are two chunks."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1] in ".," and (word := chunk[:-1]).isalpha() and max(word) <= "\xff":
+            return self[word] + self[chunk[-1]]
         self[chunk] = ids = self.encode(chunk)
         return ids
 
@@ -90,7 +94,8 @@ class TextEncoder:
         if len(self.memo) > MEMO_CHUNKS:
             self.memo.clear()
         if len(text) < LONG:
-            return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+            by_gaps = self.drops_space and not any(c in text for c in _NO_GAPS)
+            return b"".join(map(self.memo.__getitem__, text.split() if by_gaps else self.pattern.findall(text)))
         found, out = (m.group() for m in self.pattern.finditer(text)), []
         while part := list(islice(found, PORTION)):
             out.append(b"".join(map(self.memo.__getitem__, part)))
