@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, exactdedup, fingerprints, licenses, mixing, orctokens, packing, quality, simhash, urlfilter
+from . import alignment, compaction, exactdedup, filteraudit, fingerprints, licenses, mixing, orctokens, packing, pii, quality, simhash, urlfilter
 from ._shared import scratch, table
 from .tokens import public_path
 
@@ -56,6 +56,18 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of an assistant with the user's turn before it as a prompt, which bears no loss: op1's operator with limits that bind."""
     turns = table(spark, sf_dir, "conversations").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
@@ -76,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_quality": op9_quality,
     "op10_compaction": op10_compaction,
+    "op11_pii": op11_pii,
+    "op12_alignment": op12_alignment,
+    "op13_filter_audit": op13_filter_audit,
     "instruction_packing": instruction_packing,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op5_exact_dedup": exactdedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op5_exact_dedup": exactdedup.ORACLE, "op13_filter_audit": filteraudit.ORACLE}
