@@ -29,7 +29,7 @@ from .tokens import TextEncoder, byte_letters, encoder
 #: Pairs of ids that are broadcast at most (some 40 bytes each); the rest meet their links by a shuffle.
 MOST_PAIRS = 1_000_000
 #: Words whose ids a worker remembers at most, characters of a page, and characters of a long text that are cut into words at once.
-MEMO_WORDS, PAGE, PORTION = 800_000, 12_000_000, 2_000_000
+MEMO_WORDS, PAGE, PORTION = 800_000, 3_000_000, 2_000_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _RUNS = re.compile(" +[^ ]*")
 _ID_BITS, _INDEX_BITS = 32, 31
