@@ -29,7 +29,7 @@ from .tokens import TextEncoder, byte_letters, encoder
 #: Pairs of ids that are broadcast at most (some 40 bytes each); the rest meet their links by a shuffle.
 MOST_PAIRS = 1_000_000
 #: Words whose ids a worker remembers at most, characters of a page, and characters of a long text that are cut into words at once.
-MEMO_WORDS, PAGE, PORTION = 800_000, 3_000_000, 2_000_000
+MEMO_WORDS, PAGE, PORTION = 500_000, 4_000_000, 2_000_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _RUNS = re.compile(" +[^ ]*")
 _ID_BITS, _INDEX_BITS = 32, 31
@@ -76,7 +76,7 @@ def _by_rank(spec: dict, vocabulary: dict[str, int], entries: list[bytes]) -> Ca
     merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ", 1)), -1) for m in spec["model"]["merges"]]
     usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and spec.get("normalizer") is None
     special = {t["id"] for t in spec["added_tokens"]}
-    if not usual or spec["model"].get("ignore_merges") or merged != sorted(set(merged)) or len(merged) + 256 + len(special) != len(vocabulary):
+    if not usual or spec["model"].get("ignore_merges") or merged != sorted(set(merged)) or len(merged) + 256 != len(set(vocabulary.values()) - special):
         return None
     ranks = {entries[k]: k for k in vocabulary.values() if k not in special}
     return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -112,14 +112,18 @@ class Both:
         return self._code(text, self.encoder.ids(" " + text), self.pieces.ids(text))
 
     def codes(self, words: list[str]) -> list[bytes]:
-        """code of each word; words hold no space and new ones are encoded together."""
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        """code of each word; new ones are encoded together. Long ones, and those with a space in them, are not remembered."""
+        out = [self.memo.get(w) for w in words]
+        missing = [k for k, code in enumerate(out) if code is None]
+        plain = [w for w in map(words.__getitem__, missing) if len(w) <= 100 and " " not in w]
+        if len(self.memo) + len(plain) > MEMO_WORDS:
             self.memo.clear()
-            new = words
-        for k in range(0, len(new), 100_000):
-            self._learn(new[k : k + 100_000])
-        return [self.memo[w] for w in words]
+        for k in range(0, len(plain), 50_000):
+            self._learn(plain[k : k + 50_000])
+        for k in missing:
+            code = self.memo.get(words[k])
+            out[k] = self.code(words[k]) if code is None else code
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """One call of each tokenizer. Of A's tokens those that begin with a space begin a word."""
@@ -177,9 +181,7 @@ class Page:
         import numpy as np
 
         words, both = list(self.number), self.both
-        short = [w for w in words if len(w) <= 100]
-        known = dict(zip(short, both.codes(short), strict=True))
-        codes = [known[w] if len(w) <= 100 else both.code(w) for w in words]
+        codes = both.codes(words)
         if not all(codes):  # the tokens of a whole text may give back its bytes though those of a word don't
             bad = np.array([not c for c in codes])
             for k, (text, numbers) in enumerate(zip(self.texts, self.docs, strict=True)):
