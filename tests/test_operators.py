@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import media, text, urls
-from vitrine.operators import curation, events, layout, ranking, recsys, search, taxonomy, views
+from vitrine.operators import curation, events, layout, ranking, recsys, search, taxonomy, vectors, views
 from vitrine.plans.paging import clamp_page
 
 
@@ -119,6 +119,37 @@ def test_category_tree_with_orphan_and_cycle(spark):
     assert [(r["id"], r["depth"]) for r in tree] == [(2, 0), (4, 0), (1, 0), (3, 1)]
 
 
+def brute_tree(rows):
+    """(id, depth, names) depth first, by walking from the roots."""
+    ids, below = {r[0] for r in rows}, {}
+    for i, name, parent, sort_no in rows:
+        below.setdefault(parent if parent in ids else None, []).append((sort_no or 0, i, name))
+    out, todo = [], [(c, 0, []) for c in sorted(below.get(None, []), reverse=True)]
+    while todo:
+        (_, i, name), depth, names = todo.pop()
+        out.append((i, depth, " > ".join([*names, name])))
+        todo += [(c, depth + 1, [*names, name]) for c in sorted(below.get(i, []), reverse=True)]
+    return out
+
+
+def test_category_tree_by_brute_force(spark):
+    rng = random.Random(6)
+    for n in (1, 12, 300):
+        rows = [(k, f"n{k}", rng.choice([None, rng.randrange(n), max(0, k - 1), 10**6]), rng.choice([None, -7, 0, 3, 10_000_000, 1_500_000])) for k in range(n)]
+        tree = views.category_tree(spark.createDataFrame(rows, "id long, name string, parent_id long, sort_no int")).orderBy("sort_path").collect()
+        assert [(r["id"], r["depth"], r["path"]) for r in tree] == brute_tree(rows)
+    empty = spark.createDataFrame([], "id long, name string, parent_id long, sort_no int")
+    assert views.category_tree(empty).count() == 0
+
+
+def test_category_tree_of_many_levels_and_children(spark):
+    chain = spark.range(3000).selectExpr("id", "'c' AS name", "nullif(id - 1, -1) AS parent_id", "-id AS sort_no")
+    wide = spark.range(10_000, 210_000).selectExpr("id", "'w' AS name", "5L AS parent_id", "id AS sort_no")
+    tree = views.category_tree(chain.unionByName(wide))
+    n, depth, total = tree.agg(F.count("id"), F.max("depth"), F.sum("depth")).first()
+    assert (n, depth, total) == (203_000, 2999, 2999 * 1500 + 200_000 * 6)
+
+
 def test_grid():
     assert layout.grid(1000.0) == (4, 242.5) and layout.grid(100.0) == (1, 100.0) and layout.grid(99_999.0)[0] == 12
 
@@ -158,11 +189,11 @@ def test_rounds_ids_and_mix(spark):
 
 def test_nearest_of_each_query_is_nearest_of_one(spark):
     rows = [(k, [float(k % 7 - 3), float(k % 5), float(k % 3 - 1)]) for k in range(1, 60)] + [(60, [0.0, 0.0, 0.0])]  # ties, no id 0
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = recsys.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), 4, block=8).collect()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = vectors.nearest_each(table, table.filter("vec_id % 20 = 0"), 4, tile=8).collect()
     for q in (20, 40, 60):
-        want = recsys.nearest(vectors, rows[q - 1][1], 4).collect()
-        assert sorted((-r["cosine"], r["vec_id"]) for r in got if r["query_id"] == q) == [(-r["cosine"], r["vec_id"]) for r in want]
+        want = vectors.nearest_each(table, table.filter(f"vec_id = {q}"), 4).collect()
+        assert sorted((-r["cosine"], r["vec_id"]) for r in got if r["query_id"] == q) == sorted((-r["cosine"], r["vec_id"]) for r in want)
     assert len(got) == 12
 
 
@@ -172,7 +203,7 @@ def test_plans_stay_native(spark, data):
     plan = lambda name: QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("feed_page_n") or "TakeOrdered" in plan("similar_by_id")
     assert "WindowGroupLimit" in plan("author_topk_all")
-    in_python = {"slugify", "slug_collisions", "url_normalize", "url_escapes", "text_clean", "topic_and_tag_slugs", "detail_urls", "srcset_parse", "dom_candidates", "category_paths", "frontier_bfs"}
+    in_python = {"vector_topk", "vector_topk_all", "vector_topk_where", "vector_topk_index", "slugify", "slug_collisions", "url_normalize", "url_escapes", "text_clean", "topic_and_tag_slugs", "detail_urls", "srcset_parse", "dom_candidates", "category_paths", "frontier_bfs"}
     for name in set(QUERIES) - in_python:
         assert "Python" not in plan(name) and "Pandas" not in plan(name), name
     assert "EqualTo(o_orderstatus,F)" in plan("feed_total") or "PushedFilters" in plan("feed_total")

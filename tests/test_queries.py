@@ -32,8 +32,12 @@ def test_same_rows_as_sql(spark, data, duck, name):
     assert rows(got) == rows(want)
 
 
+#: Approximate by nature; tests/test_vectors.py measures their recall.
+WITHOUT_SQL = {"vector_topk_index"}
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
 def test_no_query_reads_a_part_of_the_users(spark, data):

@@ -1,4 +1,4 @@
-"""Recommendation, as the roadmap plans it: vector retrieval, recall channels, mixing, rates. Weights are our own."""
+"""Recommendation, as the roadmap plans it: recall channels, mixing, rates, ranking. Weights are our own."""
 
 from __future__ import annotations
 
@@ -8,43 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """The k vectors (vec_id, embedding) of the largest cosine to the query; ties by id. Each task keeps k rows.
-
-    where: a condition on other columns, which reaches the scan and so is tested before any product.
-    """
-    vectors = vectors if where is None else vectors.filter(where)
-    asked = F.array(*(F.lit(float(x)) for x in query))
-    norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding")) * F.lit(sum(x * x for x in query)))
-    cosine = F.when(norm > 0, _dot(F.col("embedding"), asked) / norm).otherwise(0.0)
-    return vectors.select("vec_id", F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
-
-
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(query_id, vec_id, cosine): nearest for each of queries, which is like vectors (vec_id, embedding).
-
-    Vectors are dealt into blocks; a task compares a query with a block and keeps k rows, which are merged by query.
-    """
-    doubles = F.col("embedding").cast("array<double>")
-    own = vectors.select("vec_id", doubles.alias("e")).withColumns({"n": _dot(F.col("e"), F.col("e")), "block": F.floor(F.monotonically_increasing_id() / block)})
-    blocks = own.groupBy("block").agg(F.collect_list(F.struct("vec_id", "e", "n")).alias("rows"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), doubles.alias("q")).withColumn("m", _dot(F.col("q"), F.col("q")))
-
-    def scored(row: Column) -> Column:
-        norm = F.sqrt(row["n"] * F.col("m"))
-        cosine = F.when(norm > 0, _dot(row["e"], F.col("q")) / norm).otherwise(0.0)
-        return F.struct((-F.round(cosine, 6)).alias("less"), row["vec_id"].alias("vec_id"))
-
-    best = F.slice(F.array_sort(F.transform("rows", scored)), 1, k)
-    found = blocks.crossJoin(asked).select("query_id", F.explode(best).alias("r")).select("query_id", "r.*")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", (-F.col("less")).alias("cosine"))
-
-
 def _placed(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows as (id, place); each task keeps k of them."""
     return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "place")

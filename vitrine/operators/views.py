@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..plans.session import discard, stored
 
 
 def bindings(attempts: DataFrame) -> DataFrame:
@@ -108,27 +109,53 @@ def comment_views(comments: DataFrame, users: DataFrame | None = None) -> DataFr
     return joined
 
 
+def _jumped(state: DataFrame, carried: list[str]) -> DataFrame:
+    """state (id, up and carried columns, which describe the way from below up to id) when no round of jumping finishes a member.
+
+    In a round every member takes over its up's up, so that ways double and rounds are as many as the depth has binary
+    digits; carried arrays are joined and numbers added. Members of cycles keep an up. Each round is a table in the shared
+    folder that is deleted when the next one is there.
+    """
+    state = stored(state)
+    open_ = state.filter("up is not null").count()
+    while open_:
+        above = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), *(F.col(c).alias(f"_{c}") for c in carried))
+        joined = state.join(above, F.col("up") == F.col("_id"), "left")
+        longer = [F.when(F.col("_id").isNull(), F.col(c)).otherwise(F.concat(f"_{c}", c) if kind.startswith("array") else F.col(f"_{c}") + F.col(c)).alias(c) for c, kind in state.select(*carried).dtypes]
+        after = stored(joined.select("id", F.col("_up").alias("up"), *longer))
+        discard(state)
+        state, before, open_ = after, open_, after.filter("up is not null").count()
+        if open_ == before:
+            break
+    return state
+
+
 def category_tree(categories: DataFrame) -> DataFrame:
-    """id, parent_id, name, depth, path, sort_path: depth first, siblings by sort_no and id.
+    """id, parent_id, name, depth, path (of names), sort_path (of sort_no and id): in the order of sort_path it is depth first.
 
-    A category whose parent is unknown is a root; members of a cycle are reached from no root and are left out.
+    Siblings are in the order of sort_no (a null is 0) and id, whatever their signs and digits. A category whose parent is
+    unknown is a root; members of a cycle, and what hangs from them, are reached from no root and are left out. Only
+    categories with children take part in the rounds, first to find out which are reached, then with their paths; all others
+    are joined to their parents once, so that a category may have any number of children. Ids are unique.
     """
-    spark = categories.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE tree AS (
-          SELECT c.id, c.parent_id, c.name, 0 AS depth, CAST(c.name AS STRING) AS path,
-                 lpad(CAST(coalesce(c.sort_no, 0) AS STRING), 6, '0') || '.' || lpad(CAST(c.id AS STRING), 12, '0') AS sort_path
-          FROM {categories} c LEFT ANTI JOIN {categories} p ON c.parent_id = p.id
-          UNION ALL
-          SELECT c.id, c.parent_id, c.name, t.depth + 1, t.path || ' > ' || c.name,
-                 t.sort_path || '/' || lpad(CAST(coalesce(c.sort_no, 0) AS STRING), 6, '0') || '.' || lpad(CAST(c.id AS STRING), 12, '0')
-          FROM {categories} c JOIN tree t ON c.parent_id = t.id
-        )
-        SELECT * FROM tree
-        """,
-        categories=categories,
-    )
+    key = F.struct(F.coalesce("sort_no", F.lit(0)).cast("long").alias("sort_no"), F.col("id").alias("id"))
+    nodes = categories.select("id", "parent_id", "name", key.alias("key"))
+    parents = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    inner = nodes.join(parents, "id", "left_semi")
+    known = inner.select(F.col("id").alias("up"))
+    linked = inner.join(known, F.col("parent_id") == F.col("up"), "left")
+    reached = _jumped(linked.select("id", "up", F.lit(1).alias("depth")), ["depth"])
+    rooted = linked.join(reached.filter("up is null").select("id"), "id", "left_semi")
+    paths = _jumped(rooted.select("id", "up", F.array("name").alias("names"), F.array("key").alias("keys")), ["names", "keys"])
+    discard(reached)
+    above = paths.select(F.col("id").alias("up"), F.col("names").alias("up_names"), F.col("keys").alias("up_keys"))
+    hung = nodes.join(above, F.col("parent_id") == F.col("up"), "left")
+    # a known parent without a path is reached from no root; members of a cycle have such a parent
+    lost = known.join(paths.select(F.col("id").alias("up")), "up", "left_anti").select(F.col("up").alias("parent_id"))
+    rows = hung.join(lost, "parent_id", "left_anti")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    names, keys = F.concat(none("up_names", "array<string>"), F.array("name")), F.concat(none("up_keys", dict(paths.dtypes)["keys"]), F.array("key"))
+    return rows.select("id", "parent_id", "name", (F.size(names) - 1).alias("depth"), F.array_join(names, " > ").alias("path"), keys.alias("sort_path"))
 
 
 def orphans(categories: DataFrame) -> DataFrame:

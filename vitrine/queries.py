@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import queries_rules  # noqa: F401  (registers its own)
 from .functions import media, text, urls
-from .operators import curation, events, layout, ranking, recsys, search, taxonomy, views
+from .operators import curation, events, layout, postings, ranking, recsys, search, taxonomy, vectors, views
 from .plans.paging import DEFAULTS, Page, clamp_page, page_of
 from .registry import ORACLES, QUERIES, query
 from .sources.model import Model
@@ -237,15 +237,19 @@ def main_category(m: Model) -> DataFrame:
     return m.users().join(names, "category_id", "left").select("id", "category")
 
 
+def _shown_path() -> Column:
+    return F.array_join(F.transform("sort_path", lambda k: F.concat(k["sort_no"].cast("string"), F.lit("."), k["id"].cast("string"))), "/").alias("sort_path")
+
+
 @query("""+
 tree AS (
-  SELECT id, name, 0 AS depth, name AS path, lpad(CAST(sort_no AS VARCHAR), 6, '0') || '.' || lpad(CAST(id AS VARCHAR), 12, '0') AS sort_path FROM categories WHERE parent_id IS NULL
-  UNION ALL SELECT c.id, c.name, t.depth + 1, t.path || ' > ' || c.name, t.sort_path || '/' || lpad(CAST(c.sort_no AS VARCHAR), 6, '0') || '.' || lpad(CAST(c.id AS VARCHAR), 12, '0')
+  SELECT id, name, 0 AS depth, name AS path, sort_no || '.' || id AS sort_path FROM categories WHERE parent_id IS NULL
+  UNION ALL SELECT c.id, c.name, t.depth + 1, t.path || ' > ' || c.name, t.sort_path || '/' || c.sort_no || '.' || c.id
   FROM categories c JOIN tree t ON c.parent_id = t.id)
 SELECT id, name, depth, path, sort_path FROM tree
 """)
 def category_tree(m: Model) -> DataFrame:
-    return views.category_tree(m.categories()).select("id", "name", "depth", "path", "sort_path")
+    return views.category_tree(m.categories()).select("id", "name", "depth", "path", _shown_path())
 
 
 @query("SELECT id, parent_id FROM categories WHERE id <> 1001 AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM categories WHERE id <> 1001)")
@@ -396,6 +400,18 @@ def search_like(m: Model) -> DataFrame:
     return search.matching(m.corpus(), ["text", "source"], "Th_r%ing", wildcards=True).select("doc_id")
 
 
+@query(f"SELECT doc_id, source FROM documents WHERE {_FOLD.format('text', KEYWORD)} ORDER BY n_chars DESC, doc_id LIMIT 36")
+def search_docs_postings(m: Model) -> DataFrame:
+    index = postings.build(m.corpus(), ["text"], id_col="doc_id")
+    return postings.search(index, KEYWORD).orderBy(F.desc("n_chars"), "doc_id").limit(search.IMAGES).select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE lower(text) LIKE '%th_rtion%ing%' OR lower(source) LIKE '%th_rtion%ing%'")
+def search_like_postings(m: Model) -> DataFrame:
+    index = postings.build(m.corpus(), ["text", "source"], id_col="doc_id")
+    return postings.search(index, "Th_rtion%ing", wildcards=True).select("doc_id")
+
+
 @query("SELECT id, nickname FROM users WHERE contains(lower(nickname), 'r#00000001') ORDER BY id DESC LIMIT 12")
 def search_users(m: Model) -> DataFrame:
     return search.matching(m.users(), ["nickname"], "R#00000001").orderBy(F.desc("id")).limit(search.USERS).select("id", "nickname")
@@ -667,8 +683,8 @@ SELECT e.vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[])
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 20
 """)
 def vector_topk(m: Model) -> DataFrame:
-    vectors = m.table("embeddings")
-    return recsys.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"], 20)
+    rows = m.table("embeddings")
+    return vectors.nearest_each(rows, rows.filter("vec_id = 0"), 20).select("vec_id", "cosine")
 
 
 @query("""
@@ -678,8 +694,14 @@ SELECT query_id, vec_id, cosine FROM (
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20
 """)
 def vector_topk_all(m: Model) -> DataFrame:
-    vectors = m.table("embeddings")
-    return recsys.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+    rows = m.table("embeddings")
+    return vectors.nearest_each(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+@query()
+def vector_topk_index(m: Model) -> DataFrame:
+    rows = m.table("embeddings")
+    return vectors.nearest_each(rows, rows.filter("vec_id % 20 = 0"), 20, index=vectors.fit(rows, 20))
 
 
 @query("""
@@ -687,8 +709,8 @@ SELECT e.vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[])
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 3 = 1 ORDER BY 2 DESC, 1 LIMIT 20
 """)
 def vector_topk_where(m: Model) -> DataFrame:
-    vectors = m.table("embeddings")
-    return recsys.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"], 20, F.col("vec_id") % 3 == 1)
+    rows = m.table("embeddings")
+    return vectors.nearest_each(rows, rows.filter("vec_id = 0"), 20, where=F.col("vec_id") % 3 == 1).select("vec_id", "cosine")
 
 
 @query(f"""+
