@@ -42,8 +42,13 @@ def effects(log: DataFrame) -> DataFrame:
     """id, ts, image_id, kind, step (+1 or -1) and delta (of the score) of every event."""
     flipped = toggles(log).select("id", "ts", "image_id", "kind", F.when(F.col("active"), 1).otherwise(-1).alias("step"))
     plain = log.filter(~F.col("kind").isin(*TOGGLES)).select("id", "ts", "image_id", "kind", F.lit(1).alias("step"))
+    return weighted(plain.unionByName(flipped))
+
+
+def weighted(steps: DataFrame) -> DataFrame:
+    """steps (kind and step, +1 or -1) with delta: what each adds to the score."""
     score = F.element_at(F.create_map(*(x for k, v in SCORES.items() for x in (F.lit(k), F.lit(v).cast("decimal(12,4)")))), F.col("kind"))
-    return plain.unionByName(flipped).withColumn("delta", (score * F.col("step")).cast("decimal(12,4)"))
+    return steps.withColumn("delta", (score * F.col("step")).cast("decimal(12,4)"))
 
 
 def counters(log: DataFrame) -> DataFrame:
@@ -57,17 +62,23 @@ def counters(log: DataFrame) -> DataFrame:
     )
 
 
+def walk_sums(deltas: DataFrame, start: str = "0") -> DataFrame:
+    """(image_id, total, least, events): the sum of an image's deltas, and the least of start plus the sum after each event."""
+    wide = "decimal(22,4)"
+    dated = deltas.withColumn("day", F.to_date("ts"))
+    walk = F.sum("delta").over(Window.partitionBy("image_id", "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    days = dated.withColumn("walk", walk).groupBy("image_id", "day").agg(F.sum("delta").alias("total"), F.min("walk").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("image_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(wide))
+    return days.withColumn("least", before + F.lit(start).cast(wide) + F.col("least")).groupBy("image_id").agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.sum("n").alias("events"))
+
+
 def clamped_score(deltas: DataFrame, start: str = "0") -> DataFrame:
     """Per image the score after all events, held at 0 from below after each: (image_id, hot_score, events).
 
     deltas: image_id, ts, id, delta. start: the score before the first event, 0 or more.
     """
     wide = "decimal(22,4)"
-    dated = deltas.withColumn("day", F.to_date("ts"))
-    walk = F.sum("delta").over(Window.partitionBy("image_id", "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    days = dated.withColumn("walk", walk).groupBy("image_id", "day").agg(F.sum("delta").alias("total"), F.min("walk").alias("least"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy("image_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(wide))
-    joined = days.withColumn("least", before + F.lit(start).cast(wide) + F.col("least")).groupBy("image_id").agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.sum("n").alias("events"))
+    joined = walk_sums(deltas, start)
     score = F.lit(start).cast(wide) + F.col("total") - F.least(F.lit(0).cast(wide), F.col("least"))
     return joined.select("image_id", score.cast("decimal(12,4)").alias("hot_score"), "events")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import queries_rules  # noqa: F401  (registers its own)
 from .functions import media, text, urls
-from .operators import curation, events, layout, postings, ranking, recsys, search, taxonomy, vectors, views
+from .operators import curation, events, layout, postings, ranking, recsys, search, snapshots, taxonomy, vectors, views
 from .plans.paging import DEFAULTS, Page, clamp_page, page_of
+from .plans.session import new_folder
 from .registry import ORACLES, QUERIES, query
 from .sources.model import Model
 from .streaming import behaviors
@@ -325,6 +328,29 @@ def counters_state(m: Model) -> DataFrame:
     return events.counters(m.behaviors())
 
 
+def _by_snapshot(m: Model) -> snapshots.Snapshot:
+    """The log's state by way of a stored snapshot of its first half and the days since."""
+    log, kept = new_folder(m.spark, "log"), new_folder(m.spark, "snapshot")
+    snapshots.write_log(m.behaviors(), log)
+    cut, end = datetime.date(2024, 1, 15), datetime.date.max
+    snapshots.save(snapshots.advance(snapshots.empty(m.spark), snapshots.days(m.spark, log, datetime.date(1, 1, 1), cut), cut), kept)
+    return snapshots.advance(snapshots.load(m.spark, kept), snapshots.days(m.spark, log, cut), end)
+
+
+@query(f"SELECT image_id, CAST(hot_score AS DECIMAL(12,4)) AS hot_score, events FROM {_SCORES}", decimal="hot_score")
+def hot_score_by_snapshot(m: Model) -> DataFrame:
+    return snapshots.scores(_by_snapshot(m))
+
+
+@query(f"""
+SELECT image_id, CAST(count(*) FILTER (kind IN ('VIEW', 'CLICK')) AS BIGINT) AS view_count, CAST(count(*) FILTER (kind = 'SHARE') AS BIGINT) AS share_count,
+  CAST(coalesce(sum(step) FILTER (kind = 'LIKE'), 0) AS BIGINT) AS like_count, CAST(coalesce(sum(step) FILTER (kind = 'FAVORITE'), 0) AS BIGINT) AS favorite_count
+FROM {_EFFECTS} GROUP BY 1
+""")
+def counters_by_snapshot(m: Model) -> DataFrame:
+    return snapshots.counters(_by_snapshot(m))
+
+
 @query(f"SELECT image_id, CAST(hot_score AS DECIMAL(12,4)) AS hot_score FROM {_SCORES} ORDER BY 2 DESC, 1 DESC LIMIT 30", decimal="hot_score")
 def feed_from_events(m: Model) -> DataFrame:
     return events.clamped_score(events.effects(m.behaviors())).select("image_id", "hot_score").orderBy(F.desc("hot_score"), F.desc("image_id")).limit(30)
