@@ -72,6 +72,21 @@ def test_winnowing(spark):
         assert got[k]["near_edited"] == pytest.approx(like(own, changed)) and got[k]["near_next"] == pytest.approx(like(own, other))
 
 
+def test_winnowing_takes_as_many_partitions_as_rows_bytes_and_cores_ask_for(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda rows, size: fingerprints._id_buckets(spark.range(rows).selectExpr("id AS doc_id", f"{size}L AS bytes"))[1:]
+    assert parts(10_000, 2000)[1] == 4 * cores and parts(10_000, 2000)[0] >= 4 * cores
+    assert parts(150, 10)[1] <= 4 * cores and parts(0, 0)[1] >= 1
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 100)
+    assert parts(100_000, 10)[1] == 125 and parts(100_000, 100_000)[1] == 625
+
+
+def test_winnowing_of_a_very_long_text(spark):
+    text = " ".join(f"w{k * k % 10007}" for k in range(1_500_000))
+    got = {r["doc_id"]: r for r in fingerprints.compare_edits(docs(spark, [(1, text), (2, "w1 w2 w3")])).select("doc_id", "n_chars", "near_edited", F.length("fingerprint").alias("n")).collect()}
+    assert got[1]["n_chars"] == len(text) and got[1]["n"] > 1_000_000 and 0.4 < got[1]["near_edited"] <= 1
+
+
 def test_winnowing_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
     rng = random.Random(1)

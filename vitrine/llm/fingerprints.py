@@ -9,7 +9,8 @@ texts share gives them a common fingerprint, and positions tell where.
 
 The next document by id is found in buckets of ids (a piecewise linear map of id quantiles, so that buckets are even; an
 id that many rows have, or none, is dealt to buckets by its texts' hashes); each bucket also holds the first document of
-the next one. Texts are shuffled once, whatever their sources, into as many partitions as the rows ask for.
+the next one. Texts are shuffled once, whatever their sources, into as many partitions as rows, bytes and cores ask for; ids and hashes
+are kept in a table of their own, from which buckets are made.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACES
+from ._shared import SPACES, materialize
 
 #: Words in a hash, hashes in a window (a power of two).
 K, WINDOW = 3, 8
@@ -30,6 +31,8 @@ _HASHES = (1 << (64 - POSITION_BITS)) - 1
 #: Rows of a bucket of neighbouring ids, buckets of a partition, buckets whose first rows are broadcast at most (some 100
 #: bytes each; more are joined), and cuts between ranges of ids.
 BUCKET_ROWS, PARTITION_BUCKETS, MOST_BROADCAST, QUANTILES = 1000, 8, 1_000_000, 128
+#: Rows of a bucket at least where there are few for all cores, and bytes of texts of a partition (about).
+LEAST_ROWS, PARTITION_BYTES = 100, 16_000_000
 
 
 def _turn(x: Column, n: int) -> Column:
@@ -92,20 +95,25 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _id_buckets(docs: DataFrame) -> tuple[Column, int, int]:
-    """The bucket of a row (doc_id, text_hash) in the order of ids and hashes, and the number of rows and of buckets.
+    """The bucket of a row (doc_id, text_hash) in the order of ids and hashes, and the numbers of buckets and of partitions.
+
+    docs: doc_id and bytes of every row. Partitions are as many as rows, bytes and cores ask for.
 
     Ranges of ids between quantiles have as many buckets as their rows ask for. An id that is several quantiles, and the
     null, are ranges of their own, whose buckets divide the hashes. Only the cuts, a fixed number, are on the driver.
     """
-    low, high, known, n, cuts = docs.agg(
-        F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", F.array(*(F.lit(k / QUANTILES) for k in range(1, QUANTILES))), 10 * QUANTILES)
+    low, high, known, n, size, cuts = docs.agg(
+        F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0)), F.percentile_approx("doc_id", F.array(*(F.lit(k / QUANTILES) for k in range(1, QUANTILES))), 10 * QUANTILES)
     ).first()
     by_hash = (F.col("text_hash").cast("double") + 2.0**63) / 2.0**64
-    width = lambda rows: max(1, math.ceil(rows / BUCKET_ROWS))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    in_bucket = min(BUCKET_ROWS, max(LEAST_ROWS, math.ceil(n / (4 * cores))))
+    width = lambda rows: max(1, math.ceil(rows / in_bucket))
+    parts = lambda buckets: min(buckets, max(math.ceil(n / (BUCKET_ROWS * PARTITION_BUCKETS)), math.ceil(size / PARTITION_BYTES), 4 * cores))
     spread = lambda share, parts: F.least(F.floor(share * parts), parts - 1)
     nulls = width(n - known)
     if low is None:
-        return spread(by_hash, F.lit(nulls)).cast("long"), n, nulls
+        return spread(by_hash, F.lit(nulls)).cast("long"), nulls, parts(nulls)
     starts = {low: 0}  # of a range of ids: how many quantiles lie in it
     for c in cuts:
         starts[c] = starts.get(c, 0) + 1
@@ -117,12 +125,12 @@ def _id_buckets(docs: DataFrame) -> tuple[Column, int, int]:
             ranges.append((a, b, max(1, starts[a])))
     widths = [width(known * share / QUANTILES) for _, _, share in ranges]
     offsets = [nulls + sum(widths[:k]) for k in range(len(widths))]
-    first, last, parts, offset = (F.array(*(F.lit(float(x) if k < 2 else x) for x in column)) for k, column in enumerate(([a for a, _, _ in ranges], [b for _, b, _ in ranges], widths, offsets)))
+    first, last, counts, offset = (F.array(*(F.lit(float(x) if k < 2 else x) for x in column)) for k, column in enumerate(([a for a, _, _ in ranges], [b for _, b, _ in ranges], widths, offsets)))
     at = F.greatest(F.size(F.filter(F.array(*(F.lit(a) for a, _, _ in ranges)), lambda x: x <= F.col("doc_id"))), F.lit(1))
     a, b = F.element_at(first, at), F.element_at(last, at)
     share = F.when(b - a <= 1, by_hash).otherwise((F.col("doc_id") - a) / (b - a))
-    found = F.element_at(offset, at) + spread(share, F.element_at(parts, at))
-    return F.when(F.col("doc_id").isNull(), spread(by_hash, F.lit(nulls))).otherwise(found).cast("long"), n, nulls + sum(widths)
+    found = F.element_at(offset, at) + spread(share, F.element_at(counts, at))
+    return F.when(F.col("doc_id").isNull(), spread(by_hash, F.lit(nulls))).otherwise(found).cast("long"), nulls + sum(widths), parts(nulls + sum(widths))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -132,10 +140,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     bucket.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    bucket, n, buckets = _id_buckets(hashed.select("doc_id"))
+    keys = materialize(hashed.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("bytes")), "keys")
+    bucket, buckets, parts = _id_buckets(keys.select("doc_id", "bytes"))
     keyed = hashed.withColumn("bucket", bucket)
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("text_hash").alias("hash"))
-    firsts = keyed.groupBy("bucket").agg(F.min(order).alias("first"))
+    firsts = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(order).alias("first"))
     by_bucket = Window.orderBy("bucket")
     back = F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select("first", F.col("bucket").alias("at"), back.alias("before"))
@@ -143,7 +152,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = F.array(F.struct(F.col("bucket"), F.lit(False).alias("beyond")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("beyond")))
     dealt = dealt.withColumn("to", F.explode(F.filter(copies, lambda c: c["bucket"].isNotNull()))).select("doc_id", "text", "text_hash", "to.*")
     # by ranges of buckets, as hashes of so few of them would fill partitions unevenly
-    dealt = dealt.repartitionByRange(max(1, math.ceil(n / (BUCKET_ROWS * PARTITION_BUCKETS))), "bucket")
+    dealt = dealt.repartitionByRange(parts, "bucket")
     ordered = Window.partitionBy("bucket").orderBy("beyond", F.col("doc_id").asc_nulls_first(), "text_hash")
     return dealt.withColumn("next_text", F.lead("text").over(ordered))
 
