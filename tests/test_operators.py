@@ -119,6 +119,15 @@ def test_category_tree_with_orphan_and_cycle(spark):
     assert [(r["id"], r["depth"]) for r in tree] == [(2, 0), (4, 0), (1, 0), (3, 1)]
 
 
+def test_rules_at_the_edge(spark):
+    path = lambda p: json.dumps({"description": "d", "categoryPath": p, "tags": []})
+    paths = values(spark, [path(["#", "a", "b", "c", "d"]), path(" a > #b / c"), path(["", " ", "a", "b", "c", "d", "e"])], "t string", taxonomy.normalized_annotation(F.col("t"))["path"])
+    assert paths == [["a", "b", "c"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+    assert len(set(values(spark, ["图", "#图", " ##图"], "s string", text.slug(F.col("s"))))) == 1
+    hosts = ["http://img.h.com/a.jpg", "http://IMG.h.com:80/a.jpg", "http://notimg.h.com/a.jpg", "http://img.h.com.x/a.jpg"]
+    assert values(spark, hosts, "s string", urls.allowed_image(F.col("s"), "img.h.com")) == [True, True, False, False]
+
+
 def brute_tree(rows):
     """(id, depth, names) depth first, by walking from the roots."""
     ids, below = {r[0] for r in rows}, {}

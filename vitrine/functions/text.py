@@ -91,13 +91,17 @@ def slug_text(value: str | None, fallback: str) -> str:
 
 
 def slug(column: Column) -> Column:
-    """slug_text with 'key-' and a part of the SHA-1 as the fallback. A pandas UDF: Spark has no Unicode decomposition."""
+    """slug_text of the name without blanks and hash signs around it, with 'key-' and a part of its SHA-1 as the fallback.
+
+    A pandas UDF: Spark has no Unicode decomposition.
+    """
+    name = normalize_tag(F.coalesce(column, F.lit("")))
 
     @F.pandas_udf("string")
     def run(values: pd.Series, digests: pd.Series) -> pd.Series:
         return pd.Series([slug_text(v, f"key-{d[:16]}") for v, d in zip(values, digests, strict=True)])
 
-    return run(F.coalesce(column, F.lit("")), F.sha1(F.coalesce(column, F.lit(""))))
+    return run(name, F.sha1(name))
 
 
 def utf16_hash(value: str) -> int:

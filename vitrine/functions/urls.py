@@ -178,10 +178,10 @@ def small_asset(url: Column, least: int = 200) -> Column:
     return F.when(F.size(parts) == 0, True).when(F.lower(parts[0]).isin("avatars", "videos"), True).otherwise(F.coalesce(F.greatest(*(F.regexp_extract(first, r"^(\d+)[xX](\d+)", g).try_cast("int") for g in (1, 2))) < least, F.lit(False)))
 
 
-def allowed_image(url: Column, host_ending: str | None = None) -> Column:
-    """http(s) URLs with an image ending; of a known host only, and no small assets, if one is given."""
+def allowed_image(url: Column, host: str | None = None) -> Column:
+    """http(s) URLs with an image ending; of one host only, on any port, and no small assets, if it is given."""
     image = url.rlike("^https?://") & F.lower(path_of(url)).rlike(r"\.(jpg|jpeg|png|webp|gif|bmp)$")
-    return image if host_ending is None else image & F.lower(host_of(url)).endswith(host_ending) & ~small_asset(url)
+    return image if host is None else image & (F.substring_index(F.lower(host_of(url)), ":", 1) == host) & ~small_asset(url)
 
 
 def first_address(*columns: Column) -> Column:

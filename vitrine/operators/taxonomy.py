@@ -21,11 +21,12 @@ def json_object(text: Column) -> Column:
 
 
 def _path(parsed: Column) -> Column:
-    """Levels of a category path: a JSON array, or names between '/' or '>'."""
+    """Levels of a category path: a JSON array, or names between '/' or '>'. It is cut before hash signs go, so that a level of such alone counts."""
     raw = F.coalesce(*(F.nullif(parsed[c], F.lit("")) for c in ("categoryPath", "category_path", "categories")), F.lit(""))
     listed = lambda r: F.when(r.startswith("["), F.coalesce(F.from_json(r, "array<string>"), F.array().cast("array<string>"))).otherwise(F.split(r, r"[/>]"))
-    named = F.filter(F.transform(let(raw, listed), normalize_tag), lambda x: F.length(x) > 0)
-    return F.slice(named, 1, MOST_LEVELS)
+    full = lambda names: F.filter(names, lambda x: F.length(x) > 0)
+    levels = F.slice(full(F.transform(let(raw, listed), lambda x: F.trim(x))), 1, MOST_LEVELS)
+    return full(F.transform(levels, normalize_tag))
 
 
 def confidence(value: Column) -> Column:

@@ -469,12 +469,12 @@ def topic_normalize(m: Model) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey AS id, CASE WHEN trim(s, '-') = '' THEN 'key-' || substr(sha1(raw), 1, 16) ELSE trim(s, '-') END AS slug
+SELECT p_partkey AS id, CASE WHEN trim(s, '-') = '' THEN 'key-' || substr(sha1(ltrim(raw, '#')), 1, 16) ELSE trim(s, '-') END AS slug
 FROM (SELECT p_partkey, raw, regexp_replace(lower(regexp_replace(raw, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g') AS s
-  FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '图' ELSE p_name || ' / ' || p_brand END AS raw FROM part))
+  FROM (SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '图' WHEN 1 THEN '#图' ELSE p_name || ' / ' || p_brand END AS raw FROM part))
 """)
 def slugify(m: Model) -> DataFrame:
-    raw = F.when(F.col("p_partkey") % 10 == 0, "图").otherwise(F.concat_ws(" / ", "p_name", "p_brand"))
+    raw = F.when(F.col("p_partkey") % 10 == 0, "图").when(F.col("p_partkey") % 10 == 1, "#图").otherwise(F.concat_ws(" / ", "p_name", "p_brand"))
     return m.table("part").select(F.col("p_partkey").alias("id"), text.slug(raw).alias("slug"))
 
 

@@ -231,10 +231,10 @@ def url_ranking(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.array_join(urls.ranked_urls(urls.with_originals(listed, HOST)), "|").alias("ranked"))
 
 
-_IMAGES = ("https://img.example.com/75x75_RS/a.jpg", "https://img.example.com/736x/a/b.jpg", "https://img.example.com/avatars/b.png", "https://img.example.com/x/y.svg", "https://o.com/a.PNG?x", "ftp://img.example.com/a.jpg")
+_IMAGES = ("https://img.example.com/75x75_RS/a.jpg", "https://img.example.com/736x/a/b.jpg", "https://img.example.com/avatars/b.png", "https://img.example.com/x/y.svg", "https://o.com/a.PNG?x", "ftp://img.example.com/a.jpg", "https://notimg.example.com/736x/a/b.jpg", "https://img.example.com:443/736x/a/b.jpg")
 
 
-@query("SELECT page_id, page_id % 6 = 1 AS own, page_id % 6 IN (0, 1, 2, 4) AS any_host, page_id % 6 IN (0, 2) AS small FROM pages")
+@query("SELECT page_id, page_id % 8 IN (1, 7) AS own, page_id % 8 NOT IN (3, 5) AS any_host, page_id % 8 IN (0, 2) AS small FROM pages")
 def allowed_images(m: Model) -> DataFrame:
     url = _pick("page_id", *_IMAGES)
     return m.table("pages").select("page_id", urls.allowed_image(url, HOST).alias("own"), urls.allowed_image(url).alias("any_host"), urls.small_asset(url).alias("small"))
