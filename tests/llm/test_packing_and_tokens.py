@@ -103,7 +103,7 @@ def test_instruction_packing_is_bound_by_loss_and_segments(spark):
         if role == "assistant":
             before = turns.get((c, t - 1), ("", ""))
             lead = encode(before[1]) if before[0] == "user" else []
-            ids[c * 1000 + t], prompts[c * 1000 + t] = np.array([*lead, *encode(text), 1], "<u4"), len(lead)
+            ids[c * (1 << 20) + t], prompts[c * (1 << 20) + t] = np.array([*lead, *encode(text), 1], "<u4"), len(lead)
     rows = instruction_packing(spark, folder).collect()
     sequences = check_pieces(rows, ids, 2048, 4, 1536)
     for r in rows:
@@ -179,3 +179,14 @@ def test_empty_tables(spark, tmp_path):
     assert packing.pack(docs(spark, []), public_path("byte_bpe_50k.json"), 1).count() == 0
     orctokens.write_tokens(docs(spark, []), str(tmp_path / "none"), public_path("word_bpe_49k.json"), 2)
     assert orctokens.token_digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_instructions_with_nulls_repeats_and_empty_tables(spark):
+    from vitrine.llm.queries import instructions
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1000, "assistant", None), (2, 0, "assistant", "y"), (2, 1, None, "z"), (None, 1, "assistant", "n")]
+    table = spark.createDataFrame([(*r, "p", "d") for r in rows], "conv_id long, turn long, role string, text string, prompt string, doc_id string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["prompt"], r["text"]) for r in instructions(table).collect())
+    one = 1 << 20
+    assert got == [(False, one + 1, "a", "x"), (False, one + 1, "a", "x"), (False, one + 1000, None, ""), (False, 2 * one, None, "y"), (True, 0, None, "n")]
+    assert instructions(table.limit(0)).count() == 0

@@ -69,12 +69,21 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of an assistant with the user's turn before it as a prompt, which bears no loss: op1's operator with limits that bind."""
-    turns = table(spark, sf_dir, "conversations").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
-    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return packing.pack(instructions(table(spark, sf_dir, "conversations")), public_path("byte_bpe_50k.json"), 1, prompt_col="prompt", max_segments=4, max_loss=1536)
+
+
+def instructions(conversations: DataFrame) -> DataFrame:
+    """(doc_id, prompt, text): every turn of an assistant with the user's turn before it as a prompt, which bears no loss.
+
+    doc_id is conv_id * 2^20 + turn, so that conversations of up to a million turns don't clash. Without a user's turn just
+    before there is no prompt; of several rows of one such turn the least text is it, so that rows don't multiply. A null
+    text is empty, rows without conv_id or turn have no prompt and no id, other roles and nulls are left out; repeated turns
+    of an assistant are packed each. An empty table gives no rows; other columns, whatever their names, are ignored.
+    """
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    asked = turns.filter("role = 'user'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
     pairs = turns.filter("role = 'assistant'").select("conv_id", "turn", "text").join(asked, ["conv_id", "turn"], "left")
-    rows = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "prompt", "text")
-    return packing.pack(rows, public_path("byte_bpe_50k.json"), 1, prompt_col="prompt", max_segments=4, max_loss=1536)
+    return pairs.select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("doc_id"), "prompt", "text")
 
 
 QUERIES: dict[str, Query] = {
