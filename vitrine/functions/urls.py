@@ -179,9 +179,10 @@ def small_asset(url: Column, least: int = 200) -> Column:
 
 
 def allowed_image(url: Column, host: str | None = None) -> Column:
-    """http(s) URLs with an image ending; of one host only, on any port, and no small assets, if it is given."""
+    """http(s) URLs with an image ending; if a host is given, of it and the hosts below it only, on any port, and no small assets."""
     image = url.rlike("^https?://") & F.lower(path_of(url)).rlike(r"\.(jpg|jpeg|png|webp|gif|bmp)$")
-    return image if host is None else image & (F.substring_index(F.lower(host_of(url)), ":", 1) == host) & ~small_asset(url)
+    named = F.substring_index(F.lower(host_of(url)), ":", 1)
+    return image if host is None else image & ((named == host) | named.endswith(f".{host}")) & ~small_asset(url)
 
 
 def first_address(*columns: Column) -> Column:
