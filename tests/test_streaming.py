@@ -1,12 +1,13 @@
 """Streams give what the same operator gives over the whole table."""
 
+import datetime
 import os
+import random
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitrine.operators import events
+from vitrine.operators import events, recsys, snapshots
 from vitrine.sources.model import Model
 from vitrine.streaming import behaviors
 
@@ -25,17 +26,30 @@ def arrived(spark, data, tmp_path):
     return str(tmp_path / "in")
 
 
-@pytest.fixture
-def in_order(spark, data, tmp_path):
-    """The events in three files, each with the events of a time after those of the file before."""
-    rows = spark.read.parquet(f"{data}/events.parquet").withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
-    os.mkdir(tmp_path / "ordered")
-    for k in range(3):
-        rows.filter(F.col("part") == k + 1).drop("part").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
-        name = next(f for f in os.listdir(tmp_path / f"part{k}") if f.endswith(".parquet"))
-        os.rename(tmp_path / f"part{k}" / name, tmp_path / "ordered" / f"{k}-{name}")
-        os.utime(tmp_path / "ordered" / f"{k}-{name}", (1_700_000_000 + k, 1_700_000_000 + k))
-    return str(tmp_path / "ordered")
+START = datetime.datetime(2024, 1, 1)
+
+
+def files(spark, folder, rows):
+    """Rows (id, minutes, user, type, image) as one file each list, in the order of the lists."""
+    os.makedirs(folder)
+    for k, part in enumerate(rows):
+        frame = [(i, START + datetime.timedelta(minutes=m), u, kind, 0.0, None if image is None else f'{{"k": {image}}}') for i, m, u, kind, image in part]
+        spark.createDataFrame(frame, behaviors.EVENTS.replace("ts timestamp", "ts timestamp_ntz")).coalesce(1).write.parquet(f"{folder}-{k}")
+        name = next(f for f in os.listdir(f"{folder}-{k}") if f.endswith(".parquet"))
+        os.rename(f"{folder}-{k}/{name}", f"{folder}/{k}-{name}")
+        os.utime(f"{folder}/{k}-{name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    return str(folder)
+
+
+def jumbled(seed, n=600):
+    """Events that arrive up to 50 minutes late, in four files; half of them of one image. The last file's are far later."""
+    rng = random.Random(seed)
+    kinds = ["view", "click", "error", "purchase", "signup", "other"]
+    rows = [(k, k + rng.random(), rng.choice([1, 2, None]), rng.choice(kinds), rng.choice([7, 7, 7, 1, 2, None])) for k in range(n)]
+    rows += [(10_000 + k, 300.0, 1, "purchase", 7) for k in range(5)]  # at one time
+    rows.sort(key=lambda r: r[1] + rng.random() * 50)
+    size = len(rows) // 4 + 1
+    return rows, [rows[k : k + size] for k in range(0, len(rows), size)] + [[(-1, 1e5, 9, k, 999) for k in ("view", "click")]]
 
 
 def run(stream, mode, name):
@@ -66,16 +80,42 @@ def test_toggles_and_repeats(spark, data, arrived):
     assert run(behaviors.without_repeats(twice.unionAll(twice), "100 days"), "append", "once").count() == spark.read.parquet(f"{data}/events.parquet").count()
 
 
-def test_clamped_scores_equal_the_batch(spark, data, in_order, tmp_path):
-    """Toggles of the raw events become effects in one stream, effects become scores in the next."""
-    effects = behaviors.event_effects(behaviors.read_events(spark, in_order))
-    sink = effects.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True)
-    sink.start(str(tmp_path / "effects")).awaitTermination()
-    stream = spark.readStream.schema("id long, ts timestamp, image_id long, delta long").parquet(str(tmp_path / "effects"))
-    got = run(behaviors.clamped_totals(stream), "update", "scores")
-    last = got.groupBy("image_id").agg(F.max_by("hot_score", "events").alias("hot_score"), F.max("events").alias("events"))
-    want = events.clamped_score(events.effects(Model(spark, data).behaviors()))
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+def test_events_in_any_order_give_the_snapshot_of_the_whole_log(spark, tmp_path):
+    """Toggles, counters and clamped scores; batches run twice change nothing, and no state is left behind."""
+    rows, parts = jumbled(5)
+    source = files(spark, tmp_path / "in", parts)
+    for _ in range(2):
+        stream = behaviors.in_event_order(behaviors.read_events(spark, source), "1 hour", shards=3)
+        q = behaviors.keep_snapshot(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+        q.awaitTermination()
+    got = behaviors.latest_snapshot(spark, str(tmp_path / "out"))
+    kinds = "case event_type when 'view' then 'VIEW' when 'click' then 'CLICK' when 'error' then 'SHARE' when 'purchase' then 'LIKE' when 'signup' then 'FAVORITE' end as kind"
+    log = spark.read.parquet(source).selectExpr("event_id as id", "ts", "user_id", kinds, "cast(get_json_object(props, '$.k') as long) as image_id").filter("kind is not null and image_id is not null and id >= 0").cache()
+    as_set = lambda df: sorted(map(str, df.collect()))
+    assert as_set(snapshots.scores(got)) == as_set(events.clamped_score(events.effects(log)).select("image_id", "hot_score", "events"))
+    assert as_set(snapshots.counters(got)) == as_set(events.counters(log))
+    assert as_set(snapshots.toggle_state(got).select("user_id", "image_id", "kind", "requests", "active")) == as_set(events.toggle_state(log).select("user_id", "image_id", "kind", "requests", "active"))
+    batches = spark.read.parquet(str(tmp_path / "out" / "events"))
+    assert batches.count() == log.count() == batches.select("id").distinct().count()
+    spans = [tuple(r) for r in batches.groupBy("batch").agg(F.min("ts"), F.max("ts")).orderBy("batch").collect()]
+    assert len(spans) > 2 and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_exposures_of_the_stream_equal_those_of_the_table(spark, tmp_path):
+    _, parts = jumbled(11, 600)
+    source = files(spark, tmp_path / "in", parts)
+    got = run(behaviors.exposures(behaviors.read_events(spark, source), "30 minutes"), "append", "exposed").filter("id >= 0")
+    rows = [r for part in parts[:-1] for r in part]
+    table = spark.read.parquet(source).selectExpr("event_id as id", "ts", "user_id", "upper(event_type) as kind", "cast(get_json_object(props, '$.k') as long) as image_id")
+    batch = {r["id"]: r["click_id"] for r in recsys.exposures(table, 1800).filter("id >= 0").collect()}
+    want = {}
+    for i, at, user, kind, image in rows:
+        if kind == "view":
+            hits = [(m, c) for c, m, u, k, im in rows if k == "click" and None not in (u, im) and (u, im) == (user, image) and at <= m <= at + 30]
+            want[i] = min(hits)[1] if hits else None
+    assert batch == want and len({v for v in want.values() if v is not None}) > 10
+    found = [(r["id"], r["click_id"]) for r in got.collect()]
+    assert len(found) == len(want) and dict(found) == want
 
 
 def test_sink_is_idempotent(spark, arrived, tmp_path, data):

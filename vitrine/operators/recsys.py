@@ -48,6 +48,25 @@ def behavior_rates(log: DataFrame) -> DataFrame:
     return log.groupBy("image_id").agg(count("VIEW").alias("exposures"), count("CLICK").alias("clicks"), count("LIKE").alias("likes"), count("FAVORITE").alias("favorites"), F.floor(dwell).alias("dwell"))
 
 
+def exposures(log: DataFrame, within: int = 1800) -> DataFrame:
+    """(id, user_id, image_id, ts, click_id, clicked_at): every view with its user's first click on the image within so many seconds.
+
+    Both ends count, and of clicks at one time the least id. Time is cut into spans of that many seconds, and a click goes to
+    its span and to the one before: a view finds it by one sort of its span, without pairs, and a user and image with a
+    third of all events are dealt by time. Views without user, image or time have no click.
+    """
+    seconds = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts").cast("timestamp_ntz"))
+    rows = log.filter("kind in ('VIEW', 'CLICK')").select("id", "ts", "user_id", "image_id", (F.col("kind") == "VIEW").alias("view"), F.floor(seconds / within).alias("span"))
+    views = rows.filter("view")
+    clicks = rows.filter("not view").withColumn("span", F.explode(F.array("span", F.col("span") - 1)))
+    back = Window.partitionBy("user_id", "image_id", "span").orderBy(F.desc("ts"), "view", F.desc("id"))
+    hit = F.last(F.when(~F.col("view"), F.struct(F.col("id").alias("click_id"), F.col("ts").alias("clicked_at"))), ignorenulls=True)
+    found = views.unionByName(clicks).withColumn("hit", hit.over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("view")
+    known = F.col("user_id").isNotNull() & F.col("image_id").isNotNull()
+    held = F.when(known & (F.col("hit.clicked_at") <= F.col("ts") + F.make_dt_interval(secs=F.lit(within))), F.col("hit"))
+    return found.select("id", "user_id", "image_id", "ts", held["click_id"].alias("click_id"), held["clicked_at"].alias("clicked_at"))
+
+
 def mix_channels(channels: dict[str, DataFrame], seen: DataFrame, size: int) -> DataFrame:
     """(id, channel, turn, slot): channels (id, place) dealt in turn, without seen ids; an id counts in its first turn.
 

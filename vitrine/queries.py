@@ -411,6 +411,17 @@ def click_rates(m: Model) -> DataFrame:
     return recsys.click_rates(m.behaviors()).fillna(-1, ["per_mille"])
 
 
+@query("""
+SELECT v.id, v.user_id, v.image_id, v.ts, coalesce(min_by(c.id, (c.ts, c.id)), -1) AS click_id, coalesce(CAST(date_diff('microsecond', v.ts, min(c.ts)) AS BIGINT), -1) AS dwell
+FROM behaviors v LEFT JOIN behaviors c ON c.kind = 'CLICK' AND c.user_id = v.user_id AND c.image_id = v.image_id AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 2 DAY
+WHERE v.kind = 'VIEW' GROUP BY v.id, v.user_id, v.image_id, v.ts
+""")
+def exposure_clicks(m: Model) -> DataFrame:
+    found = recsys.exposures(m.behaviors(), 2 * 86_400)
+    dwell = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("clicked_at")).alias("dwell")
+    return found.select("id", "user_id", "image_id", "ts", "click_id", dwell).fillna(-1, ["click_id", "dwell"])
+
+
 # search
 
 _FOLD = "contains(strip_accents(lower({0})), strip_accents(lower('{1}')))"
