@@ -291,11 +291,27 @@ def test_url_filter_equals_its_sql_and_the_join(spark):
     want = {r[0]: r[1:] for r in connection.sql(f"SELECT page_id, host, path, rule, verdict, listed FROM ({urlfilter.oracle()})").fetchall()}
     assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(rows).collect()} == want
     listed = spark.createDataFrame([(h,) for h in urlfilter.BLOCKED] + [(None,), ("",), (urlfilter.BLOCKED[0],)], "host string")
-    for most in (100, 2):  # by files, and by a join where the list is beyond the bound
+    for most in (100, 2):  # by files, and in ranges of digests where the list is beyond the bound
         assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(rows, blocked=listed, most_entries=most).collect()} == want
     assert urlfilter.judge(rows.limit(0)).count() == 0
 
 
+def test_url_filter_lists_pages_of_links(spark):
+    """Addresses of pages are entries; the whole array and its ranges give what the SQL gives."""
+    rng = random.Random(3)
+    urls = [*(u for u in URLS if u), *(f"https://{rng.choice('abc')}.site{rng.randrange(40)}.xy/{rng.randrange(9)}?q={k}" for k in range(300)), None, None]
+    frame = pd.DataFrame({"page_id": range(len(urls)), "url": urls, "html": [rng.choice(['<a href="/x">x</a>' * 9, "<p>" + "x" * 400 + '<a href="/x">', None, ""]) for _ in urls]})
+    pages = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "page_id long, url string, html string")
+    connection = duckdb.connect()
+    connection.register("pages", frame)
+    want = {r[0]: r[1:] for r in connection.sql(f"SELECT page_id, host, path, rule, verdict, listed FROM ({urlfilter.oracle(own=True)})").fetchall()}
+    entries = urlfilter.link_lists(pages).union(spark.createDataFrame([(h,) for h in urlfilter.BLOCKED], "host string"))
+    assert entries.count() > 50 and {v[3] for v in want.values()} == {"allow", "block"}
+    for most in (1000, 7):  # one array; sixteen ranges or more
+        assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(pages, blocked=entries, most_entries=most).collect()} == want
+    assert urlfilter.judge(pages, blocked=entries.limit(0), most_entries=0).filter("listed is not null").count() == 0
+
+
 def test_url_filter_of_long_and_odd_hosts(spark):
     """Hosts of 200 kB with and without dots, entries of many labels, empty entries: files and join agree with brute force."""
     many, long = "a." * 100_000, "x" * 200_000
@@ -315,7 +331,7 @@ def test_url_filter_of_long_and_odd_hosts(spark):
 
 
 def test_digest_collisions_are_told_apart(monkeypatch):
-    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda raw: len(raw))
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda raw, seed=0: len(raw))
     index = urlfilter.DigestArray.build(pa.array(["ab", "cd", "xyz"]), np.array([0, 1, 1]))
     assert index.find(["cd", "ab", "ef", "xyz"]).tolist() == [1, 0, -1, 1]
 

@@ -27,7 +27,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    hosts = spark.createDataFrame([(h,) for h in urlfilter.BLOCKED], "host string")
+    return urlfilter.judge(pages, blocked=urlfilter.link_lists(pages).union(hosts))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +104,4 @@ QUERIES: dict[str, Query] = {
     "op13_filter_audit": op13_filter_audit,
     "instruction_packing": instruction_packing,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op5_exact_dedup": exactdedup.ORACLE, "op13_filter_audit": filteraudit.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(own=True), "op5_exact_dedup": exactdedup.ORACLE, "op13_filter_audit": filteraudit.ORACLE}
