@@ -32,8 +32,8 @@ def test_same_rows_as_sql(spark, data, duck, name):
     assert rows(got) == rows(want)
 
 
-#: Approximate by nature; tests/test_vectors.py measures their recall.
-WITHOUT_SQL = {"vector_topk_index"}
+#: Approximate by nature, with its recall measured in tests/test_vectors.py; iterative, with a brute force in tests/test_logistic.py.
+WITHOUT_SQL = {"vector_topk_index", "interaction_ranked"}
 
 
 def test_every_query_has_its_sql():

@@ -67,6 +67,27 @@ def exposures(log: DataFrame, within: int = 1800) -> DataFrame:
     return found.select("id", "user_id", "image_id", "ts", held["click_id"].alias("click_id"), held["clicked_at"].alias("clicked_at"))
 
 
+#: What interaction_rates gives beside the image.
+RATES = ["liked", "shared", "clicked"]
+
+
+def interaction_rates(log: DataFrame) -> DataFrame:
+    """(image_id, liked, shared, clicked): logarithms of what views led to, one of two views added so that few views say little."""
+    count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0))
+    rate = lambda *kinds: F.log((count(*kinds) + 1) / (count("VIEW") + 2))
+    return log.groupBy("image_id").agg(rate("LIKE", "FAVORITE").alias("liked"), rate("SHARE").alias("shared"), rate("CLICK").alias("clicked"))
+
+
+def interaction_trials(log: DataFrame, cut: str, within: int = 1800) -> DataFrame:
+    """(image_id, RATES, exposures, hits): rates of an image before the cut, and from it on its views and those with a click in time.
+
+    So a rate never knows the clicks that it is to foretell. Images seen first after the cut have null rates.
+    """
+    at = F.lit(cut).cast("timestamp_ntz")
+    later = exposures(log.filter(F.col("ts") >= at), within).groupBy("image_id").agg(F.count(F.lit(1)).alias("exposures"), F.count("click_id").alias("hits"))
+    return later.join(interaction_rates(log.filter(F.col("ts") < at)), "image_id", "left")
+
+
 def mix_channels(channels: dict[str, DataFrame], seen: DataFrame, size: int) -> DataFrame:
     """(id, channel, turn, slot): channels (id, place) dealt in turn, without seen ids; an id counts in its first turn.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import queries_rules  # noqa: F401  (registers its own)
 from .functions import media, text, urls
-from .operators import curation, events, layout, postings, ranking, recsys, search, snapshots, taxonomy, vectors, views
+from .operators import curation, events, layout, logistic, postings, ranking, recsys, search, snapshots, taxonomy, vectors, views
 from .plans.paging import DEFAULTS, Page, clamp_page, page_of
 from .plans.session import new_folder
 from .registry import ORACLES, QUERIES, query
@@ -422,6 +422,20 @@ def exposure_clicks(m: Model) -> DataFrame:
     return found.select("id", "user_id", "image_id", "ts", "click_id", dwell).fillna(-1, ["click_id", "dwell"])
 
 
+@query()
+def interaction_ranked(m: Model) -> DataFrame:
+    """Every image of the log by its chance of a click, its heat and its nearness to the image seen last."""
+    log = m.behaviors()
+    trials = recsys.interaction_trials(log, "2024-01-16 00:00:00", 2 * 86_400)
+    fitted = logistic.fit(trials, recsys.RATES, "exposures", "hits")
+    chances = recsys.interaction_rates(log).filter("image_id is not null").withColumn("chance", logistic.probability(recsys.RATES, fitted))
+    last = log.agg(F.max_by("image_id", F.struct("ts", "id")).alias("seed"))
+    images = m.images().select(F.col("id").alias("image_id"), "published_at", (F.col("hot_score").cast("double") / 1_000_000).alias("heat"))
+    items = chances.join(images, "image_id").withColumn("near", 1 / (1 + F.abs(F.col("image_id") - last.scalar()))).withColumnRenamed("image_id", "id")
+    ranked = recsys.ranked(items, {"chance": 1.0, "near": 0.2, "heat": 0.5, "freshness": 0.1}, NOW, 30.0)
+    return ranked.select("id", F.round("chance", 6).alias("chance"), F.round("score", 6).alias("score"))
+
+
 # search
 
 _FOLD = "contains(strip_accents(lower({0})), strip_accents(lower('{1}')))"
