@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.operators import events, recsys, snapshots
@@ -118,6 +119,22 @@ def test_exposures_of_the_stream_equal_those_of_the_table(spark, tmp_path):
     assert len(found) == len(want) and dict(found) == want
 
 
+def test_clamped_totals_of_batches_in_order_equal_the_table(spark, data, tmp_path):
+    deltas = events.effects(Model(spark, data).behaviors())
+    rows = deltas.select("id", F.col("ts").cast("timestamp").alias("ts"), "image_id", (F.col("delta") * behaviors.SCALE).cast("long").alias("delta"))
+    rows = rows.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "id")))
+    os.mkdir(tmp_path / "in")
+    for k in range(3):
+        rows.filter(F.col("part") == k + 1).drop("part").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        name = next(f for f in os.listdir(tmp_path / f"part{k}") if f.endswith(".parquet"))
+        os.rename(tmp_path / f"part{k}" / name, tmp_path / "in" / f"{k}-{name}")
+        os.utime(tmp_path / "in" / f"{k}-{name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("id long, ts timestamp, image_id long, delta long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(behaviors.clamped_totals(stream), "update", "scores")
+    last = got.groupBy("image_id").agg(F.max_by("hot_score", "events").alias("hot_score"), F.max("events").alias("events"))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, events.clamped_score(deltas).collect()))
+
+
 def test_sink_is_idempotent(spark, arrived, tmp_path, data):
     for _ in range(2):
         behaviors.write_batches(behaviors.read_events(spark, arrived), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
