@@ -209,3 +209,44 @@ def test_near_duplicates_at_the_bound_in_short_texts(spark):
         kept += [len(pairs), len(pairs) + 1]
         pairs += [(len(pairs), " ".join(own[:words])), (len(pairs) + 1, " ".join([*own[: words // 2], "x", *own[words // 2 :]]))]
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, pairs)).collect()) == kept
+
+
+def test_near_rows_by_brute_force(spark):
+    """Fingerprints of 256 bits meet in tiles of one side and of two; rows near none are left out."""
+    rng = random.Random(12)
+    rows = []
+    for block in range(6):
+        base = [rng.getrandbits(256) for _ in range(3)]
+        for tile in range(3):
+            for _ in range(rng.choice([1, 2, 150])):
+                fp = rng.choice([*base, rng.getrandbits(256)]) ^ sum(1 << b for b in rng.sample(range(256), rng.choice([5, 40, 60])))
+                rows.append((block, tile, 2 if block % 2 else rng.randint(0, 1), fp.to_bytes(32, "big")))
+    far = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() > 96
+    meet = lambda r, s: r is not s and r[:2] == s[:2] and (r[2] == 2 or r[2] != s[2])
+    want = sorted(r for r in rows if any(meet(r, s) and not far(r[3], s[3]) for s in rows))
+    frame = spark.createDataFrame(rows, "block long, tile long, side int, fp binary")
+    assert 0 < len(want) < len(rows)
+    assert sorted((r[0], r[1], r[2], bytes(r[3])) for r in simhash.near_rows(frame, 96).collect()) == want
+
+
+def test_fingerprints_decide_what_is_confirmed(spark, monkeypatch):
+    """Near copies are linked by their fingerprints: with a radius of 0 no two different texts are."""
+    rng = random.Random(13)
+    pairs = []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    kept = lambda: sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, pairs)).collect())
+    assert kept() == list(range(0, 40, 2))
+    monkeypatch.setattr(simhash, "NEAR_RADIUS", 0)
+    assert kept() == list(range(40))
+
+
+def test_the_radius_holds_all_pairs_at_the_bound():
+    """Of 4 of 5 shingles, the worst case at a similarity of 0.8, fingerprints stay well within the radius."""
+    rng = np.random.default_rng(14)
+    apart = []
+    for hashes in rng.integers(0, 2**63, size=(2000, 5), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size=(2000, 5), dtype=np.uint64):
+        a, b = (int.from_bytes(simhash.simhash(h, 256), "big") for h in (hashes[:4].copy(), hashes))
+        apart.append((a ^ b).bit_count())
+    assert 45 < np.mean(apart) < 51 and max(apart) < simhash.NEAR_RADIUS - 10

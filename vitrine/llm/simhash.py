@@ -6,11 +6,12 @@ TILE fingerprints is one tile. A larger one is dealt into tiles by bit count; ti
 pair within the radius, each pair of tiles in its own task. Tiles give a star for each component of their links instead
 of all pairs. Components of the links are found by joins.
 
-For near-duplicates on word shingles fingerprints only name the texts. Texts that share a band of minima of their shingle
-hashes are candidates, however far apart their fingerprints are, and the exact similarity decides. A block of candidates is
-first confirmed against one of its texts at a time, which joins most of a group of near copies by as many comparisons as it
-has texts. In a block that PIVOTS rounds leave in several components, the texts outside the component of one of them are
-compared with all, in tiles; so texts are sent as often as there are tiles of those outside.
+Near-duplicates on word shingles take the same three steps. Bands of minima of the shingle hashes deal texts into blocks, as
+no pieces of bits would at so wide a radius; fingerprints that meet in a tile of a block are compared by exclusive-or and bit
+counts; only texts whose fingerprint has another within the radius in its tile are read, and the exact similarity decides. A
+block is first confirmed against one of its texts at a time, which joins most of a group of near copies by as many
+comparisons as it has texts. In a block that PIVOTS rounds leave in several components, the texts outside the component of
+one of them are compared with all, in tiles.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ SEED = 42
 #: pairs). Links are then confirmed by the similarity itself, a ratio of whole numbers, in tiles of so many texts and shingles.
 NEAR_WORDS, NEAR_BITS, NEAR_BANDS = 5, 256, (20, 4)
 SIMILARITY, TEXT_TILE, SHINGLE_TILE = (4, 5), 512, 2_000_000
+#: Bits in which fingerprints of texts that similar may differ. 4 of 5 common shingles are the worst case: a bit then differs
+#: with odds of 3/16, more than 96 of 256 do once in 10^12 pairs; unrelated texts are that near once in 26,000.
+NEAR_RADIUS = 96
 #: Rounds in which a block's texts are compared with one of them.
 PIVOTS = 2
 #: Bytes of a text whose words are held at once, and hashes whose bits are.
@@ -326,8 +330,34 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> tu
     return np.nonzero(of * common >= least * both)
 
 
+def _in_tiles(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with block, tile, side and these columns, tile by tile."""
+    return rows.select("block", "tile", F.col("side").cast("int").alias("side"), *columns).repartition("block", "tile").sortWithinPartitions("block", "tile")
+
+
+def near_rows(tiled: DataFrame, radius: int) -> DataFrame:
+    """The rows of tiled (block, tile, side, fp) whose fingerprint is within the radius of another that it meets in its tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _by_tile(batches, ("block", "tile")):
+            prints, sides = np.frombuffer(b"".join(rows["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(rows.num_rows, -1), rows["side"].to_numpy()
+            ones, near = np.bitwise_count(prints).sum(axis=1, dtype=np.int64), np.zeros(rows.num_rows, dtype=bool)
+            for start, stop in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                order = start + np.argsort(ones[start:stop], kind="stable")
+                left, right = order[sides[order] != 1], order[sides[order] != 0]
+                x, y = _close(prints[left], prints[right], radius)
+                met = left[x] != right[y]  # on side 2 each row meets itself too
+                near[left[x[met]]] = near[right[y[met]]] = True
+            yield from rows.filter(pa.array(near)).to_batches()
+
+    return _in_tiles(tiled, "fp").mapInArrow(run, "block long, tile long, side int, fp binary")
+
+
 def _compared(tiled: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(a, b): links of the fingerprints of tiled (block, tile, side, fp) whose texts (fp, text) are similar, tile by tile."""
+    """(a, b): links of the fingerprints of tiled (block, tile, side, fp) whose texts (fp, text) are similar, tile by tile.
+
+    Fingerprints meet first; the texts of those that are near none in their tile are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _by_tile(batches, ("block", "tile")):
@@ -343,8 +373,8 @@ def _compared(tiled: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 pairs += _stars(prints[start:stop], left[x], right[y])
             yield _pairs(pairs)
 
-    dealt = tiled.join(texts, "fp").select("block", "tile", F.col("side").cast("int").alias("side"), "fp", "text")
-    return materialize(dealt.repartition("block", "tile").sortWithinPartitions("block", "tile").mapInArrow(run, "a binary, b binary"), "links")
+    met = near_rows(tiled.withColumn("tile", F.col("tile").cast("long")), NEAR_RADIUS)
+    return materialize(_in_tiles(met.join(texts, "fp"), "fp", "text").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def _parts() -> Column:
@@ -388,10 +418,11 @@ def rest_tiles(placed: DataFrame) -> DataFrame:
 
 
 def confirmed(blocks: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fp, root): components of the links between fingerprints that share a block (block, fp) and whose texts are similar.
+    """(fp, root): components of the links between near fingerprints that share a block (block, fp) and whose texts are similar.
 
     own: fp, shingles and least (id_key, text_hash), the text that stands for each fingerprint. Only texts that share a
-    block are read, once. A pair that shares a block is skipped only where links join it already, so no link is lost.
+    block are read, once. A pair that shares a block is skipped only where links join it already or its fingerprints are
+    beyond the radius, so no link within it is lost.
     """
     sizes = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     members = materialize(blocks.join(sizes, "block").join(own.select("fp", "shingles"), "fp"), "members")
@@ -421,8 +452,8 @@ def confirmed(blocks: DataFrame, own: DataFrame, docs: DataFrame, words: int) ->
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) with one row of each group of near-duplicates, of the least id.
 
-    Texts are linked at a Jaccard similarity of 0.8 or more over runs of five words, each counted once. Null ids come
-    first; null texts count as empty, and texts without words are one group; of repeated rows one stays. Very long texts
+    Texts are linked at a Jaccard similarity of 0.8 or more over runs of five words, each counted once, if they share a
+    band of minima and their fingerprints differ in at most NEAR_RADIUS bits. Null ids come first; null texts count as empty, and texts without words are one group; of repeated rows one stays. Very long texts
     are hashed in portions. An empty table stays empty. Other columns may have any names.
     """
     prints = materialize(fingerprints(docs, NEAR_WORDS, NEAR_BITS, NEAR_BANDS), "fingerprints")
