@@ -190,3 +190,15 @@ def test_instructions_with_nulls_repeats_and_empty_tables(spark):
     one = 1 << 20
     assert got == [(False, one + 1, "a", "x"), (False, one + 1, "a", "x"), (False, one + 1000, None, ""), (False, 2 * one, None, "y"), (True, 0, None, "n")]
     assert instructions(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_marks_are_remembered(name):
+    """Every chunk of a text is in memory after its first occurrence, a word with a mark behind it too, with the ids of a plain call."""
+    made = tokens.TextEncoder(tokens.public_path(name))
+    text = "Hello, World. Grüße, hello, x1. Été. World.\nHELLO, ... a.b. don't, 3."
+    want = made.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == want
+    chunks = text.split() if made.drops_space else made.pattern.findall(text)
+    assert all(c in made.memo for c in chunks)
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == want

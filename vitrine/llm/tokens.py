@@ -42,15 +42,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Ids by chunk; those of a new chunk are made when they are asked for. A word and a mark behind it are two chunks."""
+    """Ids by chunk; those of a new chunk are made when they are asked for. A word and a mark behind it are two chunks' ids."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1] in ".," and (word := chunk[:-1]).isalpha() and max(word) <= "\xff":
-            return self[word] + self[chunk[-1]]
-        self[chunk] = ids = self.encode(chunk)
+            ids = self[word] + self[chunk[-1]]
+        else:
+            ids = self.encode(chunk)
+        self[chunk] = ids
         return ids
 
 
@@ -80,14 +82,16 @@ class TextEncoder:
         self.packed = [array("I", [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
 
     def _encode(self, chunk: str) -> bytes:
+        tokenize, packed, letters = self.model.tokenize, self.packed, self.letters
         word = chunk.removeprefix(" ")
+        if word.isascii() and word.isalpha():  # letters stand for themselves
+            return b"".join([packed[t.id] for t in tokenize(word.lower() if self.drops_space else chunk.replace(" ", letters[32]))])
         if word.isalpha() and max(word) <= "\xff":
             parts = [word.lower() if self.drops_space else chunk]
         elif _SIMPLE.fullmatch(chunk):
             parts = _PARTS.findall(chunk.lower()) if self.drops_space else _RUNS.findall(chunk)
         else:
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        tokenize, packed, letters = self.model.tokenize, self.packed, self.letters
         return b"".join([packed[t.id] for p in parts for t in tokenize("".join([letters[b] for b in p.encode()]))])
 
     def _plain(self, text: str) -> bytes:
