@@ -237,3 +237,13 @@ def test_neighbour_swaps_visit_every_order_once(n):
         order[k], order[k + 1] = order[k + 1], order[k]
         seen.append(tuple(order))
     assert sorted(seen) == sorted(itertools.permutations(range(n)))
+
+
+def test_tokenizers_are_loaded_once_a_worker():
+    """A second task of a worker finds them loaded, with an empty memory of words, and gives the same codes."""
+    paths = public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")
+    first = alignment.both_of(*paths)
+    codes = first.codes(["hello", "wörld", "x1"])
+    assert first.memo
+    again = alignment.both_of(*paths)
+    assert again is first and not again.memo and again.codes(["hello", "wörld", "x1"]) == codes

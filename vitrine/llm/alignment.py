@@ -160,6 +160,17 @@ class Both:
         yield text[start:].split(" ")
 
 
+_loaded: dict[tuple[str, str], Both] = {}
+
+
+def both_of(a_path: str, b_path: str) -> Both:
+    """The worker's tokenizers for these files, with an empty memory of words; they outlive a task where workers are reused."""
+    if (a_path, b_path) not in _loaded:
+        _loaded[a_path, b_path] = Both(a_path, b_path)
+    _loaded[a_path, b_path].memo.clear()
+    return _loaded[a_path, b_path]
+
+
 class Page:
     """Texts as numbers of words, and the distinct words in order of their numbers."""
 
@@ -216,7 +227,7 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Both(a_path, b_path)
+        both = both_of(a_path, b_path)
         page = Page(both)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -226,6 +237,7 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
                     page = Page(both)
         if page.ids:
             yield page.batch()
+        both.memo.clear()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return source.mapInArrow(run, PAGES)
