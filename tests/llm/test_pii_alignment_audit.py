@@ -247,3 +247,17 @@ def test_tokenizers_are_loaded_once_a_worker():
     assert first.memo
     again = alignment.both_of(*paths)
     assert again is first and not again.memo and again.codes(["hello", "wörld", "x1"]) == codes
+
+
+def test_pages_keep_words_in_arrays():
+    """A page's words are encoded together without one of them being remembered; odd ones among them have the ids of plain calls."""
+    both = alignment.both_of(public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    texts = ["hello wörld x1 hello", "a  b c", "x" * 300 + " hello y", "bad \x85 x", "", "naïveté, don't"]
+    page = alignment.Page(both)
+    for k, text in enumerate(texts):
+        page.add(k, text)
+    (docs,), (words,) = page.batch().to_pydict().values()
+    assert not both.memo
+    for d, text, (a, b) in zip(docs, texts, brute_tokens(texts), strict=True):
+        got = [[k for w in d["words"] for k in words[w][side]] for side in "ab"]
+        assert got == [[k for k, *_ in a], [k for k, *_ in b]] and (d["n_a"], d["n_b"]) == (len(a), len(b)), text

@@ -3,9 +3,10 @@
 Python tasks only tokenise. They hand over pages: the ids and byte ends, by both tokenizers, of each distinct word of a few
 megabytes of text, and each text as its words' numbers in the page. Both tokenizers end at a lone space, so that a text's
 groups and links are those of its words. All else is Spark's higher-order functions over the arrays of a page: ends that both
-have close the groups; a word's ends are packed as (end, tokenizer, index) and sorted, so that an entry's place less its own
-index is the number of the other's tokens that end before it, and each distinct end closes the overlap of one token of A
-with one of B, which is a link.
+have (array_intersect) close the groups, and a group with one token of a side links it to all of the other's. Where both have
+more, the group's ends are packed as (end, tokenizer, index) and sorted, so that an entry's place less its own index is the
+number of the other's tokens that end before it, and each distinct end closes the overlap of one token of A with one of B,
+which is a link. A text has as many groups as tokens less links.
 
 Links are counted over the corpus by pair of ids. To hand the counts back to texts, the most frequent pairs, of which a fixed
 number is broadcast, meet the links where they are; links of rare pairs, none of which is hot, are joined by a shuffle.
@@ -19,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, count, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from .tokens import TextEncoder, byte_letters, encoder
 
 #: Pairs of ids that are broadcast at most (some 40 bytes each); the rest meet their links by a shuffle.
 MOST_PAIRS = 1_000_000
-#: Words whose ids a worker remembers at most, characters of a page, and characters of a long text that are cut into words at once.
-MEMO_WORDS, PAGE, PORTION = 500_000, 4_000_000, 2_000_000
+#: Words whose ids a worker remembers at most, characters of a page, characters of a long text that are cut into words at once, words encoded in one call.
+MEMO_WORDS, PAGE, PORTION, TOGETHER = 500_000, 4_000_000, 2_000_000, 50_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _RUNS = re.compile(" +[^ ]*")
 _ID_BITS, _INDEX_BITS = 32, 31
@@ -82,14 +84,17 @@ def _by_rank(spec: dict, vocabulary: dict[str, int], entries: list[bytes]) -> Ca
     return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def joined_sides(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of ids by word, of words one part after the other."""
+    return np.concatenate([np.array([], np.int32), *(ids for ids, _ in parts)]), np.concatenate([np.array([], np.int64), *(n for _, n in parts)])
+
+
 class Both:
     """One worker's tokenizers. code(word): A's ids, then B's as their complements, of a space and the word, as 32-bit integers."""
 
     def __init__(self, a_path: str, b_path: str):
         import json
 
-        import numpy as np
-
         self.encoder: TextEncoder = encoder(a_path, special_as_text=True).__self__
         self.pieces, self.memo = Pieces(b_path), {}
         of_letter = {letter: b for b, letter in byte_letters().items()}
@@ -99,8 +104,11 @@ class Both:
         self.a_bytes = [b""] * (1 + max(vocabulary.values()))
         for entry, k in vocabulary.items():
             self.a_bytes[k] = bytes(of_letter.get(c, 0) for c in entry)
-        self.of_many = _by_rank(spec, vocabulary, self.a_bytes) or (lambda text: self.encoder.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        by_rank = _by_rank(spec, vocabulary, self.a_bytes)
+        self.lossless = by_rank is not None  # it merges the bytes of what its pattern finds, so that nothing else than a gap can be lost
+        self.of_many = by_rank or (lambda text: self.encoder.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
         self.begins = np.array([x.startswith(b" ") for x in self.a_bytes])
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.pieces.bytes))
 
     def _code(self, text: str, a: bytes, b: bytes) -> bytes:
         """Nothing for a text whose tokens don't give back its bytes."""
@@ -118,35 +126,62 @@ class Both:
         plain = [w for w in map(words.__getitem__, missing) if len(w) <= 100 and " " not in w]
         if len(self.memo) + len(plain) > MEMO_WORDS:
             self.memo.clear()
-        for k in range(0, len(plain), 50_000):
-            self._learn(plain[k : k + 50_000])
+        for k in range(0, len(plain), TOGETHER):
+            self._learn(plain[k : k + TOGETHER])
         for k in missing:
             code = self.memo.get(words[k])
             out[k] = self.code(words[k]) if code is None else code
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """One call of each tokenizer. Of A's tokens those that begin with a space begin a word."""
-        import numpy as np
+    def sides(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B the ids of all words, one after the other, and each word's number of them, none for a word without a code.
+
+        A page's words differ and most of them are in no other page, so that none is remembered: those without a space in
+        them and not too long are encoded together and stay in arrays.
+        """
+        found, start = ([], []), 0
+        odd = [k for k, w in enumerate(words) if len(w) > 100 or " " in w]
+        for stop in [*odd, len(words)]:
+            for k in range(start, stop, TOGETHER):
+                portion = words[k : min(k + TOGETHER, stop)]
+                for out, side in zip(found, self._together(portion) or self._apart(self.codes(portion)), strict=True):
+                    out.append(side)
+            if stop < len(words):
+                for out, side in zip(found, self._apart([self.code(words[stop])]), strict=True):
+                    out.append(side)
+            start = stop + 1
+        return [joined_sides(out) for out in found]
+
+    @staticmethod
+    def _apart(codes: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        stream = np.frombuffer(b"".join(codes), np.int32)
+        of_word = np.repeat(np.arange(len(codes)), [len(c) // 4 for c in codes])
+        a = stream >= 0
+        return (stream[a], np.bincount(of_word[a], minlength=len(codes))), (~stream[~a], np.bincount(of_word[~a], minlength=len(codes)))
 
+    def _together(self, words: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
+        """One call of each tokenizer; nothing where the tokens don't give back the words. Of A's tokens those that begin with a space begin a word."""
         joined = " " + " ".join(words)
         a = np.array(self.of_many(joined), np.int32)
         b_lists = self.pieces.many(words)
         b = np.fromiter(chain.from_iterable(b_lists), np.int32)
-        of_a = np.cumsum(self.begins[a]) - 1
-        of_b = np.repeat(np.arange(len(words)), [len(x) for x in b_lists])
-        if not all(b"".join(map(t.__getitem__, x.tolist())) == joined.encode() for t, x in ((self.a_bytes, a), (self.pieces.bytes, b))):
+        want = joined.encode()
+        same = lambda table, ids: b"".join(map(table.__getitem__, ids.tolist())) == want
+        if int(self.a_lengths[a].sum()) != len(want) or not (self.lossless or same(self.a_bytes, a)) or not same(self.pieces.bytes, b):
+            return None
+        firsts = np.flatnonzero(self.begins[a])
+        return (a, np.diff(firsts, append=len(a))), (b, np.fromiter(map(len, b_lists), np.int64, len(words)))
+
+    def _learn(self, words: list[str]) -> None:
+        both = self._together(words)
+        if both is None:
             for word in words:
                 self.memo[word] = self.code(word)
             return
-        of_word = np.concatenate([of_a, of_b])
-        order = np.argsort(of_word, kind="stable")
-        stream = np.concatenate([a, ~b])[order].tobytes()
-        ends = (4 * np.cumsum(np.bincount(of_word, minlength=len(words)))).tolist()
-        start = 0
-        for word, end in zip(words, ends, strict=True):
-            self.memo[word] = stream[start:end]
-            start = end
+        (a, n_a), (b, n_b) = both
+        a_edges, b_edges = ([0, *np.cumsum(n).tolist()] for n in (n_a, n_b))
+        for k, word in enumerate(words):
+            self.memo[word] = a[a_edges[k] : a_edges[k + 1]].tobytes() + (~b[b_edges[k] : b_edges[k + 1]]).tobytes()
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words between spaces, a bounded number at a time; a text with a space beside white space is one word."""
@@ -179,8 +214,6 @@ class Page:
         self.ids, self.docs, self.texts, self.size = [], [], [], 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        import numpy as np
-
         number = self.number
         parts = [np.array([number[w] for w in part], np.int32) for part in self.both.words(text)] if text else [np.array([], np.int32)]
         self.ids.append(doc_id)
@@ -189,34 +222,31 @@ class Page:
         self.size += len(text) + 100
 
     def batch(self) -> pa.RecordBatch:
-        import numpy as np
-
-        words, both = list(self.number), self.both
-        codes = both.codes(words)
-        if not all(codes):  # the tokens of a whole text may give back its bytes though those of a word don't
-            bad = np.array([not c for c in codes])
+        both = self.both
+        found = both.sides(list(self.number))
+        bad = found[0][1] == 0
+        if bad.any():  # the tokens of a whole text may give back its bytes though those of a word don't
+            wholes = []
             for k, (text, numbers) in enumerate(zip(self.texts, self.docs, strict=True)):
                 if len(numbers) and bad[numbers].any():
                     whole = both.code(text) if len(numbers) > 1 else b""
-                    self.docs[k] = np.array([len(codes)] if whole else [], np.int32)
-                    codes += [whole] if whole else []
-        stream = np.frombuffer(b"".join(codes), np.int32)
-        edges = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes], dtype=np.int64)])
+                    self.docs[k] = np.array([len(bad) + len(wholes)] if whole else [], np.int32)
+                    wholes += [whole] if whole else []
+            found = [joined_sides([side, more]) for side, more in zip(found, both._apart(wholes), strict=True)]
         sides, sizes = [], []
-        for of_side, ids, table in ((stream >= 0, stream, both.a_bytes), (stream < 0, ~stream, both.pieces.bytes)):
-            upto = np.concatenate([[0], np.cumsum(of_side)])[edges]  # of this side's tokens, at the words' edges
-            ids = ids[of_side]
-            sums = np.concatenate([[0], np.cumsum(np.array([len(x) for x in table], np.int64)[ids])])
-            ends = sums[1:] - np.repeat(sums[upto[:-1]], np.diff(upto))
+        for (ids, per_word), table in zip(found, (both.a_lengths, both.b_lengths), strict=True):
+            upto = np.concatenate([[0], np.cumsum(per_word)])
+            sums = np.concatenate([[0], np.cumsum(table[ids])])
+            ends = sums[1:] - np.repeat(sums[upto[:-1]], per_word)
             sides += [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, pa.int32())) for x in (ids, ends)]
-            sizes.append(np.diff(upto))
+            sizes.append(per_word)
         n = [pa.array([int(s[d].sum()) for d in self.docs], pa.int64()) for s in sizes]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in self.docs])]), pa.int32())
         numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(self.docs), pa.int32()))
         docs = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), *n, numbers], ["doc_id", "n_a", "n_b", "words"])
-        found = pa.StructArray.from_arrays(sides, ["a", "a_ends", "b", "b_ends"])
+        words = pa.StructArray.from_arrays(sides, ["a", "a_ends", "b", "b_ends"])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(docs), one(found)], names=["docs", "words"])
+        return pa.RecordBatch.from_arrays([one(docs), one(words)], names=["docs", "words"])
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,58 +287,61 @@ def _index(x: Column) -> Column:
 
 
 def _crossing(word: Column) -> Column:
-    """(text, links, n_groups) of a word whose tokens don't all end together."""
-    packed = lambda ends, side: F.transform(ends, lambda e, k: F.shiftleft(e.cast("long"), _ID_BITS).bitwiseOR(k.cast("long") + F.lit(side << _INDEX_BITS)))
-    pair = lambda i, j: _pair(F.get(word["a"], i.cast("int")), F.get(word["b"], j.cast("int")))
-
-    def step(merged: Column, x: Column, place: Column) -> Column:
-        """A link, or for B's end where A ends too, which closes a group, the negative of both numbers of tokens so far."""
-        other = place.cast("long") - _index(x)  # the other's tokens before, an equal end of A's included
-        ends_both = F.shiftright(F.get(merged, place - 1), _ID_BITS) == F.shiftright(x, _ID_BITS)
-        closing = -F.shiftleft(other, _INDEX_BITS).bitwiseOR(_index(x) + 1)
-        of_b = F.when(ends_both, closing).otherwise(pair(other, _index(x)))
-        return F.when(x.bitwiseAND(F.lit(1 << _INDEX_BITS)) == 0, pair(_index(x), other)).otherwise(of_b)
-
-    def text(a: Column, b: Column, closings: Column) -> Column:
+    """(text, links) of a word whose tokens don't all end together."""
+    high = lambda x: F.shiftright(x, _INDEX_BITS).cast("int")
+    low = lambda x: _index(x).cast("int")
+    one_each = lambda x, y: y - x == F.lit((1 << _INDEX_BITS) + 1)
+
+    def text(a: Column, b: Column, before: Column, closings: Column) -> Column:
         """Of each group the tokens of A and of B between the closing before it and its own."""
-        high = lambda x: F.shiftright(x, _INDEX_BITS).cast("int")
-        low = lambda x: _index(x).cast("int")
-        part = lambda tokens, start, stop: F.array_join(F.slice(tokens, start + 1, stop - start), ",")
-        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(closings, F.lit(1), F.size(closings) - 1))
-        one_each = lambda x, y: y - x == F.lit((1 << _INDEX_BITS) + 1)
+        part = lambda tokens, first, n: F.array_join(F.slice(tokens, first + 1, n), ",")
         pair = lambda x: F.concat(F.get(a, high(x)), F.lit("|"), F.get(b, low(x)))
-        group = lambda x, y: F.when(one_each(x, y), pair(x)).otherwise(F.concat(part(a, high(x), high(y)), F.lit("|"), part(b, low(x), low(y))))
-        return F.array_join(F.zip_with(before, closings, group), ";")
-
-    def shown(closings: Column) -> Column:
-        return _let(word["a"].cast("array<string>"), lambda a: _let(word["b"].cast("array<string>"), lambda b: text(a, b, closings)))
-
-    def result(steps: Column) -> Column:
-        closings = F.transform(F.filter(steps, lambda x: x < 0), lambda x: -x)
-        return F.struct(_let(closings, shown).alias("text"), F.filter(steps, lambda x: x >= 0).alias("links"), F.size(F.array_intersect(word["a_ends"], word["b_ends"])).alias("n_groups"))
+        parts = lambda x, y: F.concat(part(a, high(x), high(y - x)), F.lit("|"), part(b, low(x), low(y - x)))
+        return F.array_join(F.zip_with(before, closings, lambda x, y: F.when(one_each(x, y), pair(x)).otherwise(parts(x, y))), ";")
+
+    def many(x: Column, y: Column) -> Column:
+        """Links of a group with more than one token of each side, which end together at its own end alone."""
+        n_a, n_b = high(y - x), low(y - x)
+        packed = lambda ends, first, n, side: F.transform(F.slice(ends, first + 1, n), lambda e, k: F.shiftleft(e.cast("long"), _ID_BITS).bitwiseOR(k.cast("long") + F.lit(side << _INDEX_BITS)))
+        merged = F.sort_array(F.concat(packed(word["a_ends"], high(x), n_a, 0), packed(word["b_ends"], low(x), n_b, 1)))
+        pair = lambda i, j: _pair(F.get(word["a"], high(x) + i), F.get(word["b"], low(x) + j))
+        # of the entries before one, all that are not its own side's are the other's, and the other's next token spans its end
+        link = lambda m, place: F.when(m.bitwiseAND(F.lit(1 << _INDEX_BITS)) == 0, pair(low(m), place - low(m))).otherwise(pair(place - low(m), low(m)))
+        return F.transform(F.slice(merged, F.lit(1), n_a + n_b - 1), link)
+
+    def links(x: Column, y: Column) -> Column:
+        a, b, n = F.get(word["a"], high(x)), F.get(word["b"], low(x)), y - x
+        of_a = F.transform(F.slice(word["b"], low(x) + 1, low(n)), lambda k: _pair(a, k))
+        of_b = F.transform(F.slice(word["a"], high(x) + 1, high(n)), lambda k: _pair(k, b))
+        return F.when(one_each(x, y), F.array(_pair(a, b))).when(high(n) == 1, of_a).when(low(n) == 1, of_b).otherwise(many(x, y))
+
+    def result(closings: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(closings, F.lit(1), F.size(closings) - 1))
+        shown = _let(word["a"].cast("array<string>"), lambda a: _let(word["b"].cast("array<string>"), lambda b: text(a, b, before, closings)))
+        return F.struct(shown.alias("text"), F.flatten(F.zip_with(before, closings, links)).alias("links"))
 
-    merged = F.sort_array(F.concat(packed(word["a_ends"], 0), packed(word["b_ends"], 1)))
-    return _let(_let(merged, lambda m: F.transform(m, lambda x, place: step(m, x, place))), result)
+    closing = lambda e: F.shiftleft(F.array_position(word["a_ends"], e), _INDEX_BITS).bitwiseOR(F.array_position(word["b_ends"], e))
+    return _let(F.transform(F.array_intersect(word["a_ends"], word["b_ends"]), closing), result)
 
 
 def _together(word: Column) -> Column:
     """The same of a word whose tokens all end together: each group is a pair."""
     pairs = F.zip_with(word["a"].cast("array<string>"), word["b"].cast("array<string>"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return F.struct(F.array_join(pairs, ";").alias("text"), F.zip_with(word["a"], word["b"], _pair).alias("links"), F.size(word["a"]).alias("n_groups"))
+    return F.struct(F.array_join(pairs, ";").alias("text"), F.zip_with(word["a"], word["b"], _pair).alias("links"))
 
 
 def aligned(pages: DataFrame) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, links) of PAGES: groups as text, links as pairs of ids in one long, A's above."""
     built = F.transform("words", lambda w: F.when(w["a_ends"] == w["b_ends"], _together(w)).otherwise(_crossing(w)))
-    rows = pages.select("docs", built.alias("built")).select("docs", F.col("built.text").alias("texts"), F.col("built.links").alias("of_words"), F.col("built.n_groups").alias("counts"))
+    rows = pages.select("docs", built.alias("built")).select("docs", F.col("built.text").alias("texts"), F.col("built.links").alias("of_words"))
 
     def doc(d: Column) -> Column:
         groups = F.array_join(F.transform(d["words"], lambda k: F.get("texts", k)), ";")
         links = F.flatten(F.transform(d["words"], lambda k: F.get("of_words", k)))
-        n_groups = F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, k: n + F.get("counts", k))
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups.alias("n_groups"), groups.alias("groups"), links.alias("links"))
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("groups"), links.alias("links"))
 
-    return rows.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*")
+    n_groups = F.col("n_a") + F.col("n_b") - F.size("links")  # each end but those of groups closes one token, those close two, and each closes a link
+    return rows.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").select("doc_id", "n_a", "n_b", n_groups.alias("n_groups"), "groups", "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
