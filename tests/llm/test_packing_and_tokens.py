@@ -202,3 +202,13 @@ def test_words_with_marks_are_remembered(name):
     chunks = text.split() if made.drops_space else made.pattern.findall(text)
     assert all(c in made.memo for c in chunks)
     assert np.frombuffer(made.ids(text), "<u4").tolist() == want
+
+
+def test_a_word_before_marks_takes_no_room_of_its_own():
+    """Of words with marks behind them only whole chunks and the marks are in memory, with the ids of a plain call."""
+    made = tokens.TextEncoder(tokens.public_path("word_bpe_49k.json"))
+    text = "wow!! Grüße*** x***, don't! éa's. no'. so.'' |ab| hm...? Été\u2026 ok_- $$$"
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"wow!!", "!!", "Grüße***", "***"} <= set(made.memo) and not {"wow", "Grüße", "x"} & set(made.memo)
+    other = tokens.TextEncoder(tokens.public_path("byte_bpe_50k.json"))
+    assert np.frombuffer(other.ids(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids

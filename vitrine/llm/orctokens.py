@@ -26,6 +26,8 @@ SCHEMA = "doc_id long, n_ids long, before long, ids array<int>"
 _TYPES = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Ids are handed to Spark in batches of about so many.
 BATCH_IDS = 2_000_000
+#: Chunks a worker remembers at most; new ones take most of the encoding, and there is room beside a sort of texts.
+MEMO_CHUNKS = 1_500_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = STRIPE_BYTES) -> None:
@@ -40,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, written = encoder(tokenizer_path), 0
+        encode, written = encoder(tokenizer_path, most=MEMO_CHUNKS), 0
 
         def rows(names: list, parts: list[bytes]) -> pa.RecordBatch:
             nonlocal written

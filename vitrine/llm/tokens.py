@@ -26,8 +26,10 @@ _DROPS_SPACE = re.compile(f"{_PLAIN}|[^{_WS}]+")
 _SIMPLE = re.compile(" ?[!-&(-~\\xa1-\\xff]+")
 _RUNS = re.compile(f" ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^{_LATIN}{_DIGIT} ]+")
 _PARTS = re.compile(f"[{_LATIN}]+|[{_DIGIT}]|[^{_LATIN}{_DIGIT}]+")
-#: A worker holds this many chunks at most; beyond it the memory is emptied and filled anew.
+#: A worker holds this many chunks at most, unless told otherwise (150 bytes each); beyond it the memory is emptied and filled anew.
 MEMO_CHUNKS = 600_000
+#: Marks that are one pre-token behind a word, before white space or the end; with an apostrophe they may not be.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters that Python counts as white space and the pre-tokenizers don't.
 _NO_GAPS = "\x1c\x1d\x1e\x1f"
 #: Chunks of a long text that are joined at once, and the characters from which a text counts as long.
@@ -42,14 +44,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Ids by chunk; those of a new chunk are made when they are asked for. A word and a mark behind it are two chunks' ids."""
+    """Ids by chunk; those of a new chunk are made when they are asked for. A word and the marks behind it are two chunks' ids."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1] in ".," and (word := chunk[:-1]).isalpha() and max(word) <= "\xff":
-            ids = self[word] + self[chunk[-1]]
+        word = chunk.rstrip(_MARKS)
+        if len(word) < len(chunk) and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            ids = (self.get(word) or self.encode(word)) + self[chunk[len(word) :]]  # a word that only marks follow takes no room of its own
         else:
             ids = self.encode(chunk)
         self[chunk] = ids
@@ -63,9 +66,10 @@ class TextEncoder:
     plain call of the tokenizer.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, most: int = MEMO_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # texts are cut at special tokens before
         with open(path, encoding="utf-8") as f:
@@ -95,7 +99,7 @@ class TextEncoder:
         return b"".join([packed[t.id] for p in parts for t in tokenize("".join([letters[b] for b in p.encode()]))])
 
     def _plain(self, text: str) -> bytes:
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > self.most:
             self.memo.clear()
         if len(text) < LONG:
             by_gaps = self.drops_space and not any(c in text for c in _NO_GAPS)
@@ -103,7 +107,7 @@ class TextEncoder:
         found, out = (m.group() for m in self.pattern.finditer(text)), []
         while part := list(islice(found, PORTION)):
             out.append(b"".join(map(self.memo.__getitem__, part)))
-            if len(self.memo) > MEMO_CHUNKS:
+            if len(self.memo) > self.most:
                 self.memo.clear()
         return b"".join(out)
 
@@ -113,14 +117,15 @@ class TextEncoder:
         return b"".join(self.special[part] if k % 2 else self._plain(part) for k, part in enumerate(self.cut.split(text)))
 
 
-_encoders: dict[tuple[str, bool], TextEncoder] = {}
+_encoders: dict[tuple[str, bool, int], TextEncoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = False) -> Callable[[str], bytes]:
-    """The worker's encoder for this file; it outlives a task where workers are reused."""
-    if (path, special_as_text) not in _encoders:
-        _encoders[path, special_as_text] = TextEncoder(path, special_as_text)
-    return _encoders[path, special_as_text].ids
+def encoder(path: str, special_as_text: bool = False, most: int = MEMO_CHUNKS) -> Callable[[str], bytes]:
+    """The worker's encoder for this file, with a memory of so many chunks at most; it outlives a task where workers are reused."""
+    key = path, special_as_text, most
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(*key)
+    return _encoders[key].ids
 
 
 def public_path(name: str) -> str:
