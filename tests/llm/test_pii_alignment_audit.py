@@ -261,3 +261,22 @@ def test_pages_keep_words_in_arrays():
     for d, text, (a, b) in zip(docs, texts, brute_tokens(texts), strict=True):
         got = [[k for w in d["words"] for k in words[w][side]] for side in "ab"]
         assert got == [[k for k, *_ in a], [k for k, *_ in b]] and (d["n_a"], d["n_b"]) == (len(a), len(b)), text
+
+
+def test_groups_and_links_of_a_page(spark):
+    """Groups as text and links in order, by plain calls, with texts that have none; Spark's part has no lambda, which would be interpreted entry by entry."""
+    paths = public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")
+    texts = ["", "naïveté, don't", "a  b 日本語🎉", "bad \x85 x", "tokenizers tokenizers Überraschung", None]
+    rows = alignment.aligned(alignment.tokenise(docs(spark, list(enumerate(texts))), *paths))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r for r in rows.collect()}
+    for k, (a, b) in enumerate(brute_tokens(texts)):
+        groups, start = [], 0
+        for end in sorted({e for *_, e in a} & {e for *_, e in b}):
+            groups.append("|".join(",".join(str(i) for i, s, e in side if start <= s and e <= end) for side in (a, b)))
+            start = end
+        links = [(i << 32) + j for i, s, e in a for j, t, f in b if s < f and t < e]
+        assert (got[k]["groups"], got[k]["links"], got[k]["n_groups"]) == (";".join(groups), links, len(groups)), texts[k]
+    page = alignment.Page(alignment.both_of(*paths))
+    page.add(1, "")
+    assert alignment.align_page(page.batch()).to_pylist() == [{"doc_id": 1, "n_a": 0, "n_b": 0, "groups": "", "links": []}]

@@ -1,12 +1,10 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
-Python tasks only tokenise. They hand over pages: the ids and byte ends, by both tokenizers, of each distinct word of a few
-megabytes of text, and each text as its words' numbers in the page. Both tokenizers end at a lone space, so that a text's
-groups and links are those of its words. All else is Spark's higher-order functions over the arrays of a page: ends that both
-have (array_intersect) close the groups, and a group with one token of a side links it to all of the other's. Where both have
-more, the group's ends are packed as (end, tokenizer, index) and sorted, so that an entry's place less its own index is the
-number of the other's tokens that end before it, and each distinct end closes the overlap of one token of A with one of B,
-which is a link. A text has as many groups as tokens less links.
+Python tasks work on pages: the ids and byte ends, by both tokenizers, of each distinct word of a few megabytes of text, and
+each text as its words' numbers in the page. Both tokenizers end at a lone space, so that a text's groups and links are those
+of its words. A page's ends are merged in arrays: each distinct end closes the overlap of one token of A with one of B, which
+is a link, and an end that both have closes a group besides. Texts then take their words' links and groups. A text has as many
+groups as tokens less links.
 
 Links are counted over the corpus by pair of ids. To hand the counts back to texts, the most frequent pairs, of which a fixed
 number is broadcast, meet the links where they are; links of rare pairs, none of which is hot, are joined by a shuffle.
@@ -18,11 +16,13 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count, islice
+from functools import cache
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, ship
@@ -34,10 +34,8 @@ MOST_PAIRS = 1_000_000
 MEMO_WORDS, PAGE, PORTION, TOGETHER = 500_000, 4_000_000, 2_000_000, 50_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _RUNS = re.compile(" +[^ ]*")
-_ID_BITS, _INDEX_BITS = 32, 31
-_INDEX = (1 << _INDEX_BITS) - 1
-WORD = "struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>"
-PAGES = f"docs array<struct<doc_id: long, n_a: long, n_b: long, words: array<int>>>, words array<{WORD}>"
+_ID_BITS = 32
+TOKENS = "doc_id long, n_a long, n_b long, groups string, links array<long>"
 
 
 class Pieces:
@@ -249,10 +247,70 @@ class Page:
         return pa.RecordBatch.from_arrays([one(docs), one(words)], names=["docs", "words"])
 
 
+@cache
+def _shown(most: int, mark: str) -> np.ndarray:
+    """Each id below most in decimal with the mark behind it, as eight bytes with zeros at the end."""
+    if most > 10**7:
+        raise ValueError("ids of more than seven digits")
+    return np.array([f"{k}{mark}" for k in range(most)], "S8").view(np.uint64)
+
+
+@cache
+def _size(most: int) -> np.ndarray:
+    """How many bytes of these each takes."""
+    return np.array([len(str(k)) + 1 for k in range(most)], np.int64)
+
+
+def _texts_of_words(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The groups' text, each group with a semicolon behind it, and how many bytes of it each token of A and of B takes.
+
+    last_a, last_b: the places of the tokens that close the groups. In the text a group's tokens of B follow those of A.
+    """
+    begins_a, begins_b = (np.append(0, last + 1)[:-1] for last in (last_a, last_b))
+    places = np.arange(len(a)) + np.repeat(begins_b, last_a + 1 - begins_a), np.arange(len(b)) + np.repeat(last_a + 1, last_b + 1 - begins_b)
+    shown, sizes = np.empty(len(a) + len(b), np.uint64), []
+    for ids, last, place, mark in zip((a, b), (last_a, last_b), places, "|;", strict=True):
+        most = 1 << int(ids.max(initial=0)).bit_length()
+        shown[place] = _shown(most, ",")[ids]
+        shown[place[last]] = _shown(most, mark)[ids[last]]
+        sizes.append(_size(most)[ids])
+    letters = shown.view(np.uint8)
+    return letters[letters != 0], *sizes
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def align_page(page: pa.RecordBatch) -> pa.RecordBatch:
+    """TOKENS of a page's texts."""
+    docs, words = (page[c].flatten() for c in ("docs", "words"))
+    of_word = np.arange(len(words) + 1) << _ID_BITS
+    (a, a_upto), (b, b_upto) = ((words.field(c).values.to_numpy(), words.field(c).offsets.to_numpy()) for c in "ab")
+    # an end as its word's number above and the byte offset in it below, so that all of a page are in ascending order
+    a_ends, b_ends = (np.repeat(of_word[:-1], np.diff(upto)) + words.field(c).values.to_numpy() for c, upto in (("a_ends", a_upto), ("b_ends", b_upto)))
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)  # the tokens whose overlap it closes
+    links = pa.LargeListArray.from_arrays(np.searchsorted(ends, of_word), a[i].astype(np.int64) << _ID_BITS | b[j])
+    both = a_ends[i] == b_ends[j]
+    text, *sizes = _texts_of_words(a, b, i[both], j[both])
+    upto = sum(_edges(size)[edges] for size, edges in zip(sizes, (a_upto, b_upto), strict=True))
+    texts = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(upto), pa.py_buffer(text)])
+
+    found, starts = docs.field("words").values, docs.field("words").offsets.to_numpy()
+    links, texts = links.take(found), texts.take(found)
+    edges = _edges(pc.binary_length(texts).to_numpy())[starts].tolist()
+    whole = memoryview(texts.buffers()[2] or b"")
+    groups = pa.array([bytes(whole[x : max(x, y - 1)]) for x, y in pairwise(edges)], pa.string())  # without the last semicolon
+    of_docs = pa.ListArray.from_arrays(pa.array(links.offsets.to_numpy()[starts], pa.int32()), links.values)
+    return pa.RecordBatch.from_arrays([*map(docs.field, ("doc_id", "n_a", "n_b")), groups, of_docs], names=["doc_id", "n_a", "n_b", "groups", "links"])
+
+
 def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PAGES of texts: ids of A and B and the byte offsets, in a space and the word, at which their tokens end.
+    """TOKENS of texts: how many A and B find, groups as text, links as pairs of ids in one long, A's above.
 
-    No words for a null or empty text and for one whose tokens don't give back its bytes.
+    None for a null or empty text and for one whose tokens don't give back its bytes.
     """
     ship(docs.sparkSession)
 
@@ -263,85 +321,20 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 page.add(doc_id, text.as_py())
                 if page.size >= PAGE:
-                    yield page.batch()
+                    yield align_page(page.batch())
                     page = Page(both)
         if page.ids:
-            yield page.batch()
+            yield align_page(page.batch())
         both.memo.clear()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, PAGES)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), _ID_BITS).bitwiseOR(b.cast("long"))
-
-
-def _index(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_INDEX))
-
-
-def _crossing(word: Column) -> Column:
-    """(text, links) of a word whose tokens don't all end together."""
-    high = lambda x: F.shiftright(x, _INDEX_BITS).cast("int")
-    low = lambda x: _index(x).cast("int")
-    one_each = lambda x, y: y - x == F.lit((1 << _INDEX_BITS) + 1)
-
-    def text(a: Column, b: Column, before: Column, closings: Column) -> Column:
-        """Of each group the tokens of A and of B between the closing before it and its own."""
-        part = lambda tokens, first, n: F.array_join(F.slice(tokens, first + 1, n), ",")
-        pair = lambda x: F.concat(F.get(a, high(x)), F.lit("|"), F.get(b, low(x)))
-        parts = lambda x, y: F.concat(part(a, high(x), high(y - x)), F.lit("|"), part(b, low(x), low(y - x)))
-        return F.array_join(F.zip_with(before, closings, lambda x, y: F.when(one_each(x, y), pair(x)).otherwise(parts(x, y))), ";")
-
-    def many(x: Column, y: Column) -> Column:
-        """Links of a group with more than one token of each side, which end together at its own end alone."""
-        n_a, n_b = high(y - x), low(y - x)
-        packed = lambda ends, first, n, side: F.transform(F.slice(ends, first + 1, n), lambda e, k: F.shiftleft(e.cast("long"), _ID_BITS).bitwiseOR(k.cast("long") + F.lit(side << _INDEX_BITS)))
-        merged = F.sort_array(F.concat(packed(word["a_ends"], high(x), n_a, 0), packed(word["b_ends"], low(x), n_b, 1)))
-        pair = lambda i, j: _pair(F.get(word["a"], high(x) + i), F.get(word["b"], low(x) + j))
-        # of the entries before one, all that are not its own side's are the other's, and the other's next token spans its end
-        link = lambda m, place: F.when(m.bitwiseAND(F.lit(1 << _INDEX_BITS)) == 0, pair(low(m), place - low(m))).otherwise(pair(place - low(m), low(m)))
-        return F.transform(F.slice(merged, F.lit(1), n_a + n_b - 1), link)
-
-    def links(x: Column, y: Column) -> Column:
-        a, b, n = F.get(word["a"], high(x)), F.get(word["b"], low(x)), y - x
-        of_a = F.transform(F.slice(word["b"], low(x) + 1, low(n)), lambda k: _pair(a, k))
-        of_b = F.transform(F.slice(word["a"], high(x) + 1, high(n)), lambda k: _pair(k, b))
-        return F.when(one_each(x, y), F.array(_pair(a, b))).when(high(n) == 1, of_a).when(low(n) == 1, of_b).otherwise(many(x, y))
-
-    def result(closings: Column) -> Column:
-        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(closings, F.lit(1), F.size(closings) - 1))
-        shown = _let(word["a"].cast("array<string>"), lambda a: _let(word["b"].cast("array<string>"), lambda b: text(a, b, before, closings)))
-        return F.struct(shown.alias("text"), F.flatten(F.zip_with(before, closings, links)).alias("links"))
-
-    closing = lambda e: F.shiftleft(F.array_position(word["a_ends"], e), _INDEX_BITS).bitwiseOR(F.array_position(word["b_ends"], e))
-    return _let(F.transform(F.array_intersect(word["a_ends"], word["b_ends"]), closing), result)
-
-
-def _together(word: Column) -> Column:
-    """The same of a word whose tokens all end together: each group is a pair."""
-    pairs = F.zip_with(word["a"].cast("array<string>"), word["b"].cast("array<string>"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return F.struct(F.array_join(pairs, ";").alias("text"), F.zip_with(word["a"], word["b"], _pair).alias("links"))
-
-
-def aligned(pages: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of PAGES: groups as text, links as pairs of ids in one long, A's above."""
-    built = F.transform("words", lambda w: F.when(w["a_ends"] == w["b_ends"], _together(w)).otherwise(_crossing(w)))
-    rows = pages.select("docs", built.alias("built")).select("docs", F.col("built.text").alias("texts"), F.col("built.links").alias("of_words"))
+    return source.mapInArrow(run, TOKENS)
 
-    def doc(d: Column) -> Column:
-        groups = F.array_join(F.transform(d["words"], lambda k: F.get("texts", k)), ";")
-        links = F.flatten(F.transform(d["words"], lambda k: F.get("of_words", k)))
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("groups"), links.alias("links"))
 
+def aligned(tokens: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups, links) of TOKENS."""
     n_groups = F.col("n_a") + F.col("n_b") - F.size("links")  # each end but those of groups closes one token, those close two, and each closes a link
-    return rows.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").select("doc_id", "n_a", "n_b", n_groups.alias("n_groups"), "groups", "links")
+    return tokens.select("doc_id", "n_a", "n_b", n_groups.alias("n_groups"), "groups", "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
