@@ -1,6 +1,6 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
-Python tasks work on pages: the ids and byte ends, by both tokenizers, of each distinct word of a few megabytes of text, and
+Python tasks work on pages: the ids and byte ends, by both tokenizers, of each distinct word of about a megabyte of text, and
 each text as its words' numbers in the page. Both tokenizers end at a lone space, so that a text's groups and links are those
 of its words. A page's ends are merged in arrays: each distinct end closes the overlap of one token of A with one of B, which
 is a link, and an end that both have closes a group besides. Texts then take their words' links and groups. A text has as many
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain, count, islice, pairwise
 
@@ -30,8 +30,10 @@ from .tokens import TextEncoder, byte_letters, encoder
 
 #: Pairs of ids that are broadcast at most (some 40 bytes each); the rest meet their links by a shuffle.
 MOST_PAIRS = 1_000_000
-#: Words whose ids a worker remembers at most, characters of a page, characters of a long text that are cut into words at once, words encoded in one call.
-MEMO_WORDS, PAGE, PORTION, TOGETHER = 500_000, 4_000_000, 2_000_000, 50_000
+#: Words whose ids a worker remembers at most, characters of a long text that are cut into words at once, words encoded in one call.
+MEMO_WORDS, PORTION, TOGETHER = 500_000, 2_000_000, 10_000
+#: A page ends with the text that takes it to so many characters or to so many distinct words, which take most of a worker's memory.
+PAGE, PAGE_WORDS = 1_000_000, 50_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _RUNS = re.compile(" +[^ ]*")
 _ID_BITS = 32
@@ -307,6 +309,19 @@ def align_page(page: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*map(docs.field, ("doc_id", "n_a", "n_b")), groups, of_docs], names=["doc_id", "n_a", "n_b", "groups", "links"])
 
 
+def pages(both: Both, texts: Iterable[tuple[int | None, str]]) -> Iterator[pa.RecordBatch]:
+    """Pages of (doc_id, text), one at a time: of a page only its arrays are left when it is given."""
+    page = Page(both)
+    for doc_id, text in texts:
+        page.add(doc_id, text)
+        if page.size >= PAGE or len(page.number) >= PAGE_WORDS:
+            full, page = page.batch(), Page(both)
+            yield full
+            del full
+    if page.ids:
+        yield page.batch()
+
+
 def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """TOKENS of texts: how many A and B find, groups as text, links as pairs of ids in one long, A's above.
 
@@ -316,15 +331,8 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = both_of(a_path, b_path)
-        page = Page(both)
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                page.add(doc_id, text.as_py())
-                if page.size >= PAGE:
-                    yield align_page(page.batch())
-                    page = Page(both)
-        if page.ids:
-            yield align_page(page.batch())
+        texts = ((doc_id, text.as_py()) for batch in batches for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True))
+        yield from map(align_page, pages(both, texts))
         both.memo.clear()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
