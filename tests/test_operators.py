@@ -81,6 +81,16 @@ def test_ratio_labels(spark):
             assert label == f"{w // math.gcd(w, h)}:{h // math.gcd(w, h)}"
 
 
+def test_ratio_labels_of_the_longest_divisions(spark):
+    fibonacci = [1, 1]
+    while fibonacci[-1] < 2**61:
+        fibonacci.append(sum(fibonacci[-2:]))
+    pairs = list(zip(fibonacci, fibonacci[1:], strict=False))
+    sizes = [(16, 26), (178, 288), *pairs, *((b, a) for a, b in pairs)]
+    assert values(spark, sizes, "s struct<w:long,h:long>", media.gcd(F.col("s.w"), F.col("s.h"))) == [math.gcd(*s) for s in sizes]
+    assert values(spark, [(8, 13), (89, 144), (144, 89)], "s struct<w:long,h:long>", media.ratio_label(F.col("s.w"), F.col("s.h"))) == ["8:13", "0.6181:1", "1.618:1"]
+
+
 def test_names(spark):
     raw = ["  ##a b ", "#", "", None, "C++", "café", "图"]
     assert values(spark, [(r,) for r in raw], "s struct<v:string>", text.normalize_topic(F.col("s.v"))) == ["ab", "", "", None, "C++", "café", "图"]

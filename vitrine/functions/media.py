@@ -17,8 +17,8 @@ CONTENT_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two positive whole numbers."""
-    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    """Greatest common divisor of two positive whole numbers; the greater comes first, else a step would go into their exchange."""
+    start = F.struct(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
     steps = F.length(F.least(a, b).cast("string")) * _STEPS_A_DIGIT
     return F.aggregate(F.sequence(F.lit(1), steps), start, step)["a"]
