@@ -1,7 +1,9 @@
 """Search through postings gives the rows of the plain search and reads the blocks of candidates alone."""
 
+import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -53,3 +55,27 @@ def test_a_very_long_text(spark):
     rows = spark.createDataFrame([(1, "word " * 400_000 + "needle"), (2, "word")], "id long, text string")
     index = postings.build(rows, ["text"], id_col="id")
     assert [r["id"] for r in postings.search(index, "needle").collect()] == [1]
+
+
+@pytest.mark.parametrize("block_rows", [70, 1000])
+def test_lists_are_those_of_a_loop_over_the_rows(spark, table, block_rows):
+    index = postings.build(table, ["text", "name"], id_col="id", block_rows=block_rows)
+    want = {}
+    for block, row, *texts in index.rows().select("_block", "_row", postings.folded("text"), postings.folded("name")).collect():
+        for column, text in enumerate(texts):
+            odd = text is not None and re.search(postings._ODD, text)
+            for gram in {postings.ANY} if odd else {text[k : k + 3] for k in range(len(text or "") - 2)}:
+                want.setdefault((gram, -1 if odd else column, block), set()).add(row)
+    got = index.postings().collect()
+    assert len(got) == len(want) and all(r["n"] == len(r["steps"]) for r in got)
+    assert {(r["gram"], r["column"], r["_block"]): list(itertools.accumulate(r["steps"])) for r in got} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_texts_of_many_different_grams_are_posted_in_seconds(spark):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     éü", k=20_000))) for k in range(100)]
+    began = time.perf_counter()
+    index = postings.build(spark.createDataFrame(rows, "id long, text string"), ["text"], id_col="id")
+    took = time.perf_counter() - began
+    assert index.postings().count() > 15_000
+    assert took < 30

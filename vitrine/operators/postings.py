@@ -21,6 +21,9 @@ from .search import matching
 
 #: Letters of a gram, rows of a block (about), and blocks at most, beyond which blocks grow.
 GRAM, BLOCK_ROWS, MOST_BLOCKS = 3, 16_384, 100_000
+#: Rows of a block whose bits are in one long while postings are made.
+WORD_BITS = 6
+WORD = 1 << WORD_BITS
 #: Latin letters with one accent, and what they are without it; sharp s is two letters.
 _ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and c == c.lower())
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
@@ -47,7 +50,9 @@ class Index:
 
 
 def folded(column: str) -> Column:
-    return F.replace(F.translate(F.lower(F.col(column)), _ACCENTED, _PLAIN), F.lit("ß"), F.lit("ss"))
+    """Lower case without accents; in ASCII, where there are as many bytes as letters, nothing is left to replace."""
+    low = F.lower(F.col(column))
+    return F.when(F.octet_length(column) == F.length(column), low).otherwise(F.replace(F.translate(low, _ACCENTED, _PLAIN), F.lit("ß"), F.lit("ss")))
 
 
 def _fold(keyword: str) -> str:
@@ -66,10 +71,17 @@ def grams_of(keyword: str, *, wildcards: bool = False) -> list[str] | None:
     return sorted({r[k : k + GRAM] for r in runs for k in range(len(r) - GRAM + 1)}) or None
 
 
+def _rows_of(word: Column, bits: Column) -> Column:
+    """Numbers of the rows whose bits are set, in order."""
+    first = F.shiftleft(word, WORD_BITS)
+    return F.filter(F.sequence(first, first.bitwiseOR(F.lit(WORD - 1))), lambda row: F.getbit(bits, row.bitwiseAND(F.lit(WORD - 1))) == 1)
+
+
 def build(rows: DataFrame, columns: list[str], *, id_col: str, block_rows: int = BLOCK_ROWS) -> Index:
     """Write rows in blocks by id, and the postings of columns. A null has no grams; rows of one id may be in several blocks.
 
-    Grams are cut from bytes, which takes linear time; those of a row and column are posted once.
+    Grams are cut from bytes, one generated row each, which takes linear time. WORD rows of a block are the bits of one long, by
+    which those of a row and column are posted once; a list is made of its longs, so that no row is a value to sort or to gather.
     """
     spark = rows.sparkSession
     texts, lists = new_folder(spark, "texts"), new_folder(spark, "postings")
@@ -78,19 +90,17 @@ def build(rows: DataFrame, columns: list[str], *, id_col: str, block_rows: int =
     placed = ordered.withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")})
     placed.write.option("compression", "zstd").partitionBy("_block").parquet(texts)
     each = spark.read.parquet(texts).select("_block", "_row", F.explode(F.array(*(F.struct(F.lit(k).alias("column"), folded(c).alias("text")) for k, c in enumerate(columns)))).alias("f")).select("_block", "_row", "f.*").filter("text is not null")
-    odd = F.col("text").rlike(_ODD)
-
-    def cut(code: Column) -> Column:
-        at = F.when(F.length(code) >= GRAM, F.sequence(F.lit(1), F.length(code) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda k: F.decode(F.substring(code, k, F.lit(GRAM)), "US-ASCII")))
-
-    # an array of one text, so that it is encoded once and not for every gram
-    grams = F.get(F.transform(F.array(F.when(~odd, F.encode("text", "US-ASCII"))), cut), F.lit(0))
-    posted = each.select("_block", "_row", F.when(odd, F.lit(-1)).otherwise(F.col("column")).alias("column"), F.explode(F.when(odd, F.array(F.lit(ANY))).otherwise(grams)).alias("gram"))
-    found = posted.groupBy("gram", "column", "_block").agg(F.sort_array(F.collect_set("_row")).alias("at"))
+    odd, place = F.col("text").rlike(_ODD), F.shiftright("_row", WORD_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_row").bitwiseAND(F.lit(WORD - 1)))
+    coded = each.select("_block", place.alias("_word"), bit.alias("bit"), odd.alias("odd"), F.when(odd, F.lit(-1)).otherwise(F.col("column")).alias("column"), F.col("text").cast("binary").alias("code"))
+    at = F.when(F.col("odd"), F.array(F.lit(0))).when(F.length("code") >= GRAM, F.sequence(F.lit(1), F.length("code") - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    gram = F.when(F.col("odd"), F.lit(ANY)).otherwise(F.substring("code", F.col("k"), F.lit(GRAM)).cast("string"))
+    posted = coded.select("*", F.explode(at).alias("k")).select(gram.alias("gram"), "column", "_block", "_word", "bit")
+    words = posted.groupBy("gram", "column", "_block", "_word").agg(F.bit_or("bit").alias("bits"))
+    found = words.repartitionByRange("gram", "_block").select("gram", "column", "_block", F.struct("_word", _rows_of(F.col("_word"), F.col("bits")).alias("rows")).alias("part"))
+    lists_of = found.groupBy("gram", "column", "_block").agg(F.flatten(F.sort_array(F.collect_list("part"))["rows"]).alias("at"))
     steps = F.zip_with("at", F.concat(F.array(F.lit(0)), F.slice("at", F.lit(1), F.size("at") - 1)), lambda x, before: x - before)
-    coded = found.select("gram", "column", "_block", F.size("at").alias("n"), steps.alias("steps"))
-    coded.repartitionByRange("gram", "_block").sortWithinPartitions("gram", "column", "_block").write.option("compression", "zstd").parquet(lists)
+    lists_of.select("gram", "column", "_block", F.size("at").alias("n"), steps.alias("steps")).sortWithinPartitions("gram", "column", "_block").write.option("compression", "zstd").parquet(lists)
     return Index(spark, texts, lists, columns)
 
 
