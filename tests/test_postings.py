@@ -79,3 +79,14 @@ def test_texts_of_many_different_grams_are_posted_in_seconds(spark):
     took = time.perf_counter() - began
     assert index.postings().count() > 15_000
     assert took < 30
+
+
+def test_two_columns_of_many_different_grams_are_searched_with_wildcards_in_seconds(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     éü", k=10_000))
+    table = spark.createDataFrame([(k, text(), text()) for k in range(100)], SCHEMA).localCheckpoint()
+    began = time.perf_counter()
+    found = ids(postings.search(postings.build(table, ["text", "name"], id_col="id"), "a_bcd%ef", wildcards=True))
+    took = time.perf_counter() - began
+    assert found and found == ids(matching(table, ["text", "name"], "a_bcd%ef", wildcards=True))
+    assert took < 30
